@@ -135,20 +135,29 @@ def ecdf(queries: DataFrame, reference: DataFrame, keys: list[str], value: str,
 
 def strictly_prior(queries: DataFrame, events: DataFrame, keys: list[str], time: str,
                    sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None,
-                   width: float = WEEK) -> DataFrame:
+                   width: float = WEEK, windows: dict[str, int] | None = None) -> DataFrame:
     """As-of join: each query row gets the totals of events of its key with event time < query time.
 
-    Equal times are excluded from each other's history. Hot keys are cut along time.
+    Equal times are excluded from each other's history. Hot keys are cut along time. ``windows``
+    adds, per suffix, the sums over [time - length, time): a second read of the same running table.
     """
-    sums, maxima = sums or {}, maxima or {}
+    sums, maxima, windows = sums or {}, maxima or {}, windows or {}
     filled = events.select(*keys, time, *[c.alias(n) for n, c in sums.items()],
                            *[c.alias(n) for n, c in maxima.items()])
-    probes = queries.select(*keys, time).distinct()
+    offsets = F.array(F.lit(0), *[F.lit(length) for length in windows.values()])
+    probes = queries.select(*keys, F.explode(F.transform(offsets, lambda o: F.col(time) - o)).alias(time)).distinct()
     both = filled.unionByName(probes, allowMissingColumns=True)
     table = running(both, keys, time, {n: F.col(n) for n in sums}, {n: F.col(n) for n in maxima},
                     width=width)
     before = table.select(*keys, time, *[F.col(f"{n}_before").alias(n) for n in [*sums, *maxima]])
-    return queries.join(before, [*keys, time], "left")
+    out = queries.join(before, [*keys, time], "left")
+    for suffix, length in windows.items():
+        edge = before.select(*keys, (F.col(time) + length).alias(time),
+                             *[F.col(n).alias(f"_{n}{suffix}") for n in sums])
+        out = out.join(edge, [*keys, time], "left").withColumns(
+            {f"{n}{suffix}": F.col(n) - F.col(f"_{n}{suffix}") for n in sums}).drop(
+            *[f"_{n}{suffix}" for n in sums])
+    return out
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

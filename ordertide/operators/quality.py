@@ -277,5 +277,5 @@ def distance_band(distance: Column) -> Column:
     edges = [0, 50, 200, 500, 1000, 2000]
     chain = F.when(distance.isNull() | (distance < 0), "unavailable")
     for low, high in zip(edges, edges[1:]):
-        chain = chain.when((distance >= low) & (distance < high), f"[{low},{high})")
-    return chain.otherwise("[2000,inf)")
+        chain = chain.when((distance >= low) & (distance < high), f"{low}_to_{high}")
+    return chain.otherwise("2000_plus")

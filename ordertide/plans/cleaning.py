@@ -376,8 +376,8 @@ def missing_features(shop):
 
 @query("p23_distance_band", """
 WITH e AS (SELECT CASE WHEN len(embedding)>0 THEN abs(CAST(embedding[2] AS DOUBLE))*9000 END AS km FROM embeddings)
-SELECT CASE WHEN km IS NULL THEN 'unavailable' WHEN km<50 THEN '[0,50)' WHEN km<200 THEN '[50,200)' WHEN km<500 THEN '[200,500)' WHEN km<1000 THEN '[500,1000)'
- WHEN km<2000 THEN '[1000,2000)' ELSE '[2000,inf)' END AS band, count(*) AS points FROM e GROUP BY 1""")
+SELECT CASE WHEN km IS NULL THEN 'unavailable' WHEN km<50 THEN '0_to_50' WHEN km<200 THEN '50_to_200' WHEN km<500 THEN '200_to_500' WHEN km<1000 THEN '500_to_1000'
+ WHEN km<2000 THEN '1000_to_2000' ELSE '2000_plus' END AS band, count(*) AS points FROM e GROUP BY 1""")
 def distance_band(shop):
     km = F.abs(F.element_at("embedding", 2).cast("double")) * 9000
     return shop.table("embeddings").groupBy(quality.distance_band(km).alias("band")).agg(F.count(F.lit(1)).alias("points"))

@@ -93,7 +93,7 @@ def sql(body: str) -> str:
     names = _needed(body, [])
     if not names:
         return body.strip()
-    head = ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in names)
+    head = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in names)
     text = body.strip()
     if re.match(r"(?is)with\s", text):
         return f"WITH {head},\n{text[4:].lstrip()}"

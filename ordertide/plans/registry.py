@@ -6,6 +6,7 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ordertide.session import prepare
 from ordertide.sources.star_schema import Shop
@@ -30,3 +31,9 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return register
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded to a fixed number of digits, so both engines print the same value."""
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+                       for f in df.schema.fields])

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import math
 import sys
+import threading
 import time
 
 import duckdb
 
+LIMIT = 45  # seconds per engine and query
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -39,14 +41,24 @@ def canonical(rows, columns):
 
 
 def compare(con, spark, fn, sql, sf_dir):
-    df = fn(spark, sf_dir)
-    got, gcols = canonical([tuple(r) for r in df.collect()], df.columns)
+    watch = threading.Timer(LIMIT, spark.sparkContext.cancelAllJobs)
+    watch.start()
+    try:
+        df = fn(spark, sf_dir)
+        got, gcols = canonical([tuple(r) for r in df.collect()], df.columns)
+    finally:
+        watch.cancel()
     if sql is None:
         return None, len(got), "rows only"
-    rel = con.execute(sql)
-    cols = [d[0] for d in rel.description]
-    types = {d[0]: str(d[1]) for d in rel.description}
-    want, wcols = canonical(rel.fetchall(), cols)
+    watch = threading.Timer(LIMIT, con.interrupt)
+    watch.start()
+    try:
+        rel = con.execute(sql)
+        cols = [d[0] for d in rel.description]
+        types = {d[0]: str(d[1]) for d in rel.description}
+        want, wcols = canonical(rel.fetchall(), cols)
+    finally:
+        watch.cancel()
     if gcols != wcols:
         return False, len(got), f"columns {gcols} != {wcols}"
     kinds = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER",
