@@ -8,6 +8,7 @@ from ordertide.functions import clock, geo, tristate
 from ordertide.operators import features, geography, history, ordered, performance, process, quality, relations, reviews
 from ordertide.plans.ctes import define, sql
 from ordertide.plans.registry import query, rounded
+from ordertide.session import materialize
 
 define("pairs", """SELECT i.order_id, i.seller_id, CAST(epoch(o.purchased_at) AS BIGINT) AS as_of_s, count(*) OVER (PARTITION BY i.order_id) AS seller_count, i.item_rows
  FROM (SELECT order_id, seller_id, count(*) AS item_rows FROM item GROUP BY 1,2) i JOIN ord o USING (order_id)""")
@@ -238,10 +239,15 @@ define("dist", f"""SELECT x.order_id, x.seller_id, x.item_rows, c.customer_zip,
  FROM pairs x JOIN ord o USING (order_id) JOIN cust c ON c.customer_id=o.customer_id JOIN sell s ON s.seller_id=x.seller_id LEFT JOIN zips cz ON cz.zip=customer_zip LEFT JOIN zips sz ON sz.zip=seller_zip""")
 
 
+def zip_table(shop):
+    # A dimension used in two roles and by the screen: compute it once, as a written table.
+    return materialize(geography.zip_representative(shop.coordinates), "zip-representatives")
+
+
 def distances(shop):
     links = pairs(shop).select("order_id", "seller_id", "item_rows").join(shop.orders.select("order_id", "customer_id"), "order_id").join(
         shop.customers.select("customer_id", "customer_zip"), "customer_id").join(shop.sellers.select("seller_id", "seller_zip"), "seller_id")
-    return geography.seller_customer_distance(links, geography.zip_representative(shop.coordinates))
+    return geography.seller_customer_distance(links, zip_table(shop))
 
 
 @query("j10_seller_customer_distance", sql("""SELECT order_id, seller_id, round(distance_km,5) AS distance_km, round(mean_km,5) AS mean_anchor_distance_km, distance_km IS NOT NULL AS distance_available,
@@ -304,7 +310,7 @@ define("zscreen", """SELECT *, concat_ws(',', CASE WHEN latitude IS NULL THEN 'c
 
 
 def screened(shop):
-    zips = geography.zip_representative(shop.coordinates)
+    zips = zip_table(shop)
     return geography.quality_screen(zips, geography.quality_thresholds(zips, F.col("state_count") <= 2), 45)
 
 
