@@ -61,7 +61,7 @@ def fold_accents(column: Column) -> Column:
     """Lower case without the Latin accents of the supported languages."""
     accented = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
     plain = "aaaaaaeeeeiiiiooooouuuucnyy"
-    return F.translate(F.lower(column), accented, plain)
+    return F.translate(F.replace(F.lower(column), F.lit("ß"), F.lit("ss")), accented, plain)
 
 
 # --- patterns and numbers ----------------------------------------------------------------------

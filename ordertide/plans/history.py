@@ -193,7 +193,7 @@ def history_route(shop):
 # --- geography ---------------------------------------------------------------------------------
 
 def _hav(a, b, c, d):
-    return (f"2*6371.0*asin(least(1.0, sqrt(power(sin((radians({c})-radians({a}))/2),2)+cos(radians({a}))*cos(radians({c}))*power(sin((radians({d})-radians({b}))/2),2))))")
+    return (f"2*6371.0*asin(sqrt(power(sin((radians({c})-radians({a}))/2),2)+cos(radians({a}))*cos(radians({c}))*power(sin((radians({d})-radians({b}))/2),2)))")
 
 
 define("upts", "SELECT zip, lat, lng, min(record) AS record FROM geo WHERE abs(lat)<=90 AND abs(lng)<=180 GROUP BY 1,2,3")
@@ -333,7 +333,7 @@ def geo_order_quality(shop):
 
 KINDS = {"topic": r"\b(?:the|une?|der|que)\w*\b", "delay": r"\b(?:re|er|ei)\w*\b", "early": r"\b(?:on|la|en)\b"}
 _ACC, _PLAIN = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy"
-define("scr", f"""SELECT doc_id, source AS order_id, lang, n_chars%7 AS score, n_chars>=200 AS dates_valid, trim(text)<>'' AS has_text, {', '.join(f"len(regexp_extract_all(translate(lower(text),'{_ACC}','{_PLAIN}'),'{p}'))::BIGINT AS {k}" for k, p in KINDS.items())} FROM documents""")
+define("scr", f"""SELECT doc_id, source AS order_id, lang, n_chars%7 AS score, n_chars>=200 AS dates_valid, trim(text)<>'' AS has_text, {', '.join(f"len(regexp_extract_all(translate(replace(lower(text),'ß','ss'),'{_ACC}','{_PLAIN}'),'{p}'))::BIGINT AS {k}" for k, p in KINDS.items())} FROM documents""")
 
 
 def screened_reviews(shop):

@@ -66,8 +66,9 @@ def compare(con, spark, fn, sql, sf_dir):
     bad = [(f.name, f.dataType.simpleString(), types[f.name]) for f in df.schema.fields
            if kinds.get(f.dataType.simpleString()) != types[f.name]]
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        lack = [r for r in want if r not in set(got)][:3]
+        have, need = set(got), set(want)
+        extra = sorted(have - need)[:3]
+        lack = sorted(need - have)[:3]
         return False, len(got), f"rows {len(got)} vs {len(want)}\n   cols {gcols}\n   spark only {extra}\n   sql only {lack}"
     return (not bad), len(got), f"types {bad}" if bad else "ok"
 
