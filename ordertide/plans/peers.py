@@ -60,7 +60,7 @@ def peer_join(shop):
 
 
 @query("w05_ecdf_rank", """WITH r AS (SELECT CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_shipdate<TIMESTAMP '1998-01-01'),
-c AS (SELECT q, count(*) AS n FROM r GROUP BY 1)
+c AS (SELECT q, count(*) AS n FROM r GROUP BY 1),
 g AS (SELECT l_returnflag, CAST(l_quantity AS BIGINT) AS q, count(*) AS lines FROM lineitem GROUP BY 1,2)
 SELECT l_returnflag, q, lines, round((SELECT sum(n) FROM c WHERE c.q<=g.q)::DOUBLE/(SELECT count(*) FROM r),6) AS percentile FROM g""")
 def ecdf_rank(shop):
