@@ -77,7 +77,7 @@ def session(cpus="8"):
     from pyspark.sql import SparkSession
     return (SparkSession.builder.master(f"local[{cpus}]").appName("ordertide")
             .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
-            .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+            .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
 
 
