@@ -306,3 +306,46 @@ def paired_difference(errors: DataFrame, left: str, right: str) -> DataFrame:
     n = lambda c: F.count(F.when(c, 1))
     return d.agg(F.count(F.lit(1)).alias("orders"), F.avg("d").alias("mean_difference"), n(F.col("d") < 0).alias("left_better"),
                  n(F.col("d") > 0).alias("right_better"), n(F.col("d") == 0).alias("equal"))
+
+
+def profile_compare(flags: DataFrame, left: str, right: str, keys: list[str]) -> DataFrame:
+    """Decisions of two feature profiles on the same orders: agreement and changed cases per group."""
+    pick = lambda c: F.bool_or(F.when(F.col("candidate") == c, F.col("flag")))
+    per = flags.where(F.col("candidate").isin(left, right)).groupBy("order_id", *keys).agg(pick(left).alias("l"), pick(right).alias("r"))
+    n = lambda c: F.count(F.when(c, 1))
+    return per.groupBy(*keys).agg(n(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("compared"), n(F.col("l") & F.col("r")).alias("both"),
+                                  n(F.col("l") & ~F.col("r")).alias("only_left"), n(~F.col("l") & F.col("r")).alias("only_right"),
+                                  n(F.col("l") != F.col("r")).alias("changed_cases"))
+
+
+def holdout_scope(df: DataFrame, reasons: list[tuple[str, Column]]) -> DataFrame:
+    """First applicable exclusion reason of a later partition; the rest is evaluated."""
+    return df.withColumn("holdout_status", tristate.first_match(reasons, "evaluated"))
+
+
+def contamination_sensitivity(scores: DataFrame, base_flag: Column, fractions: list[float], width: float) -> DataFrame:
+    """Flag counts, overlap and kappa against a fixed detector for each contamination of one score.
+
+    The cuts are exact score quantiles on one row; every fraction is then counted in the same pass.
+    """
+    names = {f"_c{i}": 1 - f for i, f in enumerate(fractions)}
+    cuts = ordered.quantiles(scores, [], "score", names, width=width)
+    grid = F.array(*[F.struct(F.lit(float(f)).alias("contamination"), F.col(n).alias("cut")) for f, n in zip(fractions, names)])
+    rows = ordered.attach_one_row(scores.withColumn("_b", base_flag), cuts).withColumn("_g", F.explode(grid))
+    f, b = F.col("score") > F.col("_g.cut"), F.col("_b")
+    n = lambda c: F.count(F.when(c, 1))
+    t = rows.groupBy(F.col("_g.contamination").alias("contamination")).agg(F.count(F.lit(1)).alias("cases"), n(f).alias("flagged"), n(b).alias("base_flagged"), n(f & b).alias("both_flag"))
+    size, x, y = F.col("cases").cast("double"), F.col("flagged"), F.col("base_flagged")
+    agree = (F.col("both_flag") + (F.col("cases") - x - y + F.col("both_flag"))) / size
+    chance = (x * y + (F.col("cases") - x) * (F.col("cases") - y)) / size / size
+    return t.withColumns({"jaccard": ratio(F.col("both_flag"), x + y - F.col("both_flag")), "kappa": F.when(chance < 1, (agree - chance) / (1 - chance))})
+
+
+def label_evaluation(flags: DataFrame, labels: DataFrame) -> DataFrame:
+    """Metrics against reviewer labels with the completeness of the labelling; labels = (order_id, y)."""
+    joined = flags.join(labels, "order_id", "left")
+    c = confusion(joined, ["candidate"], F.col("y"), F.col("flag"))
+    known = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return c.withColumn("label_status", tristate.first_match([
+        ("no_labels", known == 0), ("one_class_labels", (F.col("tp") + F.col("fn") == 0) | (F.col("fp") + F.col("tn") == 0)),
+        ("partially_labelled", F.col("unknown") > 0)], "fully_labelled"))

@@ -127,3 +127,27 @@ def integrated_evidence(base: DataFrame, parts: list[DataFrame], codes: list[tup
     """One wide row per order from evidence tables of order grain, with its evidence codes."""
     wide = reduce(lambda a, b: a.join(b, "order_id", "left"), parts, base)
     return wide.withColumn("evidence_codes", tristate.reasons([(n, tristate.known_true(c)) for n, c in codes]))
+
+
+def source_rule_checks(orders: DataFrame, payments: DataFrame, items: DataFrame) -> DataFrame:
+    """Recompute order aggregates from child rows and state one outcome per (order, scope)."""
+    joined = orders.join(payments.groupBy("order_id").agg(F.count(F.lit(1)).alias("_pay"), tristate.complete_sum(F.col("payment_cents")).alias("_paid")), "order_id", "left").join(
+        items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"), tristate.complete_sum(F.col("price_cents") + F.col("freight_cents")).alias("_due")), "order_id", "left")
+
+    def scope(name, pairs, default):
+        return F.struct(F.lit(name).alias("scope"), tristate.first_match(pairs, default).alias("outcome"))
+
+    return joined.select("order_id", F.explode(F.array(
+        scope("timing", [("conflict", F.col("quality_conflict")), ("not_observed", F.col("promise_delta").isNull()), ("late", F.col("promise_delta") > 0)], "not_late"),
+        scope("payment", [("no_child_records", F.col("_pay").isNull() | F.col("_n").isNull()), ("matched", F.col("_paid") == F.col("_due"))], "difference"),
+        scope("contents", [("no_child_records", F.col("_n").isNull()), ("recorded_count_differs", F.col("item_count") != F.col("_n"))], "count_confirmed"))).alias("s")).select(
+        "order_id", "s.*")
+
+
+def finding_actions(stages: DataFrame, groups: DataFrame) -> DataFrame:
+    """Signed margin of each stage to its upper boundary and the proposed check."""
+    joined = stages.join(groups.select("group", "upper_boundary_days"), "group", "left")
+    margin = F.when(F.col("assessable"), F.col(peers.DURATION) / 86400 - F.col("upper_boundary_days"))
+    return joined.withColumn("margin_days", margin).withColumn("proposed_action", tristate.first_match([
+        ("complete_missing_context", ~F.col("assessable")), ("verify_long_stage_source", tristate.known_true(F.col("long_stage_warning"))),
+        ("verify_tied_timestamps", F.col(peers.DURATION) == 0)], "no_action"))

@@ -139,3 +139,18 @@ def feature_shift(df: DataFrame, features: list[str], fit: Column, period: str,
         F.count(F.lit(1)).alias("rows"), F.count(F.when((F.col("v") < F.col("fit_min")) | (F.col("v") > F.col("fit_max")), 1)).alias("outside_rows"))
     return outside.join(ordered.quantiles(later, ["feature", period], "v", {"median": .5}, width=width), ["feature", period]).withColumn(
         "outside_fraction", F.col("outside_rows") / F.col("rows"))
+
+
+def gbt_median_forecast(rows: DataFrame, fit: DataFrame, target: str, numeric: list[str], categorical: list[str], iterations: int = 20,
+                        seed: int = 7) -> DataFrame:
+    """Boosted trees with absolute loss (median); unseen categories get their own level."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    index = StringIndexer(inputCols=categorical, outputCols=[f"{c}_i" for c in categorical], handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=[f"{c}_i" for c in categorical], outputCols=[f"{c}_v" for c in categorical], handleInvalid="keep")
+    pack = VectorAssembler(inputCols=[*numeric, *[f"{c}_v" for c in categorical]], outputCol="_x")
+    trees = GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="mid", lossType="absolute", maxIter=iterations, seed=seed)
+    model = Pipeline(stages=[index, hot, pack, trees]).fit(fit)
+    return model.transform(rows).select(*rows.columns, "mid")

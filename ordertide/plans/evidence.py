@@ -224,3 +224,67 @@ def batch_scope(shop):
     known = shop.table("lineitem").where(F.col("l_shipdate") < day("1996-01-01")).select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("known", F.lit(True))
     return b.join(known, "o_orderkey", "left").agg(F.count(F.lit(1)).alias("batch_orders"), F.count("known").alias("overlap_known"),
                                                    F.count(F.when(F.col("o_orderdate") >= day("2001-07-01"), 1)).alias("outside_window"))
+
+
+@query("d21_gbt_median_forecast")
+def gbt(shop):
+    m = shop.measures
+    return forecasts.gbt_median_forecast(m.where("role = 'validation'"), m.where("role = 'fit'"), "price_cents", ["quantity", "discount_points"],
+                                         ["raw_status"], iterations=5).select("order_id", "mid")
+
+
+@query("e14_profile_ablation_compare", sql("""WITH p AS (SELECT order_id, month, bool_or(flag) FILTER (WHERE candidate='mad_raw_k25') AS l, bool_or(flag) FILTER (WHERE candidate='mad_log1p_k25') AS r FROM flg WHERE candidate IN ('mad_raw_k25','mad_log1p_k25') GROUP BY 1,2)
+SELECT month, count(*) AS compared, count(*) FILTER (WHERE l AND r) AS both, count(*) FILTER (WHERE l AND NOT r) AS only_left, count(*) FILTER (WHERE NOT l AND r) AS only_right, count(*) FILTER (WHERE l<>r) AS changed_cases FROM p GROUP BY 1"""))
+def ablation(shop):
+    return evaluation.profile_compare(det.flags(shop), "mad_raw_k25", "mad_log1p_k25", ["month"])
+
+
+@query("e20_holdout_evaluate", sql("""SELECT holdout_status, month, count(*) AS orders, count(*) FILTER (WHERE flag AND y) AS tp, count(*) FILTER (WHERE flag AND NOT y) AS fp FROM (SELECT *, CASE WHEN role='calibration' THEN 'reserved_for_calibration' WHEN score<=0 THEN 'no_positive_score' ELSE 'evaluated' END AS holdout_status
+ FROM flg WHERE candidate='mad_raw_k25') GROUP BY 1,2"""))
+def holdout(shop):
+    f = evaluation.holdout_scope(det.flags(shop).where("candidate = 'mad_raw_k25'"), [("reserved_for_calibration", F.col("role") == "calibration"), ("no_positive_score", F.col("score") <= 0)])
+    n = lambda c: F.count(F.when(c, 1))
+    return f.groupBy("holdout_status", "month").agg(F.count(F.lit(1)).alias("orders"), n(F.col("flag") & F.col("y")).alias("tp"), n(F.col("flag") & ~F.col("y")).alias("fp"))
+
+
+@query("e31_if_sensitivity", sql("""WITH s AS (SELECT order_id, max(score) FILTER (WHERE score_column='mad_log1p') AS score, max(score) FILTER (WHERE score_column='iqr_raw')>1.0 AS b FROM bs GROUP BY 1), q AS (SELECT c::DOUBLE AS contamination, (SELECT quantile_cont(score,1-c) FROM s) AS cut FROM (VALUES (0.01),(0.05),(0.1)) v(c)),
+t AS (SELECT contamination, count(*) AS cases, count(*) FILTER (WHERE score>cut) AS flagged, count(*) FILTER (WHERE b) AS base_flagged, count(*) FILTER (WHERE score>cut AND b) AS both_flag FROM s CROSS JOIN q GROUP BY 1)
+SELECT *, round(both_flag/nullif(flagged+base_flagged-both_flag,0),6) AS jaccard, round(((2*both_flag+cases-flagged-base_flagged)/cases-(flagged*base_flagged+(cases-flagged)*(cases-base_flagged))/(cases*cases))/(1-(flagged*base_flagged+(cases-flagged)*(cases-base_flagged))/(cases*cases)),6) AS kappa FROM t""".replace("(SELECT quantile_cont(score,1-c) FROM s)", "CASE c WHEN 0.01 THEN (SELECT quantile_cont(score,0.99) FROM s) WHEN 0.05 THEN (SELECT quantile_cont(score,0.95) FROM s) ELSE (SELECT quantile_cont(score,0.9) FROM s) END")))
+def if_sensitivity(shop):
+    s = det.scores(shop).groupBy("order_id").agg(F.max(F.when(F.col("score_column") == "mad_log1p", F.col("score"))).alias("score"),
+                                                 F.max(F.when(F.col("score_column") == "iqr_raw", F.col("score"))).alias("base"))
+    return rounded(evaluation.contamination_sensitivity(s, F.col("base") > 1.0, [0.01, 0.05, 0.1], width=0.01))
+
+
+@query("e32_label_evaluation", sql("""WITH l AS (SELECT candidate, flag, CASE WHEN quantity>100 THEN y END AS y2 FROM flg JOIN meas USING (order_id)), c AS (SELECT candidate, count(*) FILTER (WHERE y2 AND flag) AS tp, count(*) FILTER (WHERE NOT y2 AND flag) AS fp, count(*) FILTER (WHERE y2 AND NOT flag) AS fn,
+ count(*) FILTER (WHERE NOT y2 AND NOT flag) AS tn, count(*) FILTER (WHERE y2 IS NULL) AS unknown FROM l GROUP BY 1)
+SELECT candidate, tp, fp, fn, tn, unknown, CASE WHEN tp+fp+fn+tn=0 THEN 'no_labels' WHEN tp+fn=0 OR fp+tn=0 THEN 'one_class_labels' WHEN unknown>0 THEN 'partially_labelled' ELSE 'fully_labelled' END AS label_status FROM c"""))
+def label_evaluation(shop):
+    labels = shop.measures.select("order_id", F.when(F.col("quantity") > 100, F.col("raw_status") == "F").alias("y"))
+    return evaluation.label_evaluation(det.flags(shop).drop("y"), labels).select("candidate", "tp", "fp", "fn", "tn", "unknown", "label_status")
+
+
+@query("a47_case_manual_label_stats", sql("""WITH r AS (SELECT order_id, count(*) AS n, count(DISTINCT score) AS d, max(score) AS s FROM rev GROUP BY 1) SELECT coalesce(fitness_band,'outside_scope') AS detector_group, count(*) AS cases, sum(n-1)::BIGINT AS duplicate_rows, count(*) FILTER (WHERE d>1) AS conflicting_cases, count(*) FILTER (WHERE d=1 AND s>=4) AS high_labels
+FROM r LEFT JOIN ff ON case_id=order_id GROUP BY 1"""))
+def manual_labels(shop):
+    from ordertide.plans.cohort import funnel_flags
+    r = shop.reviews.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    g = r.join(funnel_flags(shop).select(F.col("case_id").alias("order_id"), "fitness_band"), "order_id", "left")
+    n = lambda c: F.count(F.when(c, 1))
+    return g.groupBy(F.coalesce("fitness_band", F.lit("outside_scope")).alias("detector_group")).agg(
+        F.count(F.lit(1)).alias("cases"), F.sum(F.col("n") - 1).alias("duplicate_rows"), n(F.col("lo") < F.col("hi")).alias("conflicting_cases"),
+        n((F.col("lo") == F.col("hi")) & (F.col("hi") >= 4)).alias("high_labels"))
+
+
+@query("a51_source_rule_checks", sql("""SELECT order_id, 'timing' AS scope, CASE WHEN quality_conflict THEN 'conflict' WHEN promise_delta IS NULL THEN 'not_observed' WHEN promise_delta>0 THEN 'late' ELSE 'not_late' END AS outcome FROM perf
+UNION ALL SELECT order_id, 'payment', CASE WHEN payment_sum_cents IS NULL OR items_plus_freight_cents IS NULL THEN 'no_child_records' WHEN payment_sum_cents=items_plus_freight_cents THEN 'matched' ELSE 'difference' END FROM perf LEFT JOIN ipay USING (order_id) LEFT JOIN (SELECT order_id, items_plus_freight_cents FROM iitem) USING (order_id)
+UNION ALL SELECT order_id, 'contents', CASE WHEN item_count=0 THEN 'no_child_records' ELSE 'count_confirmed' END FROM perf"""))
+def source_rules(shop):
+    return evidence.source_rule_checks(shop.performance, shop.payments, shop.items)
+
+
+@query("a52_finding_actions", sql("""WITH b AS (SELECT grp, list_sort(list(duration_s))[(19*count(*))//20+1]/86400.0 AS up FROM bank JOIN gstat USING (grp) GROUP BY 1)
+SELECT order_id, stage, round(CASE WHEN assessment_status='assessable' THEN duration_s/86400.0-up END,6) AS margin_days, CASE WHEN assessment_status<>'assessable' THEN 'complete_missing_context' WHEN is_long THEN 'verify_long_stage_source' WHEN duration_s=0 THEN 'verify_tied_timestamps' ELSE 'no_action' END AS proposed_action
+FROM sig s LEFT JOIN b USING (grp) WHERE assessment_status IN ('assessable','context_reference_unavailable')"""))
+def findings(shop):
+    return rounded(evidence.finding_actions(ranked(shop), peers.reference_groups(peer_plans.reference(shop))).select("order_id", "stage", "margin_days", "proposed_action"))
