@@ -55,24 +55,28 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column]
         *[F.sum(c).alias(n) for n, c in sums.items()],
         *[F.max(c).alias(n) for n, c in maxima.items()],
     ).withColumn("_chunk", _chunk(order, width, splits))
+    # A struct is never null itself, so a group with an unknown key keeps its rows in the join below.
+    key = ["_key"] if keys else []
+    if keys:
+        base = base.withColumn("_key", F.struct(*keys))
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    earlier = W.partitionBy(*keys).orderBy(direction("_chunk")).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
+    earlier = W.partitionBy(*key).orderBy(direction("_chunk")).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*key)
     # One row per (key, chunk): small by construction, so its windows are cheap.
-    carry = base.groupBy(*keys, "_chunk").agg(
+    carry = base.groupBy(*key, "_chunk").agg(
         *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxima],
     ).select(
-        *keys, "_chunk",
+        *key, "_chunk",
         *[F.sum(n).over(earlier).alias(f"_carry_{n}") for n in sums],
         *[F.max(n).over(earlier).alias(f"_carry_{n}") for n in maxima],
         *[F.sum(n).over(whole).alias(f"{n}_total") for n in sums],
     )
-    inside = W.partitionBy(*keys, "_chunk").orderBy(direction(order)).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*key, "_chunk").orderBy(direction(order)).rowsBetween(W.unboundedPreceding, -1)
     rows = base.select(
         "*",
         *[F.sum(n).over(inside).alias(f"_in_{n}") for n in sums],
         *[F.max(n).over(inside).alias(f"_in_{n}") for n in maxima],
-    ).join(carry, [*keys, "_chunk"])
+    ).join(carry, [*key, "_chunk"])
     out = [F.col(k) for k in keys] + [F.col(order)]
     for n in sums:
         before = F.coalesce(F.col(f"_carry_{n}"), F.lit(0)) + F.coalesce(F.col(f"_in_{n}"), F.lit(0))
@@ -160,6 +164,14 @@ def strictly_prior(queries: DataFrame, events: DataFrame, keys: list[str], time:
     return out
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of two per-group tables in which an unknown key equals an unknown key."""
+    if not keys:
+        return attach_one_row(left, right)
+    tagged = right.withColumn("_group", F.struct(*keys)).drop(*keys)
+    return left.withColumn("_group", F.struct(*keys)).join(tagged, "_group", "left").drop("_group")
+
+
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of an ungrouped aggregate. Its size is one row, so a broadcast is safe."""
     return df.join(F.broadcast(one_row), how="cross")

@@ -78,7 +78,7 @@ def delivery_rates(df: DataFrame, keys: list[str]) -> DataFrame:
                                    ("median_days_late", state == "late", "days_late"),
                                    ("median_promise_delta", eligible, "promise_delta")]:
         part = ordered.quantiles(df.where(condition), keys, value, {name: .5}, width=ordered.UNITS)
-        rated = rated.join(part, keys, "left")
+        rated = ordered.join_groups(rated, part, keys)
     return rated
 
 

@@ -126,4 +126,4 @@ def duration_summary(df: DataFrame, keys: list[str], value: str, eligible: Colum
     points = ordered.quantiles(df.where(ok), keys, value, {
         "p05_days": .05, "q25_days": .25, "median_days": .5, "q75_days": .75, "p95_days": .95},
         scale=scale, width=width)
-    return counts.join(points, keys, "left") if keys else ordered.attach_one_row(counts, points)
+    return ordered.join_groups(counts, points, keys)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from ordertide.operators import evaluation, history, ordered, peers
+from ordertide.operators import evaluation, history, ordered, peers, process
 
 RNG = random.Random(11)
 ROWS = [("hot" if RNG.random() < 0.4 else f"k{RNG.randint(0, 6)}", RNG.randint(-40, 400), RNG.randint(0, 9)) for _ in range(600)]
@@ -86,3 +86,9 @@ def test_pareto_two_metrics_equals_brute_force(spark):
     df = spark.createDataFrame(pts, "id long, x long, y long")
     got = {r.id for r in evaluation.pareto_frontier(df, "id", ["x", "y"], width=3).collect()}
     assert got == {i for i, x, y in pts if not any(a >= x and b >= y and (a > x or b > y) for _, a, b in pts)}
+
+
+def test_unknown_group_keeps_its_quantiles(spark):
+    df = spark.createDataFrame([(None, 1), (None, 3), ("a", 5)], "k string, duration_s long")
+    got = {r.k: (r.rows, r.median_days) for r in process.duration_summary(df, ["k"], "duration_s", scale=1.0, width=2).collect()}
+    assert got == {None: (2, 2.0), "a": (1, 5.0)}
