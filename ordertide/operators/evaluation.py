@@ -216,8 +216,7 @@ def ks_and_wasserstein(df: DataFrame, keys: list[str], value: str, first: Column
     """Two-sample KS distance and 1-Wasserstein distance from one running table over the pooled values."""
     t = ordered.running(df.where(F.col(value).isNotNull()), keys, value, {"a": first.cast("long"), "b": (~first).cast("long")}, **chunking)
     gap = F.abs(F.col("a_upto") / F.col("a_total") - F.col("b_upto") / F.col("b_total"))
-    # The value after each distinct value is the previous one of the descending order; weight by telescoping:
-    # sum |F1-F2| (v_next - v) needs v_next, which the same running pass gives as a descending maximum.
+    # Wasserstein sums gap * (next value - value); the next larger value is a descending running minimum.
     up = ordered.running(df.where(F.col(value).isNotNull()), keys, value, maxima={"neg": -F.col(value)}, descending=True, **chunking).select(
         *keys, value, (-F.col("neg_before")).alias("next_value"))
     both = t.join(up, [*keys, value])

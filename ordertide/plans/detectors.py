@@ -459,3 +459,11 @@ def capped(shop):
 def paired(shop):
     m = matrix(shop).select("order_id", F.expr("stack(2, 'constant', abs(quantity - 90.0D), 'discount', abs(quantity - discount_points * 4.0D)) AS (model, error)"))
     return rounded(evaluation.paired_difference(m, "constant", "discount"), 5)
+
+
+@query("e25_wasserstein_1d", sql("""WITH t AS (SELECT raw_status, discount_points AS x, count(*) FILTER (WHERE role='fit') AS a, count(*) FILTER (WHERE role<>'fit') AS b FROM meas GROUP BY 1,2),
+c AS (SELECT *, sum(a) OVER w/sum(a) OVER g AS fa, sum(b) OVER w/sum(b) OVER g AS fb, lead(x) OVER w AS nx FROM t WINDOW w AS (PARTITION BY raw_status ORDER BY x), g AS (PARTITION BY raw_status))
+SELECT raw_status, round(sum(abs(fa-fb)*(nx-x)),6) AS wasserstein FROM c GROUP BY 1"""))
+def wasserstein(shop):
+    out = evaluation.ks_and_wasserstein(matrix(shop), ["raw_status"], "discount_points", F.col("role") == "fit", width=ordered.UNITS)
+    return rounded(out.select("raw_status", "wasserstein"))
