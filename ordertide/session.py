@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +24,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    _ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that functions sent by reference are found there."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), f"{root.name}.zip")
+    Path(archive).write_bytes(content.getvalue())
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can read. Taken from the session; a temporary one only where unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
