@@ -20,12 +20,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordertide.llm.text import table
+from ordertide.llm.text import Words, blocks, buffers, table
 
 KEY = "surrogate-key-1"
 #: Most colliding names that are broadcast; more stop the job, because they mean that the name lists are too short.
@@ -153,37 +154,100 @@ def surrogate(kind: str, text: str, key: str = KEY, attempts: dict | None = None
     return f"{text[:match.start('first')]}{new_first} {new_last}"
 
 
-def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
-    for m in PATTERN.finditer(text):
+def entities(text: str, start: int = 0) -> Iterator[tuple[str, str, int, int]]:
+    for m in PATTERN.finditer(text, start):
         kind = next(k for k in TYPES if m[k] is not None)
         yield kind, m.group(), m.start(), m.end()
 
 
-def replace(text: str, key: str = KEY, attempts: dict | None = None) -> tuple[str, dict[str, int]]:
-    """The text with surrogates, and the number of entities of each type."""
-    out, at, found = [], 0, {}
-    for kind, old, start, end in entities(text):
-        out += [text[at:start], surrogate(kind, old, key, attempts)]
+def replace(text: str, key: str = KEY, attempts: dict | None = None, start: int = 0) -> tuple[str, dict[str, int]]:
+    """The text from ``start`` on with surrogates, and the number of entities of each type."""
+    out, at, found = [], start, {}
+    for kind, old, begin, end in entities(text, start):
+        out += [text[at:begin], surrogate(kind, old, key, attempts)]
         at, found[kind] = end, found.get(kind, 0) + 1
-    return ("".join([*out, text[at:]]) if out else text), found
+    return "".join([*out, text[at:]]), found
+
+
+@functools.lru_cache(maxsize=1)
+def _title_hashes() -> np.ndarray:
+    data, offsets = buffers(pa.array([t + dot for t in TITLES for dot in ("", ".")]))
+    return np.unique(Words(data, offsets).hash)
+
+
+_MARKS = np.array([48 <= b <= 57 or b == 64 for b in range(256)])
+_UPPER = np.array([65 <= b <= 90 for b in range(256)])
+CONTEXT = 16  # bytes before a stretch that its patterns may look back to
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, only_titles: bool = False) -> list[tuple[int, int, int]]:
+    """(text, first byte, last byte) of the runs of words that can hold an entity: words with a digit or an at sign, titles
+    with the two words behind them, and groups of four capitals between such words."""
+    words = Words(data, offsets)
+    if not len(words.start):
+        return []
+    titles = np.isin(words.hash, _title_hashes())
+    flag = titles.copy()
+    flag[1:] |= titles[:-1]
+    flag[2:] |= titles[:-2]
+    if not only_titles:
+        marks = np.concatenate([[0], np.cumsum(_MARKS[data], dtype=np.int32)])
+        flag |= marks[words.end] > marks[words.start]
+        four = np.flatnonzero((words.end - words.start == 4) & ~flag)
+        flag[four[_UPPER[data[words.start[four][:, None] + np.arange(4)]].all(axis=1)]] = True
+    at = np.flatnonzero(flag)
+    if not len(at):
+        return []
+    text = np.searchsorted(words.first, at, "right") - 1
+    joined = np.zeros(len(at), bool)
+    joined[1:] = (at[1:] == at[:-1] + 1) & (text[1:] == text[:-1]) & (words.start[at[1:]] == words.end[at[:-1]] + 1)
+    first = np.flatnonzero(~joined)
+    last = np.append(first[1:], len(at)) - 1
+    return list(zip(text[first].tolist(), words.start[at[first]].tolist(), words.end[at[last]].tolist(), strict=True))
+
+
+def _with_context(data: np.ndarray, begin: int, low: int, high: int) -> tuple[str, int]:
+    """The stretch low..high with some text before it, and where the stretch starts in it."""
+    before = data[max(begin, low - CONTEXT):low].tobytes().decode("utf-8", "ignore")
+    return before + data[low:high].tobytes().decode("utf-8", "surrogatepass"), len(before)
+
+
+def replace_block(data: np.ndarray, offsets: np.ndarray, key: str, attempts: dict) -> dict[int, tuple[str, dict[str, int]]]:
+    """New text and entity counts of the texts of a block that hold an entity."""
+    pieces: dict[int, list] = {}
+    for row, low, high in stretches(data, offsets):
+        text, start = _with_context(data, offsets[row], low, high)
+        new, found = replace(text, key, attempts, start)
+        if found:
+            pieces.setdefault(row, []).append((low, high, new, found))
+    out = {}
+    for row, changed in pieces.items():
+        at, parts, total = offsets[row], [], {}
+        for low, high, new, found in changed:
+            parts += [data[at:low].tobytes().decode("utf-8", "surrogatepass"), new]
+            at = high
+            total = {k: total.get(k, 0) + found.get(k, 0) for k in {**total, **found}}
+        parts.append(data[at:offsets[row + 1]].tobytes().decode("utf-8", "surrogatepass"))
+        out[row] = "".join(parts), total
+    return out
 
 
-def _names(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen = set()
-        for text in batch.column(0).to_pylist():
-            for m in PATTERN.finditer(text or ""):
-                if m["name"]:
-                    seen.add((TITLES.get(m["title"], "m"), m["first"], m["last"], f"{m['title']} {m['first']} {m['last']}"))
+        for _, _, data, offsets in blocks(batch, "text"):
+            for row, low, high in stretches(data, offsets, only_titles=True):
+                text, start = _with_context(data, offsets[row], low, high)
+                for m in PATTERN.finditer(text, start):
+                    if m["name"]:
+                        seen.add((TITLES.get(m["title"], "m"), m["first"], m["last"], f"{m['title']} {m['first']} {m['last']}"))
         rows = sorted(seen)
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["gender", "first", "last", "sample"])
 
 
-def name_attempts(docs: DataFrame, key: str = KEY) -> dict[tuple[str, str, str], int]:
+def name_attempts(docs: DataFrame, key: str) -> dict[tuple[str, str, str], int]:
     """Attempts of the names whose surrogates would otherwise collide (checked over all names of the corpus)."""
-    spark = docs.sparkSession
-    titled = docs.select("text").where(F.col("text").rlike("(" + "|".join(TITLES) + r")\.? \p{L}"))
-    names = (titled.mapInArrow(functools.partial(_names, key), "gender string, first string, last string, sample string")
+    names = (docs.select("text").mapInArrow(_names, "gender string, first string, last string, sample string")
              .groupBy("gender", "first", "last").agg(F.min("sample").alias("sample")))
     attempts: dict[tuple[str, str, str], int] = {}
     for _ in range(50):
@@ -207,16 +271,20 @@ def name_attempts(docs: DataFrame, key: str = KEY) -> dict[tuple[str, str, str],
 
 
 def _apply(key: str, held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    attempts = held.value
     for batch in batches:
         k = batch.schema.get_field_index("text")
-        texts, counts = [], []
-        for text in batch.column(k).to_pylist():
-            new, found = (None, {}) if text is None else replace(text, key, attempts)
-            texts.append(new)
-            counts.append(list(found.items()))
-        columns = [pa.array(texts, pa.string()) if j == k else c for j, c in enumerate(batch.columns)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.map_(pa.string(), pa.int32()))], names=[*batch.schema.names, "_entities"])
+        for lo, hi, data, offsets in blocks(batch, "text"):
+            part = batch.slice(lo, hi - lo)
+            changed = replace_block(data, offsets, key, held.value)
+            texts = part.column(k)
+            if changed:
+                values = texts.to_pylist()
+                for row, (new, _) in changed.items():
+                    values[row] = new
+                texts = pa.array(values, pa.string())
+            counts = [list(changed[row][1].items()) if row in changed else [] for row in range(hi - lo)]
+            columns = [texts if j == k else c for j, c in enumerate(part.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.map_(pa.string(), pa.int32()))], names=[*batch.schema.names, "_entities"])
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
