@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ordertide.llm import gamma_samples, language, mixing, surrogates, url_rules, winnow
+from ordertide.llm import bag_minhash, gamma_samples, language, mixing, surrogates, url_rules, winnow
 from ordertide.llm.text import table
 
 QUERIES = {
     "op1_language": language.op1_language,
+    "op2_bag_minhash": bag_minhash.op2_bag_minhash,
     "op3_url_rules": url_rules.op3_url_rules,
     "op5_surrogates": surrogates.op5_surrogates,
     "op6_mixing": mixing.op6_mixing,
