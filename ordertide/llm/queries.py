@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ordertide.llm import bag_minhash, gamma_samples, language, mixing, surrogates, url_rules, winnow
+from ordertide.llm import automaton_dedup, bag_minhash, gamma_samples, language, mixing, suffix_dedup, surrogates, url_rules, winnow
 from ordertide.llm.text import table
 
 QUERIES = {
@@ -11,6 +11,8 @@ QUERIES = {
     "op3_url_rules": url_rules.op3_url_rules,
     "op5_surrogates": surrogates.op5_surrogates,
     "op6_mixing": mixing.op6_mixing,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_automaton_dedup": automaton_dedup.op8_automaton_dedup,
     "op9_gamma_samples": gamma_samples.op9_gamma_samples,
     "op10_winnowing": lambda spark, sf_dir: winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
