@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ordertide.llm import automaton_dedup, bag_minhash, gamma_samples, language, mixing, suffix_dedup, surrogates, url_rules, winnow
+from ordertide.llm import attention, automaton_dedup, bag_minhash, gamma_samples, language, mixing, suffix_dedup, surrogates, url_rules, winnow
 from ordertide.llm.text import table
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_bag_minhash": bag_minhash.op2_bag_minhash,
     "op3_url_rules": url_rules.op3_url_rules,
+    "op4_attention": attention.op4_attention,
     "op5_surrogates": surrogates.op5_surrogates,
     "op6_mixing": mixing.op6_mixing,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
