@@ -107,9 +107,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum(worded) * BANDS]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[worded].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, n), pa.array([row.tobytes() for row in ident], pa.binary()), pa.array(np.diff(cut), pa.int32()), keys,
+                [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array([row.tobytes() for row in ident], pa.binary()), pa.array(np.diff(cut), pa.int32()), keys,
                  pa.array([short[cut[k]:cut[k + 1]].tobytes() for k in range(n)], pa.binary())],
-                names=["doc_id", "t", "n", "bands", "shingles"])
+                names=["doc_id", "key", "t", "n", "bands", "shingles"])
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -140,14 +140,14 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Each row's doc_id, text id and class_id, the smallest doc_id of all texts linked with its text.
+    """Each row's doc_id, key (hash of its text), label (of its class) and class_id, the smallest doc_id of all texts linked with its text.
 
     Equal texts are in one class; a text without a word (null, empty, white space) is in a class of its own, as is a row
     without a link. Null ids never name a class unless all of its ids are null. Repeated rows are kept. An empty table
     gives no rows; further columns are ignored.
     """
-    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sign, "doc_id long, t binary, n int, bands array<long>, shingles binary"), "signed")
+    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(
+        _sign, "doc_id long, key long, t binary, n int, bands array<long>, shingles binary"), "signed")
     bands = signed.where("n > 0").select("t", F.explode("bands").alias("band")).distinct()
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(bands.join(shared, "band"), "members")
@@ -182,11 +182,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         hubs_per_band *= 4
         if open_.limit(1).count() == 0:
             break
-    of_text = signed.select("doc_id", "t", "n").join(labels.withColumnRenamed("node", "t"), "t", "left")
-    of_text = materialize(of_text.select("doc_id", "t", "n", F.coalesce("label", "t").alias("label")), "classes")
+    of_text = signed.select("doc_id", "key", "t", "n").join(labels.withColumnRenamed("node", "t"), "t", "left")
+    of_text = materialize(of_text.select("doc_id", "key", "t", "n", F.coalesce("label", "t").alias("label")), "classes")
     named = of_text.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return of_text.where("n > 0").join(named, "label").select("doc_id", "t", "class_id").unionByName(
-        of_text.where("n = 0").select("doc_id", "t", F.col("doc_id").alias("class_id")))
+    return of_text.where("n > 0").join(named, "label").select("doc_id", "key", "label", "class_id").unionByName(
+        of_text.where("n = 0").select("doc_id", "key", F.lit(None).cast("binary").alias("label"), F.col("doc_id").alias("class_id")))
+
+
+def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each class, that with the smallest id (then the smallest text hash); columns stay as they are.
+
+    Texts without a word all stay. Of wholly equal rows one stays.
+    """
+    last = F.lit((1 << 63) - 1)
+    classes = near_duplicates(docs, similarity).withColumn("_rank", F.coalesce("doc_id", last))
+    first = classes.where("label is not null").groupBy("label").agg(F.min(F.struct("_rank", "key")).alias("first"))
+    stay = materialize(first.select("first._rank", F.col("first.key").alias("_key")).unionByName(
+        classes.where("label is null").select("_rank", F.col("key").alias("_key"))).distinct(), "stay")
+    kept = docs.withColumns({"_rank": F.coalesce(F.col("doc_id").cast("long"), last), "_key": F.xxhash64("text")}).join(stay, ["_rank", "_key"], "left_semi")
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    turn = F.row_number().over(Window.partitionBy("_rank", "_key").orderBy(F.lit(0)))
+    return kept.withColumn("_turn", turn).where((F.col("_turn") == 1) | ~worded).select(*docs.columns)
 
 
 def op2_bag_minhash(spark, sf_dir: str) -> DataFrame:
