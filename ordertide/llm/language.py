@@ -8,7 +8,7 @@ hash, with a column per language; backoff weights of contexts are stored the sam
 with the lowest cross-entropy per character.
 
 Rejection is calibrated: for each language a threshold is set above the cross-entropies of held-back training texts
-(their ``REJECT_QUANTILE`` plus ``REJECT_MARGIN`` nats); a text above the threshold of its best language is rejected, as
+(their ``REJECT_QUANTILE`` plus ``REJECT_MARGIN`` nats, and more for short texts); a text above the threshold of its best language is rejected, as
 is a text without letters.
 
 Training is bounded: about ``TRAIN_ROWS`` rows per label, drawn by a hash of the id. Counting runs in Spark; only the
@@ -33,6 +33,7 @@ TRAIN_ROWS = 600  # rows per label, about
 DISCOUNT = 0.75
 CALIBRATION_SHARE = 5  # one training row of so many is held back for the thresholds
 REJECT_QUANTILE, REJECT_MARGIN = 0.999, 0.5
+SHORT_SLACK = 6.0  # over the root of the number of symbols: the entropy of a short text varies more
 CONFIDENCE = 12.0  # posterior sharpness per nat of cross-entropy
 UNKNOWN = "und"
 
@@ -200,7 +201,7 @@ class CharacterModels:
         low = entropy[np.arange(len(best)), best]
         odds = np.exp(-CONFIDENCE * (entropy - low[:, None]))
         score = np.where(lettered, 1.0 / odds.sum(axis=1), 0.0)
-        return np.where(lettered, best, -1), score, low, ~lettered | (low > self.thresholds[best])
+        return np.where(lettered, best, -1), score, low, ~lettered | (low > self.thresholds[best] + SHORT_SLACK / np.sqrt(np.maximum(length, 1)))
 
 
 GRAM_SCHEMA = "n int, gram long, context long, suffix long, language int, c long"
