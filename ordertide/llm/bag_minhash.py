@@ -8,11 +8,12 @@ smallest point. Points beyond a text's largest minimum can change nothing, so ev
 about as many points as it has shingles plus m ln m, instead of m for each shingle. Components of two texts agree with a
 probability equal to their weighted Jaccard similarity.
 
-Signatures are cut into bands. Texts that share a band are candidates. In each shared band the text that shares most
-bands overall is the hub; every other member is verified against it by exact multiset overlap. Members that stay outside
-the hub's component give the next hubs, four times as many each round, which are verified against the members outside
-their components, until each band's members are verified with each other or connected. So no pairs of a group are emitted beyond hubs, and no candidate link between
-components is left out. Equal texts are one text throughout.
+Signatures are cut into bands. Texts that share a band are candidates: in a band of up to eight texts each with each, in a
+larger one each with the two that agree with it in most signature components and are not yet in its component. Candidates
+are verified by exact multiset overlap, components are formed, and members of larger bands look for further partners
+outside their component until a round finds none. So a group of n texts gives a number of candidates in proportion to n,
+and each text still meets its closest partners. Bands of more than 4096 texts are dealt into chunks, differently in every
+band; memory and time per member stay bounded. Equal texts are one text throughout.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from ordertide.session import materialize
 
 WORDS_PER_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 misses every band once in 14 000
+SMALL, NEAREST, CHUNK = 8, 2, 4096
+LEAST_AGREEMENT = 0.6  # of a signature's components: five standard deviations below the threshold
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +111,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[worded].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array([row.tobytes() for row in ident], pa.binary()), pa.array(np.diff(cut), pa.int32()), keys,
-                 pa.array([short[cut[k]:cut[k + 1]].tobytes() for k in range(n)], pa.binary())],
-                names=["doc_id", "key", "t", "n", "bands", "shingles"])
+                 pa.array([short[cut[k]:cut[k + 1]].tobytes() for k in range(n)], pa.binary()),
+                 pa.array([row.tobytes() for row in sig.astype(np.uint16)], pa.binary())],
+                names=["doc_id", "key", "t", "n", "bands", "shingles", "sig"])
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -139,6 +143,60 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return met.mapInArrow(_verify, "a binary, b binary, similarity double").where(F.col("similarity") >= similarity)
 
 
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of bands that arrive in order of (band, chunk): columns band, chunk, t, label, sig."""
+    held: list[tuple] = []
+    for batch in batches:
+        rows = held + list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        last = rows[-1][:2] if rows else None
+        cut = next((k for k in range(len(rows) - 1, -1, -1) if rows[k][:2] != last), -1) + 1
+        yield _pairs(rows[:cut])
+        held = rows[cut:]
+    yield _pairs(held)
+
+
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    out, start = set(), 0
+    for k in range(1, len(rows) + 1):
+        if k == len(rows) or rows[k][:2] != rows[start][:2]:
+            group = rows[start:k]
+            if group[0][4] is None:
+                out.update((min(a[2], b[2]), max(a[2], b[2])) for i, a in enumerate(group) for b in group[:i] if a[3] != b[3])
+            else:
+                out.update(_nearest(group))
+            start = k
+    pairs = sorted(out)
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+
+
+def _nearest(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+    """For each text the ``NEAREST`` texts of other labels that agree in most components, if at least ``LEAST_AGREEMENT`` do."""
+    sig = np.stack([np.frombuffer(r[4], np.uint16) for r in group])
+    _, label = np.unique([r[3] for r in group], return_inverse=True)
+    if label.max(initial=0) == 0:
+        return
+    columns = np.ascontiguousarray(sig.T)
+    for lo in range(0, len(group), 256):
+        agree = np.zeros((len(sig[lo:lo + 256]), len(sig)), np.uint8)
+        for c in columns:
+            agree += c[lo:lo + 256, None] == c[None, :]
+        agree[label[lo:lo + 256, None] == label[None, :]] = 0
+        for _ in range(NEAREST):
+            best = agree.argmax(axis=1)
+            most = agree[np.arange(len(best)), best]
+            for k in np.flatnonzero(most >= LEAST_AGREEMENT * BANDS * ROWS).tolist():
+                a, b = group[lo + k][2], group[best[k]][2]
+                yield (a, b) if a < b else (b, a)
+            agree[np.arange(len(best)), best] = 0
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a, b) of members (band, size, t, label, sig) with different labels."""
+    chunks = F.when(F.col("size") > CHUNK, F.pmod(F.xxhash64("band", "t"), F.ceil(F.col("size") / CHUNK))).otherwise(F.lit(0)).cast("long")
+    dealt = members.withColumn("chunk", chunks).repartition("band", "chunk").sortWithinPartitions("band", "chunk")
+    return dealt.select("band", "chunk", "t", "label", "sig").mapInArrow(_partners, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Each row's doc_id, key (hash of its text), label (of its class) and class_id, the smallest doc_id of all texts linked with its text.
 
@@ -147,41 +205,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     gives no rows; further columns are ignored.
     """
     signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(
-        _sign, "doc_id long, key long, t binary, n int, bands array<long>, shingles binary"), "signed")
+        _sign, "doc_id long, key long, t binary, n int, bands array<long>, shingles binary, sig binary"), "signed")
     bands = signed.where("n > 0").select("t", F.explode("bands").alias("band")).distinct()
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(bands.join(shared, "band"), "members")
-    popular = members.groupBy("t").agg(F.sum("size").alias("weight"))
-    members = materialize(members.join(popular, "t").select("band", "t", "weight"), "members")
-    wanted = members.select("t").distinct()
-    texts = materialize(signed.join(wanted, "t", "left_semi").select("t", "n", "shingles").dropDuplicates(["t"]), "texts")
-    first_of = Window.partitionBy("band").orderBy(F.desc("weight"), F.xxhash64("band", "t"), "t")
-    mapped, open_, hubs_per_band = members.withColumn("label", F.col("t")), members, 1
-    links = labels = tested = None
+    members = materialize(bands.join(shared, "band").withColumn("label", F.col("t")), "members")
+    texts = materialize(signed.join(members.select("t").distinct(), "t", "left_semi").select("t", "n", "shingles", "sig").dropDuplicates(["t"]), "texts")
+    large = materialize(members.where(F.col("size") > SMALL).join(texts.select("t", "sig"), "t"), "large")
+    none = F.lit(None).cast("binary")
+    pairs = materialize(candidates(members.where(F.col("size") <= SMALL).select("band", "size", "t", "label", none.alias("sig")).unionByName(
+        large.select("band", "size", "t", "label", "sig"))), "pairs")
+    links, tested = None, pairs
     while True:
-        hubs = materialize(open_.withColumn("k", F.row_number().over(first_of)).where(F.col("k") <= hubs_per_band)
-                           .select("band", F.col("t").alias("hub")), "hubs")
-        of_hub = hubs if labels is None else hubs.join(labels.withColumnRenamed("node", "hub"), "hub", "left")
-        of_hub = of_hub.select("band", "hub", F.col("hub").alias("own") if labels is None else F.coalesce("label", "hub").alias("own"))
-        pairs = (mapped.join(of_hub, "band").where(F.col("label") != F.col("own"))
-                 .select(F.least("t", "hub").alias("a"), F.greatest("t", "hub").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
         found = materialize(verified(pairs, texts, similarity).select("a", "b"), "found")
-        if labels is None or found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links)
-            mapped = materialize(members.join(labels.withColumnRenamed("node", "t"), "t", "left").select("band", "t", F.coalesce("label", "t").alias("label")), "mapped")
-        # Still open: bands whose members lie in several components, without the members that were hubs there.
-        several = mapped.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        rest = open_.join(hubs.withColumnRenamed("hub", "t"), ["band", "t"], "left_anti").join(several, "band", "left_semi")
-        more = rest.groupBy("band").agg(F.count(F.lit(1)).alias("left")).where("left > 1").select("band")
-        open_ = materialize(rest.join(more, "band", "left_semi"), "open")
-        hubs_per_band *= 4
-        if open_.limit(1).count() == 0:
+        if links is not None and found.limit(1).count() == 0:
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = connected_components(links)
+        if large.limit(1).count() == 0:
             break
+        # Members of large bands look again, now for partners outside their component.
+        again = large.drop("label").join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
+        pairs = materialize(candidates(again).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
     of_text = signed.select("doc_id", "key", "t", "n").join(labels.withColumnRenamed("node", "t"), "t", "left")
     of_text = materialize(of_text.select("doc_id", "key", "t", "n", F.coalesce("label", "t").alias("label")), "classes")
     named = of_text.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("class_id"))
