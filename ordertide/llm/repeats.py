@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordertide.llm.text import CODES, Rolling, Words, blocks, buffers, mix, sliding_min
-from ordertide.session import materialize
+from ordertide.llm.text import CODES, Rolling, Words, blocks, mix, settle, sliding_min
 
 BUCKET_BYTES = 8 << 20  # bytes of text per bucket, about
 NO_ID = np.iinfo(np.int64).max
@@ -261,7 +260,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_stretches(docs: DataFrame, frame: Frame) -> DataFrame:
     """(rank, key, stretches): packed starts and sizes, in symbols, of what repeats in the text of that id and key."""
-    def settle(table: pa.Table) -> pa.Table:
+    def settle_runs(table: pa.Table) -> pa.Table:
         return _settle(frame, table)
 
     def resolve(table: pa.Table) -> pa.Table:
@@ -270,13 +269,13 @@ def repeated_stretches(docs: DataFrame, frame: Frame) -> DataFrame:
     rows = keyed(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, int(size // BUCKET_BYTES))
-    sent = rows.select("rank", "key", "text").mapInArrow(functools.partial(_send_runs, frame, buckets), "bucket int, docs binary, runs binary")
-    found = materialize(sent.groupBy("bucket").applyInArrow(settle, FOUND), "settled")
+    found = settle(rows.select("rank", "key", "text").mapInArrow(functools.partial(_send_runs, frame, buckets), "bucket int, docs binary, runs binary")
+                   .groupBy("bucket").applyInArrow(settle_runs, FOUND), "settled")
     wanted = found.where("kind = 1").groupBy("rank", "key").agg(F.collect_list("packed").alias("wanted"))
     # Rows that repeat send their spans twice; those occur more than once anyway.
-    cut = rows.select("rank", "key", "text").join(wanted, ["rank", "key"])
-    spans = cut.mapInArrow(functools.partial(_cut_spans, frame, buckets), "shard int, docs binary, spans binary, content binary")
-    resolved = materialize(spans.groupBy("shard").applyInArrow(resolve, FOUND), "resolved")
+    resolved = settle(rows.select("rank", "key", "text").join(wanted, ["rank", "key"]).mapInArrow(
+        functools.partial(_cut_spans, frame, buckets), "shard int, docs binary, spans binary, content binary")
+        .groupBy("shard").applyInArrow(resolve, FOUND), "resolved")
     stretches = found.where("kind = 0").select("rank", "key", "packed").unionByName(resolved.select("rank", "key", "packed"))
     return stretches.groupBy("rank", "key").agg(F.collect_list("packed").alias("stretches"))
 
@@ -294,6 +293,3 @@ def removed_flags(n: int, lists: list[bytes] | None) -> np.ndarray:
     np.add.at(change, rows["start"], 1)
     np.add.at(change, rows["start"].astype(np.int64) + rows["size"], -1)
     return np.cumsum(change[:-1]) > 0
-
-
-__all__ = ["Frame", "buffers", "keyed", "removed_flags", "repeated_stretches", "runs_of", "with_stretches"]

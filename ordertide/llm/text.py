@@ -7,13 +7,14 @@ window of any length costs two lookups. They depend on content only and are equa
 from __future__ import annotations
 
 import functools
+import gc
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertide.session import prepare
+from ordertide.session import materialize, prepare
 
 #: Bytes of text handled at once inside a task; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -28,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """A written table, after which the shuffle files behind it are released (pass the plan in, keep no other reference)."""
+    out = materialize(df, name)
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
 def split_remainder(doc_id, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
