@@ -59,10 +59,33 @@ class Frame:
 
 RUN = np.dtype([("anchor", "<u4"), ("high", "<u4"), ("low", "<u2"), ("text", "<u2"), ("start", "<u4"), ("n", "u1")])
 REP = np.dtype([("group", "<u8"), ("start", "<u4"), ("n", "u1"), ("weight", "<u4")])
+DOC = np.dtype([("rank", "<i8"), ("key", "<i8")])
 SPAN = np.dtype([("group", "<u8"), ("text", "<u4"), ("start", "<u4"), ("n", "u1"), ("weight", "<u4")])
 STRETCH = np.dtype([("start", "<u4"), ("size", "<u4")])
 
 
+def by_field(rows: np.ndarray) -> bytes:
+    """Packed rows field by field, numbers byte by byte: equal high bytes lie together and shrink in the shuffle."""
+    return b"".join(np.ascontiguousarray(rows[name]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for name in rows.dtype.names)
+
+
+def from_fields(packed: bytes, dtype: np.dtype) -> np.ndarray:
+    n, at = len(packed) // dtype.itemsize, 0
+    out = np.empty(n, dtype)
+    for name in dtype.names:
+        size = dtype[name].itemsize
+        own = np.frombuffer(packed, np.uint8, n * size, at).reshape(size, n)
+        out[name] = np.ascontiguousarray(own.T).view(dtype[name]).ravel()
+        at += n * size
+    return out
+
+
+def doc_rows(rank: np.ndarray, key: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rank), DOC)
+    out["rank"], out["key"] = rank, key
+    return out
+
+
 def runs_of(frame: Frame, codes: np.ndarray, first: np.ndarray):
     """Anchor hash, span hash, first window and number of windows of every run of a block."""
     width = frame.length - frame.gram + 1
@@ -116,8 +139,8 @@ def _send_runs(frame: Frame, buckets: int, batches: Iterator[pa.RecordBatch]) ->
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 own, place = np.unique(text[a:b], return_inverse=True)
                 row["text"][a:b] = place
-                docs.append(np.stack([rank[lo + own], key[lo + own]], axis=1).astype(np.int64).tobytes())
-                packed.append(row[a:b].tobytes())
+                docs.append(by_field(doc_rows(rank[lo + own], key[lo + own])))
+                packed.append(by_field(row[a:b]))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(docs, pa.binary()), pa.array(packed, pa.binary())],
                                              names=["bucket", "docs", "runs"])
 
@@ -147,8 +170,8 @@ def _settle(frame: Frame, table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     docs, runs, shift = [], [], 0
     for d, r in zip(table.column("docs").to_pylist(), table.column("runs").to_pylist(), strict=True):
-        own = np.frombuffer(r, RUN)
-        docs.append(np.frombuffer(d, np.int64).reshape(-1, 2))
+        own = from_fields(r, RUN)
+        docs.append(from_fields(d, DOC).view(np.int64).reshape(-1, 2))
         runs.append((own, own["text"].astype(np.int64) + shift))
         shift += len(docs[-1])
     docs, text = np.concatenate(docs), np.concatenate([t for _, t in runs])
