@@ -9,7 +9,7 @@ about as many points as it has shingles plus m ln m, instead of m for each shing
 probability equal to their weighted Jaccard similarity.
 
 Signatures are cut into bands. Texts that share a band are candidates: in a band of up to eight texts each with each, in a
-larger one each with the two that agree with it in most signature components and are not yet in its component. Candidates
+larger one each with the one that agrees with it in most signature components and is not yet in its component. Candidates
 are verified by exact multiset overlap, components are formed, and members of larger bands look for further partners
 outside their component until a round finds none. So a group of n texts gives a number of candidates in proportion to n,
 and each text still meets its closest partners. Bands of more than 4096 texts are dealt into chunks, differently in every
@@ -31,7 +31,7 @@ from ordertide.session import materialize
 
 WORDS_PER_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 misses every band once in 14 000
-SMALL, NEAREST, CHUNK = 8, 2, 4096
+SMALL, NEAREST, CHUNK = 8, 1, 4096
 LEAST_AGREEMENT = 0.6  # of a signature's components: five standard deviations below the threshold
 
 
