@@ -145,7 +145,8 @@ def robust_scale(df: DataFrame, features: list[str], stats: DataFrame) -> DataFr
 def vote_hybrid(df: DataFrame, flags: list[str]) -> DataFrame:
     votes = reduce(lambda a, b: a + b, [F.coalesce(F.col(f), F.lit(False)).cast("long") for f in flags])
     return df.withColumn("votes", votes).withColumn("hybrid_anomaly", F.col("votes") >= 2).withColumn(
-        "anomaly_level", tristate.first_match([("Normal", F.col("votes") == 0), ("Low", F.col("votes") == 1), ("Medium", F.col("votes") == 2)], "High"))
+        "anomaly_level", tristate.first_match(
+            [("Normal", F.col("votes") == 0), ("Warning", F.col("votes") == 1), ("Anomaly", F.col("votes") == 2)], "High-confidence anomaly"))
 
 
 def rule_flags(df: DataFrame) -> DataFrame:
@@ -157,8 +158,7 @@ def rule_flags(df: DataFrame) -> DataFrame:
 
 
 def severity_of_deviation(fitness: Column, reversed_flag: Column) -> Column:
-    return tristate.first_match([("Severe", reversed_flag & (fitness < 0.8)), ("Significant", reversed_flag | (fitness < 0.8)),
-                                 ("Mild", fitness < 1.0)], "Normal")
+    return tristate.first_match([("Severe", reversed_flag | (fitness < 0.5)), ("Significant", fitness < 0.8), ("Mild", fitness < 1.0)], "Normal")
 
 
 def classify_case(missing: Column, reversed_flag: Column, fitness: Column, negative: Column, long: Column, severe: Column,

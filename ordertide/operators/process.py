@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,7 +87,8 @@ def trace_fitness(ranks: Column, length: int) -> Column:
 
 
 def fitness_band(fitness: Column) -> Column:
-    return tristate.first_match([("perfect", fitness >= 1.0), ("high", fitness >= 0.9), ("medium", fitness >= 0.7)], "low")
+    # Names and edges of the bands.
+    return tristate.first_match([("1.0", fitness >= 1.0), ("0.8-<1.0", fitness >= 0.8), ("0.5-<0.8", fitness >= 0.5)], "<0.5")
 
 
 def conformance(log: DataFrame, activities: list[str]) -> DataFrame:
@@ -93,9 +96,9 @@ def conformance(log: DataFrame, activities: list[str]) -> DataFrame:
     v = trace_variant(log)
     n = len(activities)
     ranks = F.col("ranks")
-    positions = F.transform(ranks, lambda r: r)
-    reversed_flag = F.exists(F.sequence(F.lit(1), F.greatest(F.size(ranks) - 1, F.lit(1))),
-                             lambda i: F.coalesce(F.get(positions, i) < F.get(positions, i - 1), F.lit(False)))
+    # Adjacent activities of the reference process that are both present, the later one before the earlier one.
+    at = [F.array_position(ranks, k) for k in range(n)]
+    reversed_flag = functools.reduce(lambda a, b: a | b, [(at[k + 1] > 0) & (at[k + 1] < at[k]) for k in range(n - 1)], F.lit(False))
     fitness = trace_fitness(ranks, n)
     return v.select("case_id", "variant", "event_count", "has_equal_times", fitness.alias("fitness"),
                     fitness_band(fitness).alias("fitness_band"),

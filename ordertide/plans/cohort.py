@@ -134,7 +134,7 @@ def funnel_flags(shop):
         "case_id", "variant", "fitness", "fitness_band", (F.col("fitness") < 0.75).alias("low_fit"), F.col("reversed_flag").alias("reversed"), (F.col("missing_event_count") > 0).alias("missing"))
 
 
-define("ff", "SELECT case_id, variant, fitness, CASE WHEN fitness>=1.0 THEN 'perfect' WHEN fitness>=0.9 THEN 'high' WHEN fitness>=0.7 THEN 'medium' ELSE 'low' END AS fitness_band, fitness<0.75 AS low_fit, reversed_flag AS reversed, missing_event_count>0 AS missing FROM conf2")
+define("ff", "SELECT case_id, variant, fitness, CASE WHEN fitness>=1.0 THEN '1.0' WHEN fitness>=0.8 THEN '0.8-<1.0' WHEN fitness>=0.5 THEN '0.5-<0.8' ELSE '<0.5' END AS fitness_band, fitness<0.75 AS low_fit, reversed_flag AS reversed, missing_event_count>0 AS missing FROM conf2")
 
 
 @query("a28_detector_overlap", sql("SELECT low_fit, reversed, missing, count(*) AS cases, round(100.0*count(*)/(SELECT count(*) FROM ff),6) AS percent FROM ff GROUP BY 1,2,3"))

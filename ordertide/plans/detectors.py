@@ -149,7 +149,7 @@ def rule_flags(shop):
     return detectors.rule_flags(funnel_evidence(shop)).select("case_id", "rule_reasons", "rule_flag")
 
 
-@query("f11_severity_of_deviation", sql("""SELECT case_id, CASE WHEN reversed_flag AND fitness<0.8 THEN 'Severe' WHEN reversed_flag OR fitness<0.8 THEN 'Significant' WHEN fitness<1 THEN 'Mild' ELSE 'Normal' END AS severity FROM ev"""))
+@query("f11_severity_of_deviation", sql("""SELECT case_id, CASE WHEN reversed_flag OR round(fitness,9)<0.5 THEN 'Severe' WHEN round(fitness,9)<0.8 THEN 'Significant' WHEN fitness<1 THEN 'Mild' ELSE 'Normal' END AS severity FROM ev"""))
 def severity(shop):
     return process.conformance(shop.funnel_log, FUNNEL).select(
         "case_id", detectors.severity_of_deviation(F.round("fitness", 9), F.col("reversed_flag")).alias("severity"))
@@ -161,7 +161,7 @@ def reasons_text(shop):
     return detectors.rule_flags(funnel_evidence(shop)).groupBy(F.col("rule_reasons").alias("reasons")).agg(F.count(F.lit(1)).alias("cases"))
 
 
-@query("d11_vote_hybrid", sql("""SELECT order_id, v AS votes, v>=2 AS hybrid_anomaly, CASE WHEN v=0 THEN 'Normal' WHEN v=1 THEN 'Low' WHEN v=2 THEN 'Medium' ELSE 'High' END AS anomaly_level FROM
+@query("d11_vote_hybrid", sql("""SELECT order_id, v AS votes, v>=2 AS hybrid_anomaly, CASE WHEN v=0 THEN 'Normal' WHEN v=1 THEN 'Warning' WHEN v=2 THEN 'Anomaly' ELSE 'High-confidence anomaly' END AS anomaly_level FROM
  (SELECT order_id, sum(CAST(flag AS BIGINT))::BIGINT AS v FROM flg WHERE candidate IN ('iqr_raw_k15','mad_raw_k25','upper_q950') GROUP BY 1)"""))
 def vote_hybrid(shop):
     three = ["iqr_raw_k15", "mad_raw_k25", "upper_q950"]

@@ -17,8 +17,8 @@ define("conf1", """SELECT *, n AS event_count, len(list_filter(r, lambda x: x>0
   len(list_filter(r, lambda x: x<3 AND (list_position(r,x+1) IS NULL OR list_position(r,x+1)<list_position(r,x)))) + CASE WHEN list_position(r,0) IS NULL THEN 1 ELSE 0 END AS rem,
   CASE WHEN has3 THEN 0 ELSE 1 END AS miss1 FROM conf""")
 define("conf2", """SELECT *, 0.5*(1-(miss0+miss1)/(n+1.0))+0.5*(1-rem/(n+1.0)) AS fitness, 4-n AS missing_event_count,
-  list_sort(r)<>r AS reversed_flag FROM conf1""")
-BAND = "CASE WHEN fitness>=1.0 THEN 'perfect' WHEN fitness>=0.9 THEN 'high' WHEN fitness>=0.7 THEN 'medium' ELSE 'low' END"
+  coalesce(list_position(r,1)<list_position(r,0),false) OR coalesce(list_position(r,2)<list_position(r,1),false) OR coalesce(list_position(r,3)<list_position(r,2),false) AS reversed_flag FROM conf1""")
+BAND = "CASE WHEN fitness>=1.0 THEN '1.0' WHEN fitness>=0.8 THEN '0.8-<1.0' WHEN fitness>=0.5 THEN '0.5-<0.8' ELSE '<0.5' END"
 
 
 @query("a07_activity_times", sql("""SELECT case_id, min(ts) FILTER (WHERE activity='signup') AS signup, min(ts) FILTER (WHERE activity='view') AS view,

@@ -125,12 +125,16 @@ def rank_ties(shop):
 
 
 @query("w04_cumcount_rank", """SELECT o_orderkey, o_orderstatus, month, rn FROM (SELECT o_orderkey, o_orderstatus, strftime(o_orderdate,'%Y-%m') AS month,
- row_number() OVER (PARTITION BY o_orderstatus, strftime(o_orderdate,'%Y-%m') ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn<=5""")
+ row_number() OVER (PARTITION BY o_orderstatus, strftime(o_orderdate,'%Y-%m') ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders)""")
 def cumcount(shop):
-    df = shop.table("orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
-    w = W.partitionBy("o_orderstatus", "month").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return df.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select(
-        "o_orderkey", "o_orderstatus", "month", F.col("rn").cast("long").alias("rn"))
+    from ordertide.operators import ordered
+    keys = ["o_orderstatus", "month"]
+    df = shop.table("orders").select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+                                     F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    # Rows before each price, from chunks of the price axis; the window only orders rows of one price.
+    before = ordered.ranks(df, keys, "cents", width=ordered.UNITS, descending=True).select(*keys, "cents", "n_before")
+    ties = F.row_number().over(W.partitionBy(*keys, "cents").orderBy("o_orderkey"))
+    return df.join(before, [*keys, "cents"]).select("o_orderkey", *keys, (F.col("n_before") + ties).cast("long").alias("rn"))
 
 
 @query("w07_first_n_per_group", sql("""SELECT usage_group, order_id FROM (SELECT usage_group, order_id, row_number() OVER (PARTITION BY usage_group ORDER BY order_id) AS rn FROM grouped) WHERE rn<=2"""))
