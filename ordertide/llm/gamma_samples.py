@@ -139,13 +139,16 @@ def fingerprint_with_next(docs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Data
     chunk = F.size(F.filter(F.array(*[F.lit(x) for x in at]), lambda x: x <= F.col("doc_id"))) if at else F.lit(0)
     cut = d.withColumn("chunk", F.when(F.col("doc_id").isNull(), 0).otherwise(chunk).cast("long"))
     # A stretch's head: its rows with the smallest id, of which the smallest text is taken.
-    heads = (cut.where("doc_id is not null").groupBy("chunk").agg(F.min("doc_id").alias("doc_id")).select("chunk", "doc_id"))
+    # At most MAX_CHUNKS ids reach the driver; the heads' texts are then read by a filter, without a join of all texts.
+    least = {r[0]: r[1] for r in cut.where("doc_id is not null").groupBy("chunk").agg(F.min("doc_id").alias("doc_id")).collect()}
     if rows[1] < rows[0]:
-        heads = heads.where("chunk > 0").unionByName(
-            docs.sparkSession.createDataFrame([(0, None)], "chunk long, doc_id long"))
-    head_texts = (cut.alias("c").join(heads.alias("h"), F.col("c.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("c.chunk") == F.col("h.chunk")), "left_semi")
-                  .groupBy("chunk", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
-    order = [r[0] for r in heads.select("chunk").distinct().collect()]
+        least[0] = None
+    is_head = F.col("doc_id").isin([x for x in least.values() if x is not None])
+    if None in least.values():
+        is_head = F.coalesce(is_head, F.lit(False)) | F.col("doc_id").isNull()
+        is_head &= F.col("doc_id").isNull() | (F.col("chunk") > 0)
+    head_texts = cut.where(is_head).groupBy("chunk", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    order = list(least)
     before = {c: p for p, c in zip([sorted(order)[-1], *sorted(order)[:-1]], sorted(order), strict=True)}
     steps = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
     extra = head_texts.select(steps[F.col("chunk")].alias("chunk"), F.lit(True).alias("extra"), "doc_id", "text")
