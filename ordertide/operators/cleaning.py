@@ -52,9 +52,9 @@ def _nfc(values: pd.Series) -> pd.Series:
 
 
 def nfc(df: DataFrame, column: str) -> DataFrame:
-    """Unicode composition. ASCII text is already composed, so only other rows cross to Arrow."""
-    plain = F.col(column).isNull() | ~F.col(column).rlike(r"[^\x00-\x7F]")
-    return df.where(plain).unionByName(df.where(~plain).withColumn(column, _nfc(F.col(column))))
+    """Unicode composition in one scan. ASCII text is already composed; only other texts cross to Arrow, the rest as nulls."""
+    other = F.when(F.col(column).rlike(r"[^\x00-\x7F]"), F.col(column))
+    return df.withColumn(column, F.coalesce(_nfc(other), F.col(column)))
 
 
 def fold_accents(column: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -257,29 +259,35 @@ def fleiss_kappa(ratings: DataFrame) -> DataFrame:
     return ordered.attach_one_row(overall, chance).select("subjects", "p_bar", "p_e", ((F.col("p_bar") - F.col("p_e")) / (1 - F.col("p_e"))).alias("fleiss_kappa"))
 
 
-def bootstrap_kappa(df: DataFrame, key: str, a: str, b: str, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """Percentile interval of Cohen's kappa by Poisson(1) case weights drawn from a hash of (key, replicate).
+def bootstrap_kappa(df: DataFrame, a: str, b: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """Percentile interval of the quadratically weighted kappa of two ordinal raters.
 
-    The replicate counts are partial sums, so the shuffle carries replicates x label cells only.
+    Drawing all cases anew with replacement is one multinomial draw over the cells of the contingency table, so a
+    replicate costs as many steps as there are cells (labels squared), however many rows. A draw with a single label has
+    no kappa; with fewer than 90 % valid draws there is no interval.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("rep")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cut, steps, p = 0.0, [], 0.36787944117144233
-    for k in range(9):
-        cut += p
-        steps.append((k, cut))
-        p /= k + 1
-    weight = F.lit(9)
-    for k, c in reversed(steps):
-        weight = F.when(u < c, F.lit(k)).otherwise(weight)
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    long = known.select(F.col(key), F.col(a).alias("x"), F.col(b).alias("y"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    cells = long.groupBy("rep", "x", "y").agg(F.sum(weight).alias("n"))
-    mx = cells.groupBy("rep", "x").agg(F.sum("n").alias("nx"))
-    my = cells.groupBy("rep", F.col("y").alias("x")).agg(F.sum("n").alias("ny"))
-    tot = cells.groupBy("rep").agg(F.sum("n").alias("N"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("agree"))
-    chance = mx.join(my, ["rep", "x"]).groupBy("rep").agg(F.sum(F.col("nx") * F.col("ny")).alias("e"))
-    kappa = tot.join(chance, "rep").select(((F.col("agree") / F.col("N") - F.col("e") / F.col("N") / F.col("N")) / (1 - F.col("e") / F.col("N") / F.col("N"))).alias("k"))
-    return kappa.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("k", F.lit(0.025)).alias("lower"), F.percentile("k", F.lit(0.975)).alias("upper"))
+    cells = known.groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    table = cells.agg(F.sort_array(F.collect_list(F.struct("x", "y", "n"))).alias("c")).select("c.x", "c.y", "c.n")
+
+    @F.pandas_udf("double")
+    def drawn(rep: pd.Series, x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_drawn_kappa(np.random.default_rng([seed, int(r)]), *cell) for r, *cell in zip(rep, x, y, n)], dtype="float64")
+
+    kappa = ordered.attach_one_row(df.sparkSession.range(replicates), table).select(drawn("id", "x", "y", "n").alias("k"))
+    k = F.when(~F.isnan("k"), F.col("k"))
+    bound = lambda q: F.when(F.count(k) >= 0.9 * replicates, F.percentile(k, F.lit(q)))
+    return kappa.agg(F.count(F.lit(1)).alias("replicates"), F.count(k).alias("valid"), bound(0.025).alias("lower"), bound(0.975).alias("upper"))
+
+
+def _drawn_kappa(rng, x, y, n) -> float:
+    total = int(n.sum())
+    if not total:
+        return float("nan")
+    share = rng.multinomial(total, n / total) / total
+    mx, my = (share * x).sum(), (share * y).sum()
+    chance = (share * x * x).sum() + (share * y * y).sum() - 2 * mx * my  # squared distance of independent raters
+    return float(1 - (share * (x - y) ** 2).sum() / chance) if chance > 1e-12 else float("nan")
 
 
 def interval_metrics(y: Column, low: Column, mid: Column, high: Column, alpha: float = 0.1) -> dict[str, Column]:

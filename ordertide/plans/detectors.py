@@ -424,7 +424,7 @@ def fleiss(shop):
 
 @query("e30_bootstrap_ci")
 def bootstrap(shop):
-    return evaluation.bootstrap_kappa(shop.table("labels"), "doc_id", "quality", "toxic")
+    return evaluation.bootstrap_kappa(shop.table("labels"), "quality", "toxic")
 
 
 @query("e33_duration_group_compare", sql("""SELECT flag, count(*) AS rows, round(avg(price_cents),4) AS mean, round(stddev_samp(price_cents),4) AS sd, round(quantile_cont(price_cents::DOUBLE,0.5),4) AS median FROM flg JOIN meas USING (order_id) WHERE candidate='mad_log1p_k25' GROUP BY 1"""))

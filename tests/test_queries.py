@@ -9,7 +9,7 @@ from tests.harness import compare, connect
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["a09_variant_statistics", "j06_customer_prior", "j08_seller_prior_outcomes", "p16_import_validate", "a02_rollup_payments",
-          "e24_ks_wasserstein", "k03_stratified_equal_allocation"]
+          "e24_ks_wasserstein", "k03_stratified_equal_allocation", "p02_nfc"]
 NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else SAMPLE
 
 
@@ -17,4 +17,4 @@ NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else SAMPLE
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, name):
     ok, _, note = compare(connect(SF), spark, entry.queries()[name], entry.oracle_sql().get(name), SF)
-    assert ok is not False, note
+    assert ok or name not in entry.oracle_sql(), note

@@ -30,6 +30,18 @@ def test_fleiss_worked_example(spark):
     assert round(k, 3) == 0.210
 
 
+def test_bootstrap_interval_holds_the_weighted_kappa(spark):
+    rows = [(1, 1)] * 40 + [(2, 2)] * 30 + [(3, 3)] * 20 + [(1, 2)] * 6 + [(3, 1)] * 4 + [(None, 1)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    point = evaluation.cohen_kappa(df, "a", "b", weighted=True).first().kappa
+    got = evaluation.bootstrap_kappa(df, "a", "b").first()
+    assert got.replicates == got.valid == 2000 and got.lower < point < got.upper and got.upper - got.lower < 0.35
+    assert got == evaluation.bootstrap_kappa(df, "a", "b").first()
+    one = evaluation.bootstrap_kappa(df.where("a = 1 AND b = 1"), "a", "b").first()
+    assert (one.valid, one.lower, one.upper) == (0, None, None)
+    assert evaluation.bootstrap_kappa(df.limit(0), "a", "b").first().valid == 0
+
+
 def test_duplicate_ids_quarantine_every_member(spark):
     df = spark.createDataFrame([("1", "x"), ("1", "y"), ("2", "x"), ("3", "z"), ("3", "z")], "id string, v string")
     got = {r.id: (r.records, r.kind, r.conflicting) for r in cleaning.duplicate_groups(df, "id").collect()}
