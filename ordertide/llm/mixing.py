@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordertide.llm.text import table
+from ordertide.session import materialize
 
 REST = "*"
 
@@ -43,15 +44,15 @@ def group_of(col, shares: dict):
 def topic_of(text):
     """Kind of text by its characters: noise (many symbols), table (many bars), prose, or short."""
     chars = F.greatest(F.length(text), F.lit(1))
-    symbols = F.length(text) - F.length(F.translate(text, "#$%&*@<>{}[]=", ""))
-    bars = F.length(text) - F.length(F.translate(text, "|", ""))
+    symbols = F.regexp_count(text, F.lit(r"[#$%&*@<>{}\[\]=]"))
+    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
     return (F.when(F.length(text) < 200, "short").when(symbols / chars > 0.05, "noise").when(bars / chars > 0.01, "table")
             .otherwise("prose"))
 
 
 def token_count(text):
     """White-space separated words."""
-    return F.size(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda x: x != "")).cast("long")
+    return F.size(F.array_remove(F.split(text, r"[ \t\n\x0B\f\r]+"), "")).cast("long")
 
 
 def rake(cells: dict[tuple, float], targets: Targets) -> dict[tuple, float]:
@@ -102,27 +103,34 @@ def with_cells(docs: DataFrame, targets: Targets) -> DataFrame:
         "_topic": group_of(topic_of(text), targets.topic), "_tokens": token_count(text)})
 
 
-def mix_sources(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: Targets | None = None, columns: list[str] | None = None) -> DataFrame:
     """The kept documents of ``docs`` with _tokens, _rate (probability) and _weight (its inverse, to estimate totals).
 
+    ``columns`` are the columns of ``docs`` wanted back (all by default). Without the text among them, what was measured
+    is a small written table and the texts are read once; else they are read for the cells and again for the draw.
+
     Null source or language count as the remaining group. Null and empty texts have no tokens: their cell's rate decides,
     and a cell without tokens is never kept. Repeated rows are drawn alike. An empty table stays empty. Declared groups
     that do not occur leave their share to the others in proportion. Own columns named like the added ones are replaced.
     """
     targets = targets or Targets()
-    cells_df = with_cells(docs, targets)
+    wanted = docs.columns if columns is None else columns
+    added = ["_source", "_language", "_topic", "_tokens", "_draw"]
+    cells_df = with_cells(docs, targets).withColumn("_draw", draw(targets.seed)).select(*[c for c in wanted if c not in added], *added)
+    if "text" not in wanted:
+        cells_df = materialize(cells_df, "measured")
     keys = ["_source", "_language", "_topic"]
     cells = {tuple(r[k] for k in keys): float(r["n"]) for r in cells_df.groupBy(*keys).agg(F.sum("_tokens").alias("n")).collect()}
     rates = keep_rates(cells, targets)
     joint = F.concat_ws("\x1f", *keys)
     entries = [x for k, v in sorted(rates.items()) for x in (F.lit("\x1f".join(k)), F.lit(float(v)))]
     rate = F.create_map(*entries)[joint] if entries else F.lit(None).cast("double")
-    kept = cells_df.withColumn("_rate", F.coalesce(rate, F.lit(0.0))).where(draw(targets.seed) < F.col("_rate"))
-    return kept.withColumn("_weight", 1 / F.col("_rate")).drop(*keys)
+    kept = cells_df.withColumn("_rate", F.coalesce(rate, F.lit(0.0))).where(F.col("_draw") < F.col("_rate"))
+    return kept.withColumn("_weight", 1 / F.col("_rate")).drop(*keys, "_draw")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    kept = mix_sources(table(spark, sf_dir, "documents"))
+    kept = mix_sources(table(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang"])
     return kept.select("doc_id", "source", "lang", F.col("_tokens").alias("n_tokens"),
                        F.round("_rate", 9).alias("rate"), F.round("_weight", 6).alias("weight"))
 
