@@ -9,15 +9,17 @@ about as many points as it has shingles plus m ln m, instead of m for each shing
 probability equal to their weighted Jaccard similarity.
 
 Signatures are cut into bands. Texts that share a band are candidates: in a band of up to eight texts each with each, in a
-larger one each with the one that agrees with it in most signature components and is not yet in its component. Candidates
-are verified by exact multiset overlap, components are formed, and members of larger bands look for further partners
-outside their component until a round finds none. So a group of n texts gives a number of candidates in proportion to n,
-and each text still meets its closest partners. Bands of more than 4096 texts are dealt into chunks, differently in every
-band; memory and time per member stay bounded. Equal texts are one text throughout.
+larger one each with those that agree with it in most signature components and are not yet in its component: one in the
+first round, twice as many in each further one. Candidates are verified by exact multiset overlap, components are formed,
+and members of larger bands look on, past the partners already compared, until none is left outside their component. A
+group of copies gives a number of candidates in proportion to its size; where many texts of a band lie just below the
+threshold, all of their pairs are compared. Bands of more than 4096 texts are dealt into chunks, and each chunk meets each
+in a block of its own; memory per task stays bounded. Equal texts are one text throughout.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from ordertide.session import materialize
 
 WORDS_PER_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 misses every band once in 14 000
-SMALL, NEAREST, CHUNK = 8, 1, 4096
+SMALL, CHUNK = 8, 4096
 LEAST_AGREEMENT = 0.6  # of a signature's components: five standard deviations below the threshold
 
 
@@ -143,58 +145,75 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return met.mapInArrow(_verify, "a binary, b binary, similarity double").where(F.col("similarity") >= similarity)
 
 
-def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of bands that arrive in order of (band, chunk): columns band, chunk, t, label, sig."""
+def _partners(nearest: int, similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of bands that arrive in order of (band, block): columns band, block, side, t, label, n, sig, tested."""
     held: list[tuple] = []
     for batch in batches:
         rows = held + list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
         last = rows[-1][:2] if rows else None
         cut = next((k for k in range(len(rows) - 1, -1, -1) if rows[k][:2] != last), -1) + 1
-        yield _pairs(rows[:cut])
+        yield _pairs(rows[:cut], nearest, similarity)
         held = rows[cut:]
-    yield _pairs(held)
+    yield _pairs(held, nearest, similarity)
 
 
-def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+def _pairs(rows: list[tuple], nearest: int, similarity: float) -> pa.RecordBatch:
     out, start = set(), 0
     for k in range(1, len(rows) + 1):
         if k == len(rows) or rows[k][:2] != rows[start][:2]:
             group = rows[start:k]
-            if group[0][4] is None:
-                out.update((min(a[2], b[2]), max(a[2], b[2])) for i, a in enumerate(group) for b in group[:i] if a[3] != b[3])
+            if group[0][6] is None:
+                out.update((min(a[3], b[3]), max(a[3], b[3])) for i, a in enumerate(group) for b in group[:i]
+                           if a[4] != b[4] and min(a[5], b[5]) >= similarity * max(a[5], b[5]))
             else:
-                out.update(_nearest(group))
+                out.update(_nearest(group, nearest, similarity))
             start = k
     pairs = sorted(out)
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
 
-def _nearest(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-    """For each text the ``NEAREST`` texts of other labels that agree in most components, if at least ``LEAST_AGREEMENT`` do."""
-    sig = np.stack([np.frombuffer(r[4], np.uint16) for r in group])
-    _, label = np.unique([r[3] for r in group], return_inverse=True)
+def _nearest(group: list[tuple], nearest: int, similarity: float) -> Iterator[tuple[bytes, bytes]]:
+    """For each text the ``nearest`` texts that agree in most components, at least in ``LEAST_AGREEMENT``, of those with another
+    label that were not tested with it and are not too short or long. Two chunks of a band (sides 0 and 1) look at each other only."""
+    names = [r[3] for r in group]
+    _, label = np.unique([r[4] for r in group], return_inverse=True)
     if label.max(initial=0) == 0:
         return
-    columns = np.ascontiguousarray(sig.T)
-    for lo in range(0, len(group), 256):
-        agree = np.zeros((len(sig[lo:lo + 256]), len(sig)), np.uint8)
-        for c in columns:
-            agree += c[lo:lo + 256, None] == c[None, :]
-        agree[label[lo:lo + 256, None] == label[None, :]] = 0
-        for _ in range(NEAREST):
-            best = agree.argmax(axis=1)
-            most = agree[np.arange(len(best)), best]
-            for k in np.flatnonzero(most >= LEAST_AGREEMENT * BANDS * ROWS).tolist():
-                a, b = group[lo + k][2], group[best[k]][2]
+    n, side = np.array([r[5] for r in group], np.float64), np.array([r[2] for r in group])
+    sig = np.stack([np.frombuffer(r[6], np.uint16) for r in group])
+    place = {t: k for k, t in enumerate(names)}
+    tested = np.array([(k, place[t]) for k, r in enumerate(group) for t in r[7] or () if t in place], np.int64).reshape(-1, 2)
+    tested = np.concatenate([tested, tested[:, ::-1]])
+    tested = tested[np.argsort(tested[:, 0], kind="stable")]
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for rows, others in ((first, second), (second, first)) if len(second) else ((first, first),):
+        columns, column = np.ascontiguousarray(sig[others].T), np.full(len(group), -1)
+        column[others] = np.arange(len(others))
+        for lo in range(0, len(rows) if len(others) else 0, 256):
+            own = rows[lo:lo + 256]
+            agree = np.zeros((len(own), len(others)), np.uint8)
+            for mine, c in zip(sig[own].T, columns, strict=True):
+                agree += mine[:, None] == c[None, :]
+            agree[label[own][:, None] == label[others][None, :]] = 0
+            agree[np.minimum(n[own][:, None], n[others][None, :]) < similarity * np.maximum(n[own][:, None], n[others][None, :])] = 0
+            met = tested[np.searchsorted(tested[:, 0], own[0]):np.searchsorted(tested[:, 0], own[-1], "right")]
+            met = met[(column[met[:, 1]] >= 0) & (side[met[:, 0]] == side[own[0]])]
+            agree[np.searchsorted(own, met[:, 0]), column[met[:, 1]]] = 0
+            best = np.argpartition(agree, -nearest, axis=1)[:, -nearest:] if nearest < len(others) else np.broadcast_to(np.arange(len(others)), agree.shape)
+            k, at = np.nonzero(np.take_along_axis(agree, best, axis=1) >= LEAST_AGREEMENT * BANDS * ROWS)
+            for x, y in zip(own[k].tolist(), others[best[k, at]].tolist(), strict=True):
+                a, b = names[x], names[y]
                 yield (a, b) if a < b else (b, a)
-            agree[np.arange(len(best)), best] = 0
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of members (band, size, t, label, sig) with different labels."""
-    chunks = F.when(F.col("size") > CHUNK, F.pmod(F.xxhash64("band", "t"), F.ceil(F.col("size") / CHUNK))).otherwise(F.lit(0)).cast("long")
-    dealt = members.withColumn("chunk", chunks).repartition("band", "chunk").sortWithinPartitions("band", "chunk")
-    return dealt.select("band", "chunk", "t", "label", "sig").mapInArrow(_partners, "a binary, b binary").distinct()
+def candidates(members: DataFrame, nearest: int, similarity: float) -> DataFrame:
+    """Distinct candidate pairs (a, b) of members (band, size, t, label, n, sig, tested) with different labels."""
+    chunks = F.ceil(F.col("size") / CHUNK).cast("long")
+    met = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("band", "t"), "chunks"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    met = met.withColumn("block", F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")).withColumn("side", (F.col("chunk") > F.col("other")).cast("int"))
+    dealt = met.select("band", "block", "side", "t", "label", "n", "sig", "tested").repartition("band", "block").sortWithinPartitions("band", "block")
+    return dealt.mapInArrow(functools.partial(_partners, nearest, similarity), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -206,27 +225,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(
         _sign, "doc_id long, key long, t binary, n int, bands array<long>, shingles binary, sig binary"), "signed")
-    bands = signed.where("n > 0").select("t", F.explode("bands").alias("band")).distinct()
+    bands = signed.where("n > 0").select("t", "n", F.explode("bands").alias("band")).distinct()
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(bands.join(shared, "band").withColumn("label", F.col("t")), "members")
     texts = materialize(signed.join(members.select("t").distinct(), "t", "left_semi").select("t", "n", "shingles", "sig").dropDuplicates(["t"]), "texts")
     large = materialize(members.where(F.col("size") > SMALL).join(texts.select("t", "sig"), "t"), "large")
-    none = F.lit(None).cast("binary")
-    pairs = materialize(candidates(members.where(F.col("size") <= SMALL).select("band", "size", "t", "label", none.alias("sig")).unionByName(
-        large.select("band", "size", "t", "label", "sig"))), "pairs")
-    links, tested = None, pairs
-    while True:
+    none, nearest = F.lit(None), 1
+    columns = ["band", "size", "t", "label", "n", "sig", "tested"]
+    pairs = materialize(candidates(members.where(F.col("size") <= SMALL).withColumn("sig", none.cast("binary")).unionByName(large)
+                                   .withColumn("tested", none.cast("array<binary>")).select(*columns), nearest, similarity), "pairs")
+    links = tested = labels = None
+    while labels is None or pairs.limit(1).count():
         found = materialize(verified(pairs, texts, similarity).select("a", "b"), "found")
-        if links is not None and found.limit(1).count() == 0:
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-        if large.limit(1).count() == 0:
-            break
-        # Members of large bands look again, now for partners outside their component.
+        links, tested = (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
+        if labels is None or found.limit(1).count():
+            labels = connected_components(links)
+        # Members of large bands look again, for partners outside their component that they were not compared with.
+        nearest *= 2
         again = large.drop("label").join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
-        pairs = materialize(candidates(again).join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
+        mixed = again.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        rejected = tested.join(links, ["a", "b"], "left_anti").groupBy(F.col("a").alias("t")).agg(F.collect_list("b").alias("tested"))
+        again = again.join(mixed, "band", "left_semi").join(rejected, "t", "left")
+        pairs = materialize(candidates(again.select(*columns), nearest, similarity), "pairs")
     of_text = signed.select("doc_id", "key", "t", "n").join(labels.withColumnRenamed("node", "t"), "t", "left")
     of_text = materialize(of_text.select("doc_id", "key", "t", "n", F.coalesce("label", "t").alias("label")), "classes")
     named = of_text.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("class_id"))

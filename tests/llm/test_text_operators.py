@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -173,6 +174,25 @@ def test_large_band_of_near_copies(spark):
     assert {r.class_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("chunk", [4096, 60])
+def test_large_bands_around_the_threshold(spark, monkeypatch, chunk):
+    """Few pairs at 0.80 among many at 0.78: a rejected partner must not hide the next one."""
+    monkeypatch.setattr(bag_minhash, "CHUNK", chunk)
+    draw = random.Random(5)
+    places = [draw.sample(range(4, 1000), 14) for _ in range(160)]  # words of its own that end up to 70 of 1000 shingles
+    texts = [(k, " ".join(f"x{k}-{j}" if j in own else f"w{j}" for j in range(1004)), "en") for k, own in enumerate(places)]
+    killed = [{j - d for j in own for d in range(5)} for own in places]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            ended = len(killed[i] | killed[j])
+            if 1000 - ended >= 0.8 * (1000 + ended):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {r.doc_id: r.class_id for r in bag_minhash.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    assert got == dict(enumerate(label)) and 3 < len(texts) - len(set(label)) < 30
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     import numpy as np
 
