@@ -1,12 +1,12 @@
 """Personal data replaced by surrogates of the same type and format.
 
 Detected entities: e-mail addresses, IPv4 addresses, card and account numbers, phone and social security numbers, IBANs,
-secrets (keys and tokens), and names that follow a title. A surrogate is a keyed permutation of the strings of the same
-format: digits stay digits, letters stay letters of their script and case, all other characters stay in place. Because it
-is a permutation, different entities never share a surrogate and the same entity has the same one in every document, with
-no table of entities at all. Further rules per type: cards keep whether their Luhn check holds, IPv4 octets stay valid, a
-phone keeps its country code, an e-mail keeps its top-level domain, and spelling variants of one entity (case of an
-e-mail, separators of a number) keep their variant around the same surrogate.
+secrets (keys and tokens; not one letter over and over), and names that follow a title. A surrogate is a keyed permutation
+of the strings of the same format: digits stay digits, letters stay letters of their script and case, all other characters
+stay in place. Because it is a permutation, different entities never share a surrogate and the same entity has the same one
+in every document, with no table of entities at all. Further rules per type: cards keep whether their Luhn check holds,
+IPv4 octets stay valid, a phone keeps its country code, an e-mail keeps its top-level domain, and spelling variants of one
+entity (case of an e-mail, separators of a number) keep their variant around the same surrogate.
 
 A first name after a title becomes another first name of the same gender and script out of a list, so names alone could
 collide; their distinct pairs are collected by Spark, equal surrogates of different names are found by grouping, and those
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordertide.llm.text import Words, blocks, buffers, table
+from ordertide.llm.text import Words, blocks, table
 
 KEY = "surrogate-key-1"
 #: Most colliding names that are broadcast; more stop the job, because they mean that the name lists are too short.
@@ -45,7 +45,7 @@ TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Do
 
 PATTERN = re.compile(r"""
     (?P<email>[^\W_][\w.+%\-]*@(?:[^\W_](?:[\w\-]*[^\W_])?\.)+[^\W\d_]{2,})
-  | (?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])
+  | (?P<secret>(?<![0-9A-Za-z])(?:(?!(?P<same>[A-Fa-f])(?P=same)*(?![0-9A-Za-z]))(?:[0-9a-f]{32,}|[0-9A-F]{32,})|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])
      |(?i:(?<=token\ =\ ")|(?<=token=)|(?<=password=)|(?<=secret=)|(?<=api_key=))[0-9A-Za-z_\-+/]{8,})
   | (?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:\ ?[0-9A-Z]{4}){2,7}(?:\ ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))
   | (?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d))
@@ -169,32 +169,75 @@ def replace(text: str, key: str = KEY, attempts: dict | None = None, start: int
     return "".join([*out, text[at:]]), found
 
 
-@functools.lru_cache(maxsize=1)
-def _title_hashes() -> np.ndarray:
-    data, offsets = buffers(pa.array([t + dot for t in TITLES for dot in ("", ".")]))
-    return np.unique(Words(data, offsets).hash)
-
-
-_MARKS = np.array([48 <= b <= 57 or b == 64 for b in range(256)])
+_MARKS = np.array([48 <= b <= 57 or b in b"@=" for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
+_ALNUM = _MARKS & (np.arange(256) < 58) | np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
+_TITLES = [np.frombuffer(t.encode(), np.uint8) for t in TITLES]
+_ENDS = np.zeros(1 << 16, bool)
+_ENDS[[int(t[-2]) << 8 | int(t[-1]) for t in _TITLES]] = True
 CONTEXT = 16  # bytes before a stretch that its patterns may look back to
+LONG_SECRET, IBAN_GROUPS = 20, 8  # letters of the shortest secret without a keyword; most words behind the first of an IBAN
+
+
+@functools.lru_cache(maxsize=1)
+def _decimal() -> np.ndarray:
+    return np.array([chr(c).isdecimal() for c in range(0x110000)])
+
+
+def foreign_digits(data: np.ndarray) -> np.ndarray:
+    """Places of the first bytes of decimal digits beyond ASCII."""
+    found = []
+    for size, low, high in ((2, 0xC2, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF4)):
+        at = np.flatnonzero((data >= low) & (data <= high))
+        at = at[at + size <= len(data)]
+        point = data[at].astype(np.int64) & (0xFF >> (size + 1))
+        for k in range(1, size):
+            point = point << 6 | data[at + k] & 0x3F
+        found.append(at[_decimal()[np.minimum(point, 0x10FFFF)]])
+    return np.concatenate(found)
+
+
+def _ends_in_title(data: np.ndarray, words: Words) -> np.ndarray:
+    """Flags of the words that end in a title, with or without a dot, whatever precedes it."""
+    end = words.end - (data[words.end - 1] == 46)
+    size = end - words.start
+    own = np.flatnonzero(size >= 2)
+    own = own[_ENDS[data[end[own] - 2].astype(np.int64) << 8 | data[end[own] - 1]]]
+    out = np.zeros(len(end), bool)
+    for title in _TITLES:
+        at = own[size[own] >= len(title)]
+        for k in range(len(title)):
+            at = at[data[end[at] - len(title) + k] == title[k]]
+        out[at] = True
+    return out
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, only_titles: bool = False) -> list[tuple[int, int, int]]:
-    """(text, first byte, last byte) of the runs of words that can hold an entity: words with a digit or an at sign, titles
-    with the two words behind them, and groups of four capitals between such words."""
+    """(text, first byte, last byte) of the runs of words that can hold an entity, a superset of what ``PATTERN`` matches:
+    words that end in a title with the two words behind them; words with a decimal digit of any script, an at sign or an
+    equals sign, quoted words behind one; long runs of letters and digits; and the words behind the first of an IBAN."""
     words = Words(data, offsets)
     if not len(words.start):
         return []
-    titles = np.isin(words.hash, _title_hashes())
+    titles = _ends_in_title(data, words)
     flag = titles.copy()
     flag[1:] |= titles[:-1]
     flag[2:] |= titles[:-2]
     if not only_titles:
-        marks = np.concatenate([[0], np.cumsum(_MARKS[data], dtype=np.int32)])
+        mark = _MARKS[data]
+        marks = np.concatenate([[0], np.cumsum(mark, dtype=np.int32)])
         flag |= marks[words.end] > marks[words.start]
-        four = np.flatnonzero((words.end - words.start == 4) & ~flag)
-        flag[four[_UPPER[data[words.start[four][:, None] + np.arange(4)]].all(axis=1)]] = True
+        foreign = foreign_digits(data)
+        alone = (words.end - words.start == 1) & (data[words.start] == 61)
+        flag[1:] |= alone[:-1] & (data[words.start[1:]] == 34)
+        inside = np.concatenate([[0], np.cumsum(_ALNUM[data], dtype=np.int32)])
+        runs = np.flatnonzero(inside[LONG_SECRET:] - inside[:-LONG_SECRET] == LONG_SECRET)
+        flag[np.searchsorted(words.start, np.concatenate([foreign, runs]), "right") - 1] = True
+        upper, mark[foreign] = _UPPER[data], True
+        head = np.zeros(len(flag), bool)
+        head[np.searchsorted(words.start, np.flatnonzero(upper[:-2] & upper[1:-1] & mark[2:]), "right") - 1] = True
+        for k in range(1, IBAN_GROUPS + 1):
+            flag[k:] |= head[:-k]
     at = np.flatnonzero(flag)
     if not len(at):
         return []

@@ -288,6 +288,22 @@ def test_surrogates(spark, edge, empty):
     assert sorted(x or "" for (x,) in surrogates.replace_entities(edge).select("text").collect()) == sorted(t or "" for _, t, _ in EDGE)
 
 
+def test_entities_are_found_as_in_the_whole_text():
+    from ordertide.llm.text import buffers
+
+    forms = ["(Mr. John Smith", '"Mrs. Anna Smith"', "«Señora Ana Pérez-Gil", "x,Herr Max Muster", "—Госпожа Анна Иванова", "Mr John", "Mr.  John Smith", "Mrs.\nAnna Smith",
+             "password=correcthorse", "api_key=abcdEFGHijkl", 'token = "abcdefgh"', 'x Token = "abcdefghij', "SECRET=abcdefgh.", "paſſword=abcdefghij", 'token =\n"abcdefgh"',
+             "abcdef" * 6, "(" + "ABCDEF" * 6 + ")", "AKIA" + "ABCDEFGH" * 2, "ghp_" + "abcDEF" * 6, "sk-" + "abcDEF" * 4, "a" * 40,
+             "٠١٢-٣٤-٥٦٧٨", "+٤٩ ١٧٠ ١٢٣٤٥٦٧", "१२३४ १२३४ १२३४ १२३४", "\U0001D7CE" * 14, "(०१२) ३४५-६७८९", "a@b.org", "+1 (017) 555-7713", "10.20.30.40",
+             "DE44 ABCD EFGH.", "DE44ABCD EFGHIJKL XYZ", "(GB82 WEST ABCD EFGH IJKL MNOP QRST UVWX YZ", "XX٤٤ ABCD EFGH AB", "ABCD EFGH", "plain words only"]
+    texts = [f"{before}{form}{behind}" for form in forms for before in ("", "some words ", "é\t", "4 Mr ") for behind in ("", " and more words", "\nNext Line", ", x")]
+    texts += [" ".join(random.Random(k).choices(forms, k=6)) for k in range(300)] + ["", " ", "Mr"]
+    got = surrogates.replace_block(*buffers(pa.array(texts)), "key", {})
+    for k, text in enumerate(texts):
+        new, found = surrogates.replace(text, "key", {})
+        assert got.get(k, (text, {})) == (new, found)
+
+
 def test_permutation_is_one_to_one():
     seen = {surrogates.same_format(f"{k:03d}", "key", "t") for k in range(1000)}
     assert len(seen) == 1000 and all(len(x) == 3 for x in seen)
