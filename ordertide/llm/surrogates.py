@@ -8,9 +8,9 @@ in every document, with no table of entities at all. Further rules per type: car
 IPv4 octets stay valid, a phone keeps its country code, an e-mail keeps its top-level domain, and spelling variants of one
 entity (case of an e-mail, separators of a number) keep their variant around the same surrogate.
 
-A first name after a title becomes another first name of the same gender and script out of a list, so names alone could
-collide; their distinct pairs are collected by Spark, equal surrogates of different names are found by grouping, and those
-few get further attempts until all differ (``name_attempts``).
+A first name of the lists below becomes another one of its list, so of the same gender and script; any other is permuted
+letter by letter, passing over the listed names. A last name is permuted in a way that depends on the first name. So the
+pair, whatever its script, is permuted as a whole, and different names have different surrogates with nothing to check.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +30,16 @@ from pyspark.sql import types as T
 from ordertide.llm.text import Words, blocks, table
 
 KEY = "surrogate-key-1"
-#: Most colliding names that are broadcast; more stop the job, because they mean that the name lists are too short.
-MAX_COLLIDING_NAMES = 200_000
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿ",
              "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
              "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
-PLACE = {ch: (alphabet, k) for alphabet in ALPHABETS for k, ch in enumerate(alphabet)}
 HEX = {case: {ch: (case, k) for k, ch in enumerate(case)} for case in ("0123456789abcdef", "0123456789ABCDEF")}
 NAMES = {("m", "latin"): "James Robert David Peter Martin Paul Thomas Lukas Jonas Felix Pierre Louis Hugo Carlos Miguel Javier".split(),
          ("f", "latin"): "Mary Anna Laura Julia Emma Clara Sophie Claire Marie Elena Lucia Carmen Sofia Nina Helen Alice".split(),
          ("m", "cyrillic"): "Иван Пётр Сергей Алексей Николай Дмитрий Андрей Михаил".split(),
          ("f", "cyrillic"): "Анна Мария Елена Ольга Ирина Наталья Татьяна Светлана".split()}
-TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Господин": "m",
-          "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Госпожа": "f"}
+TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин",
+          "Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Sra", "Doña", "Госпожа"]
 
 PATTERN = re.compile(r"""
     (?P<email>[^\W_][\w.+%\-]*@(?:[^\W_](?:[\w\-]*[^\W_])?\.)+[^\W\d_]{2,})
@@ -80,6 +78,38 @@ def permute(values: list[int], radix: list[int], key: str, tweak: str, rounds: i
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _more_alphabets() -> dict[str, tuple[str, int]]:
+    """Alphabet and place of all further letters and digits: those of one script, kind (case) and range of code points."""
+    groups: dict[tuple, list[str]] = {}
+    known = set("".join(ALPHABETS))
+    for point in range(128, 0x110000):
+        ch = chr(point)
+        if not ch.isalnum() or ch in known:
+            continue
+        script, kind = unicodedata.name(ch, "?").split(" ")[0], unicodedata.category(ch)
+        paired = kind in ("Ll", "Lu") and ch.lower().upper() == ch.upper() and ch.upper().lower() == ch.lower() and ch in (ch.lower(), ch.upper())
+        wide = script == "CJK" and 0x4E00 <= point <= 0x9FFF or script == "HANGUL" and 0xAC00 <= point <= 0xD7A3
+        groups.setdefault((script, kind, paired, "wide" if wide else point >> 8), []).append(ch)
+    for small in [g for g, members in groups.items() if len(members) < 8]:  # rare letters share the alphabet of their kind
+        groups.setdefault(("", *small[1:3], ""), []).extend(groups.pop(small))
+    return {ch: (alphabet, k) for alphabet in map("".join, groups.values()) for k, ch in enumerate(alphabet)}
+
+
+class Places(dict):
+    """(alphabet, place) of every letter and digit; those outside ``ALPHABETS`` are looked up when first met."""
+
+    def __contains__(self, ch) -> bool:
+        return super().__contains__(ch) or ch > "\x7f" and ch.isalnum()
+
+    def __missing__(self, ch):
+        self[ch] = _more_alphabets()[ch]
+        return self[ch]
+
+
+PLACE = Places({ch: (alphabet, k) for alphabet in ALPHABETS for k, ch in enumerate(alphabet)})
+
+
 def same_format(text: str, key: str, tweak: str, places: dict = PLACE) -> str:
     """A permutation of the texts of one format; never the text itself where the format has over one text."""
     at = [k for k, ch in enumerate(text) if ch in places]
@@ -95,6 +125,21 @@ def same_format(text: str, key: str, tweak: str, places: dict = PLACE) -> str:
     return "".join(out)
 
 
+LISTED = {name: names for names in NAMES.values() for name in names}
+
+
+def other_first_name(first: str, key: str) -> str:
+    """A permutation of all first names that keeps the lists of names to themselves."""
+    names = LISTED.get(first)
+    if names:
+        shift = 1 + int.from_bytes(_noise(key, "first", 0, names, 1), "big") % (len(names) - 1)
+        return names[(names.index(first) + shift) % len(names)]
+    new = same_format(first, key, "first")
+    while new in LISTED:  # ends: the permutation leads back to ``first``, which is not listed
+        new = same_format(new, key, "first")
+    return new
+
+
 def luhn(digits: list[int]) -> int:
     """Check digit of the digits before it."""
     total = 0
@@ -113,7 +158,7 @@ def _recase(like: str, text: str) -> str:
     return "".join(b.upper() if a.isupper() else b for a, b in zip(like, text, strict=True)) if len(like) == len(text) else text
 
 
-def surrogate(kind: str, text: str, key: str = KEY, attempts: dict | None = None) -> str:
+def surrogate(kind: str, text: str, key: str = KEY) -> str:
     if kind == "email":
         low = text.lower()
         local, _, domain = low.partition("@")
@@ -143,15 +188,8 @@ def surrogate(kind: str, text: str, key: str = KEY, attempts: dict | None = None
                 return same_format(text, key, "secret", HEX[case])
         return same_format(text, key, "secret")
     match = PATTERN.fullmatch(text)
-    title, first, last = match["title"], match["first"], match["last"]
-    gender = TITLES.get(title, "m")
-    script = "cyrillic" if "Ѐ" <= first[0] <= "ӿ" else "latin"
-    names = NAMES[gender, script]
-    turn = (attempts or {}).get((gender, first, last), 0)
-    pick = int.from_bytes(_noise(key, f"first|{gender}|{script}|{turn}", 0, first, 2), "big") % len(names)
-    new_first = names[pick] if names[pick] != first else names[(pick + 1) % len(names)]
-    new_last = same_format(last, key, f"last|{gender}|{first}|{turn}")
-    return f"{text[:match.start('first')]}{new_first} {new_last}"
+    first, last = match["first"], match["last"]
+    return f"{text[:match.start('first')]}{other_first_name(first, key)} {same_format(last, key, f'last|{first}')}"
 
 
 def entities(text: str, start: int = 0) -> Iterator[tuple[str, str, int, int]]:
@@ -160,11 +198,11 @@ def entities(text: str, start: int = 0) -> Iterator[tuple[str, str, int, int]]:
         yield kind, m.group(), m.start(), m.end()
 
 
-def replace(text: str, key: str = KEY, attempts: dict | None = None, start: int = 0) -> tuple[str, dict[str, int]]:
+def replace(text: str, key: str = KEY, start: int = 0) -> tuple[str, dict[str, int]]:
     """The text from ``start`` on with surrogates, and the number of entities of each type."""
     out, at, found = [], start, {}
     for kind, old, begin, end in entities(text, start):
-        out += [text[at:begin], surrogate(kind, old, key, attempts)]
+        out += [text[at:begin], surrogate(kind, old, key)]
         at, found[kind] = end, found.get(kind, 0) + 1
     return "".join([*out, text[at:]]), found
 
@@ -212,7 +250,7 @@ def _ends_in_title(data: np.ndarray, words: Words) -> np.ndarray:
     return out
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, only_titles: bool = False) -> list[tuple[int, int, int]]:
+def stretches(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(text, first byte, last byte) of the runs of words that can hold an entity, a superset of what ``PATTERN`` matches:
     words that end in a title with the two words behind them; words with a decimal digit of any script, an at sign or an
     equals sign, quoted words behind one; long runs of letters and digits; and the words behind the first of an IBAN."""
@@ -223,21 +261,20 @@ def stretches(data: np.ndarray, offsets: np.ndarray, only_titles: bool = False)
     flag = titles.copy()
     flag[1:] |= titles[:-1]
     flag[2:] |= titles[:-2]
-    if not only_titles:
-        mark = _MARKS[data]
-        marks = np.concatenate([[0], np.cumsum(mark, dtype=np.int32)])
-        flag |= marks[words.end] > marks[words.start]
-        foreign = foreign_digits(data)
-        alone = (words.end - words.start == 1) & (data[words.start] == 61)
-        flag[1:] |= alone[:-1] & (data[words.start[1:]] == 34)
-        inside = np.concatenate([[0], np.cumsum(_ALNUM[data], dtype=np.int32)])
-        runs = np.flatnonzero(inside[LONG_SECRET:] - inside[:-LONG_SECRET] == LONG_SECRET)
-        flag[np.searchsorted(words.start, np.concatenate([foreign, runs]), "right") - 1] = True
-        upper, mark[foreign] = _UPPER[data], True
-        head = np.zeros(len(flag), bool)
-        head[np.searchsorted(words.start, np.flatnonzero(upper[:-2] & upper[1:-1] & mark[2:]), "right") - 1] = True
-        for k in range(1, IBAN_GROUPS + 1):
-            flag[k:] |= head[:-k]
+    mark = _MARKS[data]
+    marks = np.concatenate([[0], np.cumsum(mark, dtype=np.int32)])
+    flag |= marks[words.end] > marks[words.start]
+    foreign = foreign_digits(data)
+    alone = (words.end - words.start == 1) & (data[words.start] == 61)
+    flag[1:] |= alone[:-1] & (data[words.start[1:]] == 34)
+    inside = np.concatenate([[0], np.cumsum(_ALNUM[data], dtype=np.int32)])
+    runs = np.flatnonzero(inside[LONG_SECRET:] - inside[:-LONG_SECRET] == LONG_SECRET)
+    flag[np.searchsorted(words.start, np.concatenate([foreign, runs]), "right") - 1] = True
+    upper, mark[foreign] = _UPPER[data], True
+    head = np.zeros(len(flag), bool)
+    head[np.searchsorted(words.start, np.flatnonzero(upper[:-2] & upper[1:-1] & mark[2:]), "right") - 1] = True
+    for k in range(1, IBAN_GROUPS + 1):
+        flag[k:] |= head[:-k]
     at = np.flatnonzero(flag)
     if not len(at):
         return []
@@ -255,12 +292,12 @@ def _with_context(data: np.ndarray, begin: int, low: int, high: int) -> tuple[st
     return before + data[low:high].tobytes().decode("utf-8", "surrogatepass"), len(before)
 
 
-def replace_block(data: np.ndarray, offsets: np.ndarray, key: str, attempts: dict) -> dict[int, tuple[str, dict[str, int]]]:
+def replace_block(data: np.ndarray, offsets: np.ndarray, key: str) -> dict[int, tuple[str, dict[str, int]]]:
     """New text and entity counts of the texts of a block that hold an entity."""
     pieces: dict[int, list] = {}
     for row, low, high in stretches(data, offsets):
         text, start = _with_context(data, offsets[row], low, high)
-        new, found = replace(text, key, attempts, start)
+        new, found = replace(text, key, start)
         if found:
             pieces.setdefault(row, []).append((low, high, new, found))
     out = {}
@@ -275,50 +312,12 @@ def replace_block(data: np.ndarray, offsets: np.ndarray, key: str, attempts: dic
     return out
 
 
-def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen = set()
-        for _, _, data, offsets in blocks(batch, "text"):
-            for row, low, high in stretches(data, offsets, only_titles=True):
-                text, start = _with_context(data, offsets[row], low, high)
-                for m in PATTERN.finditer(text, start):
-                    if m["name"]:
-                        seen.add((TITLES.get(m["title"], "m"), m["first"], m["last"], f"{m['title']} {m['first']} {m['last']}"))
-        rows = sorted(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["gender", "first", "last", "sample"])
-
-
-def name_attempts(docs: DataFrame, key: str) -> dict[tuple[str, str, str], int]:
-    """Attempts of the names whose surrogates would otherwise collide (checked over all names of the corpus)."""
-    names = (docs.select("text").mapInArrow(_names, "gender string, first string, last string, sample string")
-             .groupBy("gender", "first", "last").agg(F.min("sample").alias("sample")))
-    attempts: dict[tuple[str, str, str], int] = {}
-    for _ in range(50):
-        def new_names(batches, attempts=attempts):
-            for b in batches:
-                rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
-                made = [" ".join(surrogate("name", r[3], key, attempts).split(" ")[1:]) for r in rows]
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.string())], names=["gender", "first", "last", "made"])
-
-        made = names.mapInArrow(new_names, "gender string, first string, last string, made string")
-        key_row = F.struct("gender", "first", "last")
-        double = made.groupBy("made").agg(F.count(F.lit(1)).alias("n"), F.min(key_row).alias("keep")).where("n > 1")
-        clash = made.join(double, "made").where(key_row != F.col("keep")).select("gender", "first", "last")
-        rows = clash.limit(MAX_COLLIDING_NAMES + 1).collect()
-        if not rows:
-            return attempts
-        if len(rows) + len(attempts) > MAX_COLLIDING_NAMES:
-            raise ValueError("too many colliding names: lengthen the name lists")
-        attempts = attempts | {tuple(r): attempts.get(tuple(r), 0) + 1 for r in rows}
-    raise ValueError("names still collide after 50 attempts")
-
-
-def _apply(key: str, held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         k = batch.schema.get_field_index("text")
         for lo, hi, data, offsets in blocks(batch, "text"):
             part = batch.slice(lo, hi - lo)
-            changed = replace_block(data, offsets, key, held.value)
+            changed = replace_block(data, offsets, key)
             texts = part.column(k)
             if changed:
                 values = texts.to_pylist()
@@ -337,9 +336,8 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     replaced). Repeated rows get equal results. One map over the documents, without a shuffle.
     """
     clean = docs.drop("_entities")
-    held = docs.sparkSession.sparkContext.broadcast(name_attempts(clean, key))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in clean.schema]).add("_entities", T.MapType(T.StringType(), T.IntegerType()))
-    return clean.mapInArrow(functools.partial(_apply, key, held), schema)
+    return clean.mapInArrow(functools.partial(_apply, key), schema)
 
 
 def op5_surrogates(spark, sf_dir: str) -> DataFrame:

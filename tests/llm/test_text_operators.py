@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import pyarrow as pa
@@ -298,12 +299,31 @@ def test_entities_are_found_as_in_the_whole_text():
              "DE44 ABCD EFGH.", "DE44ABCD EFGHIJKL XYZ", "(GB82 WEST ABCD EFGH IJKL MNOP QRST UVWX YZ", "XX٤٤ ABCD EFGH AB", "ABCD EFGH", "plain words only"]
     texts = [f"{before}{form}{behind}" for form in forms for before in ("", "some words ", "é\t", "4 Mr ") for behind in ("", " and more words", "\nNext Line", ", x")]
     texts += [" ".join(random.Random(k).choices(forms, k=6)) for k in range(300)] + ["", " ", "Mr"]
-    got = surrogates.replace_block(*buffers(pa.array(texts)), "key", {})
+    got = surrogates.replace_block(*buffers(pa.array(texts)), "key")
     for k, text in enumerate(texts):
-        new, found = surrogates.replace(text, "key", {})
+        new, found = surrogates.replace(text, "key")
         assert got.get(k, (text, {})) == (new, found)
 
 
+def test_names_of_every_script_have_surrogates_of_their_own(spark):
+    lasts = ["محمود", "כהן", "山田", "김철수", "Čapek", "Łoś", "Őry", "Li", "Smith", "Καρράς", "Ωμέγά"]
+    firsts = [f"{a}{b}" for a in "ABCDEFGH" for b in "abcdef"] + ["محمد", "太郎", "Čeněk", "Anna", "Mary", "James", "Paul", "Анна", "Иван"]
+    names = [(title, first, last) for first in firsts for last in lasts for title in ("Mr", "Mrs")]
+    docs = spark.createDataFrame(rows_of([(k, " ".join((t + ".", f, n)), "en") for k, (t, f, n) in enumerate(names)]), SCHEMA)
+    got = {r.doc_id: r.text.split(" ") for r in surrogates.replace_entities(docs).collect()}
+    pairs = {}
+    for k, (title, first, last) in enumerate(names):
+        new_title, new_first, new_last = got[k]
+        assert new_title == title + "." and new_first != first and new_last != last
+        for a, b in zip(last, new_last, strict=True):
+            assert unicodedata.category(a) == unicodedata.category(b) and unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0]
+        pairs.setdefault((new_first, new_last), set()).add((first, last))
+    assert len(pairs) == len(firsts) * len(lasts) and all(len(x) == 1 for x in pairs.values())
+    assert surrogates.other_first_name("Anna", "key") in surrogates.NAMES["f", "latin"]
+    every = {first: surrogates.other_first_name(first, "key") for first in [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]}
+    assert len(set(every.values())) == len(every)
+
+
 def test_permutation_is_one_to_one():
     seen = {surrogates.same_format(f"{k:03d}", "key", "t") for k in range(1000)}
     assert len(seen) == 1000 and all(len(x) == 3 for x in seen)
