@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ordertide.llm import attention, automaton_dedup, bag_minhash, gamma_samples, language, lattice, mixing, ranked_search, suffix_dedup, surrogates, url_rules, winnow
+from ordertide.llm import attention, automaton_dedup, bag_minhash, gamma_samples, language, lattice, mixing, ranked_search, repair, suffix_dedup, surrogates, url_rules, winnow
 from ordertide.llm.text import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_automaton_dedup": automaton_dedup.op8_automaton_dedup,
     "op9_gamma_samples": gamma_samples.op9_gamma_samples,
     "op10_winnowing": lambda spark, sf_dir: winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_ranked_search": ranked_search.op12_ranked_search,
     "op13_lattice_hashing": lattice.op13_lattice_hashing,
 }
