@@ -203,7 +203,7 @@ def _seen_first(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     return rows.join(other, same, "left").withColumn("fresh", ~F.col("blank") & F.coalesce(first, F.lit(True))).drop(*other.columns)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of symbols of a stretch of rows in order: columns conv_id, symbol, initial, n (rows; all but the first must go).
 
     A chunk is marked whole if its conversation surely lies inside the stretch and has no other chunk.
@@ -234,8 +234,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             conv, started = ids[k], True
             symbols += heads[k] + MUST_GO * (n - 1)
             initials += classes[k] * n
-            while len(symbols) > CHUNK:
-                rest, symbols, later, initials = symbols[CHUNK:], symbols[:CHUNK], initials[CHUNK:], initials[:CHUNK]
+            while len(symbols) > size:
+                rest, symbols, later, initials = symbols[size:], symbols[:size], initials[size:], initials[:size]
                 cut(False)
                 symbols, initials = rest, later
         yield emptied()
@@ -321,10 +321,16 @@ def join_pieces(pieces: list[dict]) -> dict:
     return made
 
 
-def _join(level: str, found: pa.Table) -> pa.Table:
-    rows = join_pieces(sorted(found.select(PIECES.names).to_pylist(), key=lambda r: r[level]))
-    rows[level] //= FAN
-    return pa.Table.from_pylist([rows], PIECES)
+def _joined(pieces: DataFrame, level: str, fan: int) -> DataFrame:
+    """Pieces with up to ``fan`` neighbours in the order of ``level`` (seq inside a part, or part) put together."""
+
+    def join(group):  # without type hints, which Spark can't resolve for nested functions
+        row = join_pieces(sorted(group.select(PIECES.names).to_pylist(), key=lambda r: r[level]))
+        row[level] //= fan
+        return pa.Table.from_pylist([row], PIECES)
+
+    keys = ["conv_id", "part"] if level == "seq" else ["conv_id"]
+    return settle(pieces.withColumn("up", F.floor(F.col(level) / fan)).groupBy(*keys, "up").applyInArrow(join, _PIECE_COLUMNS), "pieces")
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,15 +355,14 @@ def solutions(ordered: DataFrame) -> DataFrame:
     runs = runs.withColumn("symbol", F.when(F.col("piece") == 0, F.col("symbol")).otherwise(MUST_GO))
     order = ["conv_id", "turn", "role", "hash", "piece"]
     dealt = runs.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "symbol", "initial", "n")
-    chunks = settle(dealt.mapInArrow(_chunks, _CHUNK_COLUMNS), "chunks")
+    chunks = settle(dealt.mapInArrow(functools.partial(_chunks, CHUNK), _CHUNK_COLUMNS), "chunks")
     held = ordered.sparkSession.sparkContext.broadcast(compress(chunks))
     whole = chunks.where("whole").select("conv_id", "symbols", "illegal").mapInArrow(functools.partial(_solve, held), _SOLUTION)
     pieces = settle(chunks.where("not whole").mapInArrow(functools.partial(_measure, held), _PIECE_COLUMNS), "pieces")
     far = pieces.agg(F.max("seq"), F.max("part")).first()
-    for level, highest, keys in (("seq", far[0] or 0, ["conv_id", "part"]), ("part", far[1] or 0, ["conv_id"])):
+    for level, highest in (("seq", far[0] or 0), ("part", far[1] or 0)):
         while highest:
-            group = pieces.withColumn("up", F.floor(F.col(level) / FAN)).groupBy(*keys, "up")
-            pieces, highest = settle(group.applyInArrow(functools.partial(_join, level), _PIECE_COLUMNS), "pieces"), highest // FAN
+            pieces, highest = _joined(pieces, level, FAN), highest // FAN
     return settle(whole.unionByName(pieces.mapInArrow(_close, _SOLUTION)), "solutions")
 
 

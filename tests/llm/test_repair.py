@@ -173,7 +173,14 @@ def test_conversations_cut_by_ranges_and_chunks(spark, monkeypatch, chunk):
     monkeypatch.setattr(repair, "CHUNK", chunk)
     monkeypatch.setattr(repair, "FAN", 3)
     rows = talk(2, 3, 200) + [(0, k, ("user", "assistant")[k % 2], f"more {k}.") for k in range(300, 500)] + [(9, 1, "user", "Same.")] * 40
-    assert result(spark, rows, 8) == brute(rows)
+    joined = []
+    monkeypatch.setattr(repair, "_joined", lambda pieces, level, fan, made=repair._joined: joined.append(level) or made(pieces, level, fan))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # eight ranges
+    try:
+        assert result(spark, rows, 8) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert "part" in joined and ("seq" in joined) == (chunk == 4)
 
 
 def test_defined_cases(spark):
