@@ -44,11 +44,11 @@ def term_hashes(data: np.ndarray, offsets: np.ndarray) -> Words:
     return words
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_terms(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch the documents with a term and their terms."""
     for batch in batches:
         docs = terms = 0
-        for _, _, data, offsets in blocks(batch, "text", INDEX_BYTES):
+        for _, _, data, offsets in blocks(batch, "text", size):
             counts = Words(data, offsets, ALNUM, lower=True).counts
             docs, terms = docs + int((counts > 0).sum()), terms + int(counts.sum())
         yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([terms], pa.int64())], names=["docs", "terms"])
@@ -61,9 +61,9 @@ def norm(n: np.ndarray, docs: int, terms: int) -> np.ndarray:
     return 10 + 90 * n * docs // max(terms, 1)
 
 
-def _index(docs: int, terms: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(docs: int, terms: int, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in blocks(batch, "text", INDEX_BYTES):
+        for lo, hi, data, offsets in blocks(batch, "text", size):
             words = term_hashes(data, offsets)
             order = np.argsort(words.hash, kind="stable")  # by term, then by document
             term, doc = words.hash[order], words.text_of_word()[order]
@@ -87,12 +87,13 @@ def _index(docs: int, terms: int, batches: Iterator[pa.RecordBatch]) -> Iterator
 INDEX = "ids binary, missing binary, terms binary, starts binary, docs binary, impacts binary"
 
 
-def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, int]:
+def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                block_bytes: int = INDEX_BYTES) -> tuple[DataFrame, int]:
     """The index of all rows, a written table, and the number of documents that have a term."""
     read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    total = read.mapInArrow(_count_terms, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    total = read.mapInArrow(functools.partial(_count_terms, block_bytes), "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
     n, terms = int(total[0] or 0), int(total[1] or 0)
-    return settle(read.mapInArrow(functools.partial(_index, n, terms), INDEX), "impact-index"), n
+    return settle(read.mapInArrow(functools.partial(_index, n, terms, block_bytes), INDEX), "impact-index"), n
 
 
 class Queries:

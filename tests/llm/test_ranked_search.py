@@ -35,8 +35,10 @@ def brute(docs, items, k=10):
     return sorted(out, key=str)
 
 
-def result(spark, docs, items, **more):
-    index, n = ranked_search.build_index(spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, score string").repartition(3))
+def result(spark, docs, items, block_bytes=ranked_search.INDEX_BYTES, **more):
+    frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, score string").repartition(3)
+    index, n = ranked_search.build_index(frame, block_bytes=block_bytes)
+    assert block_bytes > 5_000 or index.count() > 6
     asked = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     got = ranked_search.search(index, n, asked, **more)
     assert got.columns == ["item_id", "rank", "doc_id", "score"]
@@ -51,10 +53,9 @@ def corpus(seed, n, vocabulary):
 
 
 @pytest.mark.parametrize("vocabulary", [8, 300])
-def test_equals_counting(spark, monkeypatch, vocabulary):
-    monkeypatch.setattr(ranked_search, "INDEX_BYTES", 2_000)  # many blocks
+def test_equals_counting(spark, vocabulary):
     docs, items = corpus(1, 400, vocabulary), corpus(2, 12, vocabulary)
-    got = result(spark, docs, items, group_bytes=500)  # several groups
+    got = result(spark, docs, items, block_bytes=2_000, group_bytes=500)  # many blocks, several groups
     assert got == brute(docs, items) and got
 
 
