@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ordertide.functions import clock
-from ordertide.operators import detectors, evaluation, ordered, performance, process, quality
+from ordertide.operators import detectors, evaluation, neighbours, ordered, performance, process, quality
 from ordertide.plans.ctes import define, sql
 from ordertide.plans.registry import query, rounded
 from ordertide.session import materialize
@@ -13,7 +13,7 @@ from ordertide.sources.star_schema import FUNNEL
 
 FEATURES = ["quantity", "price_cents", "discount_points"]
 _U = [900, 950, 975, 990]
-SRAW, MED, IQR = "sraw", "median", "iqr"
+SRAW, SLOG, MED, IQR = "sraw", "slog", "median", "iqr"
 
 
 def _fit_sql(expr, where="role='fit'"):
@@ -123,6 +123,26 @@ def isolation_forest(shop):
     return detectors.isolation_forest_score(m.where("role <> 'fit'"), FEATURES, nodes, trees=100)
 
 
+LOF_NEIGHBOURS = [20, 35, 50]
+_LOF_AXES = [f"{f}_scaled" for f in FEATURES]
+define("lofx", f"SELECT order_id, role, {', '.join(f'(ln(1+{f})-{_g(SLOG, f, MED)})/{_g(SLOG, f, IQR)} AS x{i}' for i, f in enumerate(FEATURES))} FROM meas")
+define("lofn", """SELECT order_id, role, unnest(near).d AS d, unnest(near).o AS o, unnest(range(1, len(near)+1)) AS i FROM
+ (SELECT q.order_id, q.role, min({'d': (q.x0-f.x0)**2+(q.x1-f.x1)**2+(q.x2-f.x2)**2, 'o': f.order_id}, 50) AS near FROM lofx q, (SELECT * FROM lofx WHERE role='fit') f WHERE f.order_id<>q.order_id GROUP BY 1,2)""")
+define("lofk", "SELECT order_id AS o, i AS k, sqrt(d) AS kd FROM lofn WHERE role='fit' AND i IN (20,35,50)")
+define("lofd", """SELECT n.order_id, n.role, k, 1/(avg(greatest(sqrt(d),kd))+1e-10) AS lrd FROM lofn n JOIN lofk USING (o) WHERE i<=k GROUP BY 1,2,3""")
+
+
+@query("d09_local_outlier_factor", sql("""SELECT q.order_id, q.role, 'lof_log1p_'||q.k AS score_column, round(avg(f.lrd)/any_value(q.lrd),4) AS score
+ FROM lofn n JOIN lofd q ON q.order_id=n.order_id AND n.i<=q.k JOIN lofd f ON f.order_id=n.o AND f.k=q.k WHERE n.role<>'fit' GROUP BY 1,2,3"""))
+def local_outlier_factor(shop):
+    m, logged = matrix(shop), stats(shop)[1]
+    logs = m.select("order_id", "role", *[F.log1p(f).alias(f) for f in FEATURES])
+    scaled = materialize(detectors.robust_scale(logs, FEATURES, logged).join(m.select("order_id", "role"), "order_id"), "scaled")
+    new = scaled.where("role <> 'fit'")
+    found = neighbours.local_outlier_factors(scaled.where("role = 'fit'"), new, _LOF_AXES, LOF_NEIGHBOURS)
+    return rounded(found.join(new, "order_id").select("order_id", "role", F.concat(F.lit("lof_log1p_"), F.col("neighbours").cast("string")).alias("score_column"), "score"), 4)
+
+
 @query("d10_robust_scale", sql(f"SELECT order_id, {', '.join(f'round(({f}-{_g(SRAW, f, MED)})/{_g(SRAW, f, IQR)},6) AS {f}_scaled' for f in FEATURES)} FROM meas"))
 def robust_scale(shop):
     return rounded(detectors.robust_scale(matrix(shop), FEATURES, stats(shop)[0]))
