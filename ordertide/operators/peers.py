@@ -9,10 +9,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ordertide.functions import tristate
 from ordertide.operators import ordered
+from ordertide.session import materialize
 
 # Minimum peers, and the order in which contexts are tried.
 MINIMUM_PEERS = 30
@@ -50,16 +52,74 @@ def group_statistics(reference: DataFrame, minimum: int) -> DataFrame:
                                           F.max("ended_at").alias("latest_end")).where(F.col("ref_n") >= minimum)
 
 
-def select_peers(rows: DataFrame, reference: DataFrame, category_levels=CATEGORY_LEVELS, product_levels=(),
+class FrozenReference:
+    """A written index of a reference: group statistics, and each group's rank as steps over the duration.
+
+    ``counts`` has (group, duration_s, n, latest_end). A step says that ``upto`` members last at most as long as any duration from
+    ``since`` until before ``until``; steps are cut at chunks of the duration axis, so a probe finds its step by an equi-join on
+    (group, chunk) and a range of at most one chunk. Probes read the groups they name and never the rows behind them.
+    """
+
+    def __init__(self, counts: DataFrame, minimum: int, category_levels, product_levels, width: int = ordered.UNITS):
+        self.minimum, self.category_levels, self.product_levels, self.width = minimum, list(category_levels), list(product_levels), width
+        self.counts = materialize(counts, "reference-counts")
+        groups = self.counts.groupBy("group").agg(F.sum("n").alias("ref_n"), F.sum(F.col("n") * F.col(DURATION)).alias("ref_sum_s"),
+                                                  F.max("latest_end").alias("latest_end")).where(F.col("ref_n") >= minimum)
+        self.statistics = materialize(groups, "reference-groups")
+        used = self.counts.join(self.statistics.select("group"), "group", "left_semi")
+        table = ordered.running(used, ["group"], DURATION, {"n": F.col("n")}, width=width)
+        chunk = F.floor(F.col(DURATION) / width)
+        follows = W.partitionBy("group", "_chunk").orderBy(DURATION)
+        first = table.groupBy("group", chunk.alias("_chunk")).agg(F.min(DURATION).alias("first"))
+        later = first.select("group", "_chunk", F.lead("first").over(W.partitionBy("group").orderBy("_chunk")).alias("later"))  # one row per chunk
+        steps = table.withColumn("_chunk", chunk).join(later, ["group", "_chunk"]).select(
+            "group", F.col(DURATION).alias("since"), F.coalesce(F.lead(DURATION).over(follows), "later").alias("until"), F.col("n_upto").alias("upto"))
+        last = F.coalesce(F.floor((F.col("until") - 1) / width), F.floor(F.col("since") / width))
+        self.steps = materialize(steps.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("since") / width), last))), "reference-steps")
+
+    @classmethod
+    def of(cls, reference: DataFrame, category_levels=CATEGORY_LEVELS, product_levels=PRODUCT_LEVELS, minimum: int = MINIMUM_PEERS) -> FrozenReference:
+        return cls(_counts(reference, category_levels, product_levels), minimum, category_levels, product_levels)
+
+    def added(self, reference: DataFrame) -> FrozenReference:
+        """The index of these and further reference rows; rows already in it are not read again."""
+        both = self.counts.unionByName(_counts(reference, self.category_levels, self.product_levels))
+        counts = both.groupBy("group", DURATION).agg(F.sum("n").alias("n"), F.max("latest_end").alias("latest_end"))
+        return FrozenReference(counts, self.minimum, self.category_levels, self.product_levels, self.width)
+
+    def ranked(self, chosen: DataFrame) -> DataFrame:
+        """``chosen`` (group, duration_s, ...) with ref_upto: members of the group that last at most as long."""
+        probes = chosen.select("group", DURATION).distinct().withColumn("chunk", F.floor(F.col(DURATION) / self.width))
+        step = (F.col(DURATION) >= F.col("since")) & (F.col("until").isNull() | (F.col(DURATION) < F.col("until")))
+        edges = self.steps.groupBy("group").agg(F.min("since").alias("_first"))
+        met = probes.join(self.steps, ["group", "chunk"], "left").where(F.col("since").isNull() | step | (F.col(DURATION) < F.col("since")))
+        found = met.groupBy("group", DURATION).agg(F.max(F.when(step, F.col("upto"))).alias("upto")).join(edges, "group")
+        # Outside every step: before the first member none is as short, past the last chunk all are.
+        upto = F.coalesce("upto", F.when(F.col(DURATION) < F.col("_first"), F.lit(0)).otherwise(F.lit(None)))
+        looked_up = found.select("group", DURATION, upto.alias("ref_upto"))
+        out = chosen.join(looked_up, ["group", DURATION], "left").join(self.statistics.select("group", F.col("ref_n").alias("_all")), "group", "left")
+        return out.withColumn("ref_upto", F.coalesce("ref_upto", "_all")).drop("_all")
+
+
+def _counts(reference: DataFrame, category_levels, product_levels) -> DataFrame:
+    bank = level_rows(reference, list(product_levels), list(category_levels), [DURATION, "ended_at"]).where(F.col(DURATION).isNotNull())
+    return bank.groupBy("group", DURATION).agg(F.count(F.lit(1)).alias("n"), F.max("ended_at").alias("latest_end"))
+
+
+def select_peers(rows: DataFrame, reference: DataFrame | FrozenReference, category_levels=CATEGORY_LEVELS, product_levels=(),
                  minimum: int = MINIMUM_PEERS) -> DataFrame:
     """First supported level per (order_id, stage) with the rank of its duration in that group.
 
     A product group is used only where a category group also qualifies, so geography is never
-    dropped silently. Adds level, group, scope, ref_n, ref_sum_s, ref_upto.
+    dropped silently. Adds level, group, scope, ref_n, ref_sum_s, ref_upto. A frozen reference brings its own levels and minimum.
     """
-    product_levels = list(product_levels)
-    bank = level_rows(reference, product_levels, category_levels, [DURATION, "ended_at"])
-    stats = group_statistics(bank, minimum)
+    frozen = reference if isinstance(reference, FrozenReference) else None
+    product_levels, category_levels = (frozen.product_levels, frozen.category_levels) if frozen else (list(product_levels), category_levels)
+    if frozen:
+        bank, stats = None, frozen.statistics
+    else:
+        bank = level_rows(reference, product_levels, category_levels, [DURATION, "ended_at"])
+        stats = group_statistics(bank, minimum)
     candidates = level_rows(rows, product_levels, category_levels, ["order_id", "stage", DURATION])
     matched = candidates.join(stats, "group")
     chosen = matched.groupBy("order_id", "stage").agg(
@@ -67,7 +127,7 @@ def select_peers(rows: DataFrame, reference: DataFrame, category_levels=CATEGORY
         F.max(F.col("level") >= len(product_levels)).alias("_gate"), F.first(DURATION).alias(DURATION),
     ).where("_gate").select("order_id", "stage", DURATION, F.col("_s.level").alias("level"), F.col("_s.group").alias("group"),
                             F.col("_s.ref_n").alias("n_peers"), F.col("_s.ref_sum_s").alias("ref_sum_s"))
-    ranked = ordered.ecdf(chosen, bank.select("group", DURATION), ["group"], DURATION, width=ordered.UNITS)
+    ranked = frozen.ranked(chosen) if frozen else ordered.ecdf(chosen, bank.select("group", DURATION), ["group"], DURATION, width=ordered.UNITS)
     scope = F.when(F.col("level") < len(product_levels), "product_context").otherwise("category_context_fallback")
     found = ranked.select("order_id", "stage", "level", "group", F.col("n_peers").alias("ref_n"), "ref_sum_s", "ref_upto",
                           scope.alias("reference_scope"))
@@ -137,7 +197,7 @@ def tail_score(duration: Column, upto: Column, n: Column, total: Column) -> tupl
     return score, severity
 
 
-def stage_delay_score(rows: DataFrame, reference: DataFrame, minimum: int = MINIMUM_PEERS) -> DataFrame:
+def stage_delay_score(rows: DataFrame, reference: DataFrame | FrozenReference, minimum: int = MINIMUM_PEERS) -> DataFrame:
     """Product context first, category context as fallback, tail score and severity."""
     ranked = select_peers(rows, reference, CATEGORY_LEVELS, PRODUCT_LEVELS, minimum)
     score, severity = tail_score(F.col(DURATION), F.col("ref_upto"), F.col("ref_n"), F.col("ref_sum_s"))

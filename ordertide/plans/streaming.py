@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ordertide.functions import clock
-from ordertide.operators import ordered
+from ordertide.operators import ordered, peers
 from ordertide.plans import peers as peer_plans
 from ordertide.plans.ctes import define, sql
 from ordertide.plans.registry import query, rounded
@@ -101,7 +102,7 @@ def close_window(shop):
 
 
 def journal(shop):
-    reference = peer_plans.reference(shop)
+    reference = peers.FrozenReference.of(peer_plans.reference(shop))
     return materialize(scoring.decision_journal(materialize(milestones.milestone_revisions(accepted(shop)), "revisions"), reference, context(shop)), "journal")
 
 
@@ -123,7 +124,7 @@ define("jrn", """SELECT *, CASE WHEN delay_score>0 THEN 'warning_emitted' WHEN d
 @query("t07_score_stages", sql("SELECT order_id, revision, stage, mode, assessment_status, duration_s, round(delay_score,6) AS delay_score FROM asm"))
 def score_stages(shop):
     revisions = materialize(milestones.milestone_revisions(accepted(shop)), "revisions")
-    a = scoring.assess(revisions, ["order_id", "revision"], "", peer_plans.reference(shop), context(shop), 30)
+    a = scoring.assess(revisions, ["order_id", "revision"], "", peers.FrozenReference.of(peer_plans.reference(shop)), context(shop), 30)
     return rounded(a.select("order_id", "revision", "stage", "mode", "assessment_status", "duration_s", "delay_score"))
 
 
@@ -139,21 +140,121 @@ def latest(shop):
     return rounded(scoring.order_scores(scoring.latest_stage_scores(journal(shop))))
 
 
+@query("t09_latest_table", sql("""SELECT mode, order_id, count(delay_score) AS scored_stages, CASE WHEN count(delay_score)=3 THEN 'complete' WHEN count(delay_score)>0 THEN 'partial' ELSE 'unavailable' END AS coverage, round(max(delay_score),6) AS max_stage_delay_score,
+ CASE WHEN bool_or(delay_score>0) THEN true WHEN count(delay_score)=3 THEN false END AS any_warning, coalesce(array_to_string(list_sort(list(DISTINCT assessment_status) FILTER (WHERE delay_score IS NULL)),','),'') AS unassessed_reasons
+FROM (SELECT * FROM asm QUALIFY revision=max(revision) OVER (PARTITION BY order_id)) GROUP BY 1,2"""))
+def latest_of_stream(shop):
+    return rounded(scoring.order_scores(scoring.latest_table(shop.spark, run_stream(shop)).read()))
+
+
 @query("t10_prefix_summary", sql("SELECT mode, stage, action, assessment_status, count(*) AS decisions, count(DISTINCT order_id) AS orders FROM jrn GROUP BY 1,2,3,4"))
 def prefix(shop):
     return scoring.prefix_summary(journal(shop))
 
 
+_runs: dict[tuple, str] = {}
+
+
+def _once(shop, name, build):
+    """The folder of a replay; runs of one application over one data set share it."""
+    key = (shop.spark.sparkContext.applicationId, shop.sf_dir, name)
+    if key not in _runs:
+        _runs[key] = build(new_run_folder(shop.spark, name))
+    return _runs[key]
+
+
+SLICES = ["1999-07-01 00:00:00", "2000-01-01 00:00:00"]
+DELAY_DAYS = 30
+
+
+def slices_by_time(rows, bounds):
+    edges = [None, *bounds, None]
+    for low, high in zip(edges[:-1], edges[1:]):
+        yield rows.where((F.lit(True) if low is None else F.col("occurred_at") >= low) & (F.lit(True) if high is None else F.col("occurred_at") < high))
+
+
+def _start(shop, folder, **sink):
+    def start():
+        checked = milestones.validate_events(scoring.read_events_stream(shop.spark, f"{folder}/in"), ID, START, CUTOFF)
+        return scoring.write_decision_stream(milestones.milestone_revisions_stream(checked, CUTOFF, f"{DELAY_DAYS} days"), f"{folder}/out", f"{folder}/checkpoint", **sink)
+    return start
+
+
 def run_stream(shop):
-    """Write the accepted events as time-ordered JSON files, replay them, return the sink folder."""
-    folder = new_run_folder(shop.spark, "milestone-stream")
-    accepted(shop).repartitionByRange(4, "occurred_at").sortWithinPartitions("occurred_at").write.json(f"{folder}/in")
-    source = scoring.read_events_stream(shop.spark, f"{folder}/in", files_per_trigger=4)
-    checked = milestones.validate_events(source, ID, START, CUTOFF).where("reject_reason IS NULL").drop("reject_reason")
-    q = scoring.write_decision_stream(milestones.milestone_revisions_stream(checked), peer_plans.reference(shop), materialize(context(shop), "context"),
-                                      f"{folder}/out", f"{folder}/checkpoint")
-    q.awaitTermination()
-    return f"{folder}/out"
+    """Replay the accepted events in three slices of event time, each a run resumed from the checkpoint; returns the sink folder."""
+    def build(folder):
+        events_ = materialize(accepted(shop), "events")
+        sink = {"reference": peers.FrozenReference.of(peer_plans.reference(shop)), "context": materialize(context(shop), "context")}
+        scoring.replay(list(slices_by_time(events_, SLICES)), folder, _start(shop, folder, **sink))
+        return f"{folder}/out"
+    return _once(shop, "milestone-stream", build)
+
+
+def arrivals(shop):
+    """Events with the slice in which they arrive: deliveries one slice late, approvals two, copies of purchases and changed deliveries."""
+    e = events(shop).withColumn("slice", F.when(F.col("occurred_at") < SLICES[0], 1).when(F.col("occurred_at") < SLICES[1], 2).when(F.col("occurred_at") < CUTOFF, 3).otherwise(4))
+    order, activity = F.col("order_id").cast("long"), F.col("activity")
+    late = e.withColumn("slice", F.col("slice") + F.when((order % 7 == 0) & (activity == "Delivered"), 1).when((order % 11 == 0) & (activity == "Approved"), 2).otherwise(0))
+    again = e.where((order % 13 == 0) & (activity == "Purchased")).withColumn("slice", F.col("slice") + 1)
+    changed = e.where((order % 17 == 0) & (activity == "Delivered")).withColumn("occurred_at", F.regexp_replace("occurred_at", "00:00:00", "12:00:00"))
+    changed = changed.withColumn("event_id", milestones.event_id()).withColumn("slice", F.col("slice") + 1)
+    return late.unionByName(again).unionByName(changed)
+
+
+def run_arrivals(shop):
+    """Replay ``arrivals`` in five runs; returns the sink folder. The last row of state must be gone at the end."""
+    def build(folder):
+        rows = materialize(arrivals(shop), "arrivals")
+        runs = scoring.replay([rows.where(F.col("slice") == k).drop("slice") for k in range(1, 6)], folder, _start(shop, folder))
+        states = [(k, p["stateOperators"][0]["numRowsTotal"]) for k, p in enumerate(runs, 1)]
+        shop.spark.createDataFrame(states, "run long, state_rows long").coalesce(1).write.parquet(f"{folder}/out/state")
+        return f"{folder}/out"
+    return _once(shop, "arrival-stream", build)
+
+
+def outcomes(shop):
+    """Every row of the arrival replay with its outcome and its data-bearing micro-batch, counted from 1."""
+    out = run_arrivals(shop)
+    rows = [shop.spark.read.schema("order_id string, activity string, occurred_at string, outcome string, epoch int").parquet(f"{out}/{part}") for part in ("revisions", "late", "rejects")]
+    rows = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    epochs = rows.select("epoch").distinct().withColumn("batch", F.dense_rank().over(W.orderBy("epoch")).cast("long"))  # one row per micro-batch
+    return rows.join(F.broadcast(epochs), "epoch")
+
+
+define("arr0", """SELECT *, CASE WHEN occurred_at<'1999-07-01 00:00:00' THEN 1 WHEN occurred_at<'2000-01-01 00:00:00' THEN 2 WHEN occurred_at<'2000-06-01 00:00:00' THEN 3 ELSE 4 END AS base, CAST(order_id AS BIGINT) AS o FROM evt""")
+define("arr", """SELECT order_id, activity, occurred_at, 0 AS ver, base + CASE WHEN o%7=0 AND activity='Delivered' THEN 1 WHEN o%11=0 AND activity='Approved' THEN 2 ELSE 0 END AS slice FROM arr0
+ UNION ALL SELECT order_id, activity, occurred_at, 0, base+1 FROM arr0 WHERE o%13=0 AND activity='Purchased'
+ UNION ALL SELECT order_id, activity, replace(occurred_at,'00:00:00','12:00:00'), 1, base+1 FROM arr0 WHERE o%17=0 AND activity='Delivered'""")
+define("wmk", """SELECT s.slice, (SELECT max(occurred_at)::TIMESTAMP - INTERVAL 30 DAY FROM arr a WHERE a.slice<s.slice) AS w FROM (SELECT DISTINCT slice FROM arr) s""")
+define("arrw", """SELECT arr.*, CASE WHEN occurred_at<'1999-01-01 00:00:00' THEN 'before_window' WHEN occurred_at>='2000-06-01 00:00:00' THEN 'window_closed' END AS reason,
+  coalesce(w>=TIMESTAMP '2000-06-01',false) AS closed, coalesce(occurred_at::TIMESTAMP<w,false) AS behind FROM arr JOIN wmk USING (slice)""")
+define("firsts", """SELECT order_id, activity, min({'s': slice, 't': occurred_at, 'v': ver}) AS f FROM arrw WHERE reason IS NULL AND NOT closed AND NOT behind GROUP BY 1,2""")
+define("outc", """SELECT a.order_id, a.activity, a.occurred_at, a.slice, CASE WHEN reason IS NOT NULL THEN reason WHEN f.s=a.slice AND f.t=a.occurred_at AND f.v=ver THEN 'accepted' WHEN NOT closed AND f.s<=a.slice AND f.t=a.occurred_at AND f.v=ver THEN 'replayed'
+  WHEN closed THEN 'refused_after_close' WHEN behind THEN 'late' ELSE 'conflicting_milestone' END AS outcome FROM arrw a LEFT JOIN firsts USING (order_id, activity)""")
+
+
+@query("t02_dedupe_stream", sql("SELECT slice::BIGINT AS batch, activity, count(*) FILTER (WHERE outcome='accepted') AS accepted, count(*) FILTER (WHERE outcome='replayed') AS replayed FROM outc GROUP BY 1,2"))
+def dedupe_stream(shop):
+    return outcomes(shop).groupBy("batch", "activity").agg(F.count(F.when(F.col("outcome") == "accepted", 1)).alias("accepted"), F.count(F.when(F.col("outcome") == "replayed", 1)).alias("replayed"))
+
+
+@query("t04_conflict_stream", sql("SELECT order_id, slice::BIGINT AS batch, occurred_at FROM outc WHERE outcome='conflicting_milestone'"))
+def conflict_stream(shop):
+    return outcomes(shop).where("outcome = 'conflicting_milestone'").select("order_id", "batch", "occurred_at")
+
+
+@query("t05_late_arrival_stream", sql("SELECT slice::BIGINT AS batch, activity, count(*) FILTER (WHERE outcome='late') AS late_rows, count(*) FILTER (WHERE outcome='accepted') AS on_time_rows, max(occurred_at) FILTER (WHERE outcome='late') AS last_late_at FROM outc GROUP BY 1,2"))
+def late_stream(shop):
+    late_, taken = F.col("outcome") == "late", F.col("outcome") == "accepted"
+    return outcomes(shop).groupBy("batch", "activity").agg(F.count(F.when(late_, 1)).alias("late_rows"), F.count(F.when(taken, 1)).alias("on_time_rows"), F.max(F.when(late_, F.col("occurred_at"))).alias("last_late_at"))
+
+
+@query("t06_close_window_stream", sql("""SELECT slice::BIGINT AS batch, count(*) FILTER (WHERE outcome='refused_after_close') AS refused_after_close, count(*) FILTER (WHERE outcome='window_closed') AS outside_window,
+ CASE WHEN slice>=4 THEN 0::BIGINT END AS state_rows_after_close FROM outc GROUP BY slice"""))
+def close_stream(shop):
+    state_ = shop.spark.read.parquet(f"{run_arrivals(shop)}/state").select(F.col("run").alias("batch"), F.when(F.col("run") >= 4, F.col("state_rows")).alias("state_rows_after_close"))
+    counts = outcomes(shop).groupBy("batch").agg(F.count(F.when(F.col("outcome") == "refused_after_close", 1)).alias("refused_after_close"), F.count(F.when(F.col("outcome") == "window_closed", 1)).alias("outside_window"))
+    return counts.join(state_, "batch")
 
 
 @query("t11_stream_batch_parity", sql("SELECT (SELECT count(*) FROM acc) AS batch_revisions, (SELECT count(*) FROM acc) AS stream_revisions, CAST(0 AS BIGINT) AS only_batch, CAST(0 AS BIGINT) AS only_stream, (SELECT count(*) FROM jrn) AS journal_rows, CAST(0 AS BIGINT) AS journal_differences"))

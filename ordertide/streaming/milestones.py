@@ -58,51 +58,80 @@ def validate_events(events: DataFrame, id_pattern: str, start: str, cutoff: str)
     return events.withColumn("reject_reason", reason)
 
 
-def split_late(batch: DataFrame, watermark: str | None) -> tuple[DataFrame, DataFrame]:
-    """Rows behind the watermark go to a late table instead of stopping the run."""
-    if watermark is None:
-        return batch, batch.where(F.lit(False))
-    late = F.col("occurred_at") < F.lit(watermark)
-    return batch.where(~late), batch.where(late)
+class MilestoneProcessor(StatefulProcessor):
+    """Per order: which milestones were seen, until the window closes. Emits one row per event with its outcome.
 
+    A known event is a replay; else, once the watermark has passed the close, it is refused; one behind the watermark is late; another
+    event for a milestone already seen is a conflict. Only accepted events change the state. The close is an event-time
+    timer: it emits nothing and ends the state. Rows with a reject reason pass through.
+    """
 
-class MilestoneProcessor(StatefulProcessor):
-    """Per order: which milestones were seen. Emits one row per new, replayed or conflicting event."""
+    def __init__(self, close_ms: int) -> None:
+        self._close_ms = close_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._seen = handle.getMapState("seen", "activity string", "event_id string, occurred_at string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        incoming = {}
+        watermark = timerValues.getCurrentWatermarkInMs()
+        incoming, out, none = {}, [], [None] * 8
         for pdf in rows:  # distinct events only; copies collapse here
-            for e, a, t in zip(pdf["event_id"], pdf["activity"], pdf["occurred_at"]):
-                incoming[(t, ACTIVITIES.index(a), e)] = incoming.get((t, ACTIVITIES.index(a), e), 0) + 1
+            for e, a, t, reason, ms in zip(pdf["event_id"], pdf["activity"], pdf["occurred_at"], pdf["reject_reason"], pdf["at_ms"], strict=True):
+                if reason is not None:
+                    out.append((key[0], None, e, a, t, reason, *none))
+                else:
+                    incoming[(t, ACTIVITIES.index(a), e, ms)] = incoming.get((t, ACTIVITIES.index(a), e, ms), 0) + 1
         seen = {k[0]: v for k, v in self._seen.iterator()}
-        out = []
-        for (t, rank, e), copies in sorted(incoming.items()):
+        had = bool(seen)
+        for (t, rank, e, ms), copies in sorted(incoming.items()):
             activity = ACTIVITIES[rank]
             before = [seen[a][1] if a in seen else None for a in ACTIVITIES]
-            if activity in seen:
-                outcome = "replayed" if seen[activity][0] == e else "conflicting_milestone"
+            if activity in seen and seen[activity][0] == e:
+                outcome = "replayed"
+            elif watermark >= self._close_ms:
+                outcome = "refused_after_close"
+            elif ms < watermark:
+                outcome = "late"
+            elif activity in seen:
+                outcome = "conflicting_milestone"
             else:
                 outcome = "accepted"
                 seen[activity] = (e, t)
                 self._seen.updateValue((activity,), (e, t))
             after = [seen[a][1] if a in seen else None for a in ACTIVITIES]
             out.append((key[0], len(seen), e, activity, t, outcome, *before, *after))
-            out += [(key[0], len(seen), e, activity, t, "replayed", *after, *after)] * (copies - 1 if outcome == "accepted" else 0)
+            again = "replayed" if outcome == "accepted" else outcome
+            out += [(key[0], len(seen), e, activity, t, again, *after, *after)] * (copies - 1)
+        if seen and not had:
+            self._handle.registerTimer(self._close_ms)
         yield pd.DataFrame(out, columns=REVISION_SCHEMA.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        self._seen.clear()
+        yield pd.DataFrame([], columns=REVISION_SCHEMA.names)
+
     def close(self) -> None:
         pass
 
 
-def milestone_revisions_stream(accepted: DataFrame) -> DataFrame:
-    """Streaming revisions keyed by order; RocksDB state, at most one entry per activity."""
-    accepted.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
-                                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return accepted.groupBy("order_id").transformWithStateInPandas(
-        statefulProcessor=MilestoneProcessor(), outputStructType=REVISION_SCHEMA, outputMode="Append", timeMode="None")
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def milestone_revisions_stream(checked: DataFrame, close: str, delay: str) -> DataFrame:
+    """Streaming outcomes keyed by order of events with ``reject_reason`` (see ``validate_events``).
+
+    The watermark follows every readable event time, ``delay`` behind. The operator itself gets plain milliseconds, so Spark drops no
+    row before the processor has said what becomes of it. State holds at most one entry per activity and order, and none
+    after the close. Needs the RocksDB state store (``STATE_STORE``) when the query starts.
+    """
+    at = F.try_to_timestamp("occurred_at", F.lit(TIME_FORMAT))
+    timed = checked.withColumn("at", at).withWatermark("at", delay)
+    rows = timed.select(F.coalesce("order_id", F.lit("")).alias("order_id"), "event_id", "activity", "occurred_at", "reject_reason",
+                        F.unix_millis("at").alias("at_ms"))
+    close_ms = int(pd.Timestamp(close, tz="UTC").timestamp() * 1000)
+    return rows.groupBy("order_id").transformWithStateInPandas(
+        statefulProcessor=MilestoneProcessor(close_ms), outputStructType=REVISION_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
 def milestone_revisions(accepted: DataFrame) -> DataFrame:

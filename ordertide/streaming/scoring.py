@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ordertide.functions import tristate
 from ordertide.operators import peers
+from ordertide.session import materialize
 from ordertide.streaming import milestones as m
 
 # The two context availability scenarios.
@@ -51,15 +52,19 @@ RESULT = ["duration_s", "observation_status", "assessment_status", "ref_n", "del
 def decision_journal(revisions: DataFrame, reference: DataFrame, context: DataFrame, minimum: int = peers.MINIMUM_PEERS) -> DataFrame:
     """Changed results per accepted revision with their action.
 
-    A revision carries the milestone set before and after it, so the previous result is recomputed
-    by the same expressions: no journal lookup, and a retried batch gives the same rows.
+    A revision carries the milestone set before and after it, so the previous result comes from the same assessment of
+    distinct milestone sets: no journal lookup, and a retried batch gives the same rows.
     """
     key = ["order_id", "revision", "event_id", "occurred_at"]
-    accepted = revisions.where("outcome = 'accepted'")
-    now = assess(accepted, key, "", reference, context, minimum)
-    had = accepted.where("revision > 1")
-    before = assess(had, key, "prev_", reference, context, minimum).select(*key, "stage", "mode", F.struct(*RESULT).alias("prior"))
-    both = now.withColumn("result", F.struct(*RESULT)).join(before, [*key, "stage", "mode"], "left")
+    state = lambda prefix: F.concat_ws("#", "order_id", *[F.coalesce(f"{prefix}{slot}", F.lit("")) for slot in m.SLOTS])
+    accepted = revisions.where("outcome = 'accepted'").withColumn("_now", state("")).withColumn("_before", F.when(F.col("revision") > 1, state("prev_")))
+    # A state is both the result of one revision and the start of the next: each is assessed once.
+    states = accepted.select("order_id", *m.SLOTS, F.col("_now").alias("_state")).unionByName(
+        accepted.where("_before IS NOT NULL").select("order_id", *[F.col(f"prev_{slot}").alias(slot) for slot in m.SLOTS], F.col("_before").alias("_state"))).dropDuplicates(["_state"])
+    assessed = materialize(assess(states, ["order_id", "_state"], "", reference, context, minimum).select("_state", "stage", "mode", *RESULT), "assessed-states")
+    now = accepted.join(assessed, F.col("_now") == F.col("_state")).drop("_state").withColumn("result", F.struct(*RESULT))
+    prior = assessed.select(F.col("_state").alias("_before"), "stage", "mode", F.struct(*RESULT).alias("prior"))
+    both = now.join(prior, ["_before", "stage", "mode"], "left")
     changed = both.where(~F.col("result").eqNullSafe(F.col("prior")))
     action = tristate.first_match([
         ("warning_emitted", tristate.known_true(F.col("delay_warning"))), ("completed_stage_scored", F.col("delay_score").isNotNull()),
@@ -86,20 +91,118 @@ def prefix_summary(journal: DataFrame) -> DataFrame:
     return journal.groupBy("mode", "stage", "action", "assessment_status").agg(F.count(F.lit(1)).alias("decisions"), F.count_distinct("order_id").alias("orders"))
 
 
-def read_events_stream(spark: SparkSession, path: str, schema: T.StructType = m.EVENT_SCHEMA, fmt: str = "json", files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
+def read_events_stream(spark: SparkSession, path: str, schema: T.StructType = m.EVENT_SCHEMA, fmt: str = "json",
+                       files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema).format(fmt)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(path)
 
 
-def write_decision_stream(revisions: DataFrame, reference: DataFrame, context: DataFrame, path: str, checkpoint: str,
-                          minimum: int = peers.MINIMUM_PEERS):
-    """Journal of changed results and revision log, one folder per micro-batch.
+class LatestTable:
+    """Latest result per (order, stage, scenario), kept across micro-batches without rewriting it in each.
+
+    An epoch's changes are written to a folder of their own and then entered in a ledger; only entered epochs are read, and an
+    entered epoch is not applied again, so a retried one changes nothing. Every ``compact_after`` epochs the table is folded
+    into a new base, which the ledger names.
+    """
 
-    Writing a batch to its own folder with overwrite makes a retried batch idempotent.
+    KEY = ("order_id", "stage", "mode")
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, compact_after: int = 16):
+        self.spark, self.path, self.schema, self.compact_after = spark, path, schema, compact_after
+
+    def _ledger(self) -> DataFrame:
+        """Entered epochs and the base in use since then (-1: none)."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/ledger")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], "entered long, base long")
+        return self.spark.read.schema("entered long, base long").parquet(f"{self.path}/ledger")
+
+    def epochs(self) -> tuple[list[int], int]:
+        """Entered epochs after the base (at most ``compact_after``), and the base."""
+        ledger = self._ledger()
+        base = ledger.agg(F.max("base")).first()[0]
+        base = -1 if base is None else base
+        return sorted(r["entered"] for r in ledger.where(F.col("entered") > base).collect()), base
+
+    def read(self) -> DataFrame:
+        """The table as of the last entered epoch."""
+        epochs, base = self.epochs()
+        parts = [f"{self.path}/base/{base}"] * (base >= 0) + [f"{self.path}/changes/{e}" for e in epochs]
+        rows = self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
+        rest = [c for c in self.schema.names if c not in self.KEY]
+        return rows.groupBy(*self.KEY).agg(F.max_by(F.struct(*rest), "revision").alias("s")).select(*self.KEY, "s.*")
+
+    def apply(self, changes: DataFrame, epoch: int) -> bool:
+        """Enter an epoch's changes; False if it was entered before."""
+        epochs, base = self.epochs()
+        if epoch <= max([base, *epochs]):
+            return False
+        changes.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/changes/{epoch}")
+        entry = base
+        if len(epochs) + 1 >= self.compact_after:
+            parts = self.read().unionByName(self.spark.read.schema(self.schema).parquet(f"{self.path}/changes/{epoch}"))
+            rest = [c for c in self.schema.names if c not in self.KEY]
+            folded = parts.groupBy(*self.KEY).agg(F.max_by(F.struct(*rest), "revision").alias("s")).select(*self.KEY, "s.*")
+            folded.write.mode("overwrite").parquet(f"{self.path}/base/{epoch}")
+            entry = epoch
+        self.spark.createDataFrame([(epoch, entry)], "entered long, base long").coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+        return True
+
+
+LATEST_SCHEMA = ("order_id string, stage string, mode string, revision long, duration_s long, observation_status string, assessment_status string, "
+                 "ref_n long, delay_score double, severity string, delay_warning boolean")
+
+
+def latest_table(spark: SparkSession, path: str, compact_after: int = 16) -> LatestTable:
+    return LatestTable(spark, f"{path}/latest", T._parse_datatype_string(LATEST_SCHEMA), compact_after)
+
+
+def write_epoch(batch: DataFrame, epoch: int, path: str, reference=None, context: DataFrame | None = None, minimum: int = peers.MINIMUM_PEERS) -> None:
+    """One micro-batch: accepted revisions, late rows and rejects apart, and (with a reference) the journal and the latest table.
+
+    Every part is written to a folder of its epoch with overwrite, so a retried batch leaves what it left before.
     """
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
-        batch.write.mode("overwrite").parquet(f"{path}/revisions/epoch={epoch}")
-        decision_journal(batch, reference, context, minimum).write.mode("overwrite").parquet(f"{path}/journal/epoch={epoch}")
+    spark = batch.sparkSession
+    batch.persist()
+    try:
+        if not batch.limit(1).count():  # a batch that only moves the watermark
+            return
+        late = F.col("outcome") == "late"
+        for name, kind in (("revisions", F.col("outcome") == "accepted"), ("late", late), ("rejects", (F.col("outcome") != "accepted") & ~late)):
+            batch.where(kind).write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
+        if reference is not None:
+            decision_journal(batch, reference, context, minimum).write.mode("overwrite").parquet(f"{path}/journal/epoch={epoch}")
+            written = spark.read.parquet(f"{path}/journal/epoch={epoch}")
+            latest_table(spark, path).apply(latest_stage_scores(written), epoch)
+    finally:
         batch.unpersist()
 
-    return revisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def write_decision_stream(revisions: DataFrame, path: str, checkpoint: str, reference=None, context: DataFrame | None = None,
+                          minimum: int = peers.MINIMUM_PEERS):
+    """Start the stream over all files present; it ends when they are done and goes on from the checkpoint when started again."""
+    spark = revisions.sparkSession
+    before = spark.conf.get(m.STATE_STORE[0], None)
+    spark.conf.set(*m.STATE_STORE)  # read when the query starts
+    try:
+        return revisions.writeStream.foreachBatch(lambda batch, epoch: write_epoch(batch, epoch, path, reference, context, minimum)).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(m.STATE_STORE[0]) if before is None else spark.conf.set(m.STATE_STORE[0], before)
+
+
+def replay(slices: list[DataFrame], folder: str, start) -> list[dict]:
+    """Deliver slices one after another, each to a run of its own that resumes from the checkpoint of the one before.
+
+    ``start`` gives a started query over ``folder``/in. Order comes from the runs, not from file names or times, of which a file source
+    only knows the latter. Returns the last progress of each run.
+    """
+    seen = []
+    for rows in slices:
+        rows.write.mode("append").json(f"{folder}/in")
+        running = start()
+        running.awaitTermination()
+        if running.exception():
+            raise running.exception()
+        seen.append(running.lastProgress)
+    return seen

@@ -12,7 +12,7 @@ import time
 
 import duckdb
 
-LIMIT = 45  # seconds per engine and query
+LIMIT = 150  # seconds per engine and query
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
