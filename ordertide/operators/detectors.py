@@ -194,12 +194,14 @@ def _tree_grower(features: list[str], seed: int, limit: int):
         nodes, queue = [], [(0, x, 0)]
         while queue:
             node, rows, depth = queue.pop()
-            spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0))
+            low, high = rows.min(axis=0, initial=np.inf), rows.max(axis=0, initial=-np.inf)
+            spread = np.flatnonzero(high > low)
             if depth >= limit or len(rows) < 2 or not len(spread):
                 nodes.append((tree, node, -1, -1, -1, 0.0, float(depth + _average_path(len(rows)))))
                 continue
-            f = int(rng.choice(spread))
-            at = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
+            pick, share = rng.random(2)
+            f = int(spread[int(pick * len(spread))])
+            at = float(low[f] + share * (high[f] - low[f]))
             mask = rows[:, f] <= at
             nodes.append((tree, node, 2 * node + 1, 2 * node + 2, f, at, 0.0))
             queue += [(2 * node + 1, rows[mask], depth + 1), (2 * node + 2, rows[~mask], depth + 1)]
@@ -208,24 +210,28 @@ def _tree_grower(features: list[str], seed: int, limit: int):
 
 
 def isolation_forest_fit(fit: DataFrame, features: list[str], trees: int = 300, samples: int = 256, seed: int = 42) -> DataFrame:
-    """Grow trees in parallel from per-tree seeded samples; returns the node table (trees x 2*samples rows at most).
+    """Grow trees in parallel, each from rows drawn over the whole fit set; returns the node table (trees x 2*samples rows at most).
 
-    A uniform hash pool bounds the rows that meet every tree; each tree then takes its lowest hashes.
+    Rows get dense numbers in the order of their id by running counts. A tree draws one number from each of ``samples`` equal
+    stretches of them, without replacement and whatever the size of the set; with ``samples`` rows or fewer it takes all. Only
+    the drawn rows (trees x samples) meet their trees.
     """
-    pool_rows = 64 * samples
-    total = fit.agg(F.count(F.lit(1)).alias("_n"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("order_id")), F.lit(1 << 30)) / float(1 << 30)
-    pool = ordered.attach_one_row(fit.select("order_id", *features), total).where(draw * F.col("_n") < pool_rows)
-    assigned = pool.select("order_id", *features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    w = W.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), F.col("tree"), F.col("order_id")), "order_id")
-    sampled = assigned.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= samples).drop("_r")
+    numbers = ordered.running(fit.select("order_id"), [], "order_id", {"n": F.lit(1)}, width=ordered.UNITS).select("order_id", F.col("n_before").alias("_row"))
+    numbered = fit.select("order_id", *features).join(numbers, "order_id")
+    draws = fit.sparkSession.range(trees * samples).select((F.col("id") / samples).cast("int").alias("tree"), (F.col("id") % samples).alias("_part"))
+    draws = ordered.attach_one_row(draws, fit.agg(F.count(F.lit(1)).alias("_n")))
+    u = F.pmod(F.xxhash64(F.lit(seed), "tree", "_part"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.when(F.col("_n") <= samples, F.col("_part")).otherwise(F.floor((F.col("_part") + u) * F.col("_n") / samples))
+    sampled = draws.select("tree", drawn.alias("_row")).join(numbered, "_row").drop("_row")
     limit = math.ceil(math.log2(max(samples, 2)))
     return sampled.groupBy("tree").applyInPandas(_tree_grower(features, seed, limit), NODE)
 
 
 def isolation_forest_score(df: DataFrame, features: list[str], nodes: DataFrame, trees: int = 300, samples: int = 256) -> DataFrame:
-    """score = 2^(-mean depth / c(n)). The node table is bounded by trees x 2*samples and shipped once."""
-    table = nodes.limit(trees * 4 * samples).toPandas()
+    """score = 2^(-mean depth / c(n)). The node table is bounded by trees x 2*samples and shipped once; a larger one is refused."""
+    table = nodes.limit(trees * 2 * samples + 1).toPandas()
+    if len(table) > trees * 2 * samples:
+        raise ValueError("the node table is larger than the declared trees and samples allow")
     packed = []
     for _, t in table.groupby("tree"):
         size = int(t["node"].max()) + 1
@@ -250,4 +256,6 @@ def isolation_forest_score(df: DataFrame, features: list[str], nodes: DataFrame,
                 total += depth[at]
             yield pd.DataFrame({"order_id": pdf["order_id"], "role": pdf["role"], "score": 2.0 ** (-total / len(shared.value) / norm)})
 
-    return df.select("order_id", "role", *features).mapInPandas(score, "order_id long, role string, score double")
+    # A row walks every tree: worth dealing narrow rows evenly first.
+    rows = df.select("order_id", "role", *features).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.mapInPandas(score, "order_id long, role string, score double")

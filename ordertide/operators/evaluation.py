@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ordertide.functions import tristate
 from ordertide.operators import ordered
+from ordertide.session import materialize
 
 ratio = tristate.ratio
 
@@ -154,11 +156,41 @@ def family_summary(metrics: DataFrame, family: str, metric: str) -> DataFrame:
     return led.groupBy(family, "metric_min", "metric_max", "candidates").agg(F.array_join(F.array_sort(F.collect_list("candidate")), ",").alias("leaders"))
 
 
+def _front(x: np.ndarray) -> np.ndarray:
+    """Rows of distinct vectors that no other row dominates. The largest remaining sum (then the largest in order) is never dominated."""
+    x = x[np.lexsort([*(-x.T[::-1]), -x.sum(axis=1)])]
+    kept = []
+    while len(x):
+        kept.append(x[0])
+        x = x[~(x <= x[0]).all(axis=1)]
+    return np.array(kept)
+
+
+def _fronts(metrics: list[str], batches):
+    front = np.zeros((0, len(metrics)))
+    for batch in batches:
+        front = _front(np.unique(np.concatenate([front, batch[metrics].to_numpy(float)]), axis=0))
+    yield pd.DataFrame(front, columns=metrics)
+
+
+def skyline(points: DataFrame, metrics: list[str], fan: int = 8) -> DataFrame:
+    """Vectors that no other dominates: each task reduces its rows to their front, then fronts meet ``fan`` at a time.
+
+    A task holds the front of what it reads, never the rows; a front is the result's size at most times its partitions.
+    """
+    schema = ", ".join(f"{m} double" for m in metrics)
+    found = materialize(points.select(*[F.col(m).cast("double").alias(m) for m in metrics]).dropna().mapInPandas(functools.partial(_fronts, metrics), schema), "fronts")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 1:
+        parts = -(-parts // fan)
+        found = materialize(found.repartition(parts).mapInPandas(functools.partial(_fronts, metrics), schema), "fronts")
+    return found
+
+
 def pareto_frontier(df: DataFrame, key: str, metrics: list[str], **chunking) -> DataFrame:
-    """Rows no other row dominates (higher is better).
+    """Rows no other row dominates (higher is better); rows with an unknown metric are left out.
 
-    Two metrics: one descending running maximum, any table size. More metrics: a theta anti join of
-    the distinct metric vectors, meant for candidate registries.
+    Two metrics: one descending running maximum. More: fronts of parts, merged in a tree. Any table size.
     """
     points = df.select(*metrics).distinct()
     if len(metrics) == 2:
@@ -166,10 +198,9 @@ def pareto_frontier(df: DataFrame, key: str, metrics: list[str], **chunking) ->
         best = ordered.running(points, [], x, maxima={"m": F.col(y)}, descending=True, **chunking)
         front = best.where(F.col("m_before").isNull() | (F.col("m") > F.col("m_before"))).select(x, F.col("m").alias(y))
         return df.join(front, metrics, "left_semi").select(key, *metrics)
-    other = points.select(*[F.col(m).alias(f"o_{m}") for m in metrics])
-    ge = reduce(lambda a, b: a & b, [F.col(f"o_{m}") >= F.col(m) for m in metrics])
-    gt = reduce(lambda a, b: a | b, [F.col(f"o_{m}") > F.col(m) for m in metrics])
-    return df.join(points.join(other, ge & gt, "left_anti"), metrics, "left_semi").select(key, *metrics)
+    front = skyline(points, metrics).select(*[F.col(m).alias(f"_front_{m}") for m in metrics])
+    same = reduce(lambda a, b: a & b, [F.col(m).cast("double") == F.col(f"_front_{m}") for m in metrics])
+    return df.join(front, same, "left_semi").select(key, *metrics)
 
 
 def window_stability(flags: DataFrame) -> DataFrame:

@@ -116,11 +116,21 @@ def rank_ensemble(shop):
     return rounded(detectors.rank_ensemble(scores(shop).withColumn("score", F.col("score")), MEMBERS), 4)
 
 
+FORESTS = [("if_raw_256", False, 256), ("if_raw_512", False, 512), ("if_log1p_256", True, 256), ("if_log1p_512", True, 512)]
+
+
 @query("d08_isolation_forest")
 def isolation_forest(shop):
-    m = matrix(shop)
-    nodes = detectors.isolation_forest_fit(m.where("role = 'fit'"), FEATURES, trees=100)
-    return detectors.isolation_forest_score(m.where("role <> 'fit'"), FEATURES, nodes, trees=100)
+    """Four forests of 300 trees; SQL can't repeat the draws, so a small fixture checks growth and scores."""
+    m, out = matrix(shop), None
+    logs = m.select("order_id", "role", *[F.log1p(f).alias(f) for f in FEATURES])
+    for name, log, samples in FORESTS:
+        rows = logs if log else m
+        nodes = detectors.isolation_forest_fit(rows.where("role = 'fit'"), FEATURES, samples=samples)
+        scored = detectors.isolation_forest_score(rows.where("role <> 'fit'"), FEATURES, nodes, samples=samples).select(
+            "order_id", "role", F.lit(name).alias("score_column"), "score")
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 LOF_NEIGHBOURS = [20, 35, 50]
@@ -335,6 +345,14 @@ def pareto_candidates(shop):
     return rounded(evaluation.pareto_frontier(c, "candidate", ["precision", "recall", "neg_fpr"]))
 
 
+@query("j14_pareto_frontier_three", """WITH s AS (SELECT l_partkey, sum(CAST(l_quantity AS BIGINT))::BIGINT AS quantity, -sum(CAST(round(l_discount*100) AS BIGINT))::BIGINT AS discount_rank, max(CAST(round(l_extendedprice*100) AS BIGINT))::BIGINT AS top_cents FROM lineitem GROUP BY 1)
+SELECT * FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.quantity>=a.quantity AND b.discount_rank>=a.discount_rank AND b.top_cents>=a.top_cents AND (b.quantity>a.quantity OR b.discount_rank>a.discount_rank OR b.top_cents>a.top_cents))""")
+def pareto_three(shop):
+    s = shop.table("lineitem").groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"), (-F.sum(F.round(F.col("l_discount") * 100).cast("long"))).alias("discount_rank"),
+                                                        F.max(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("top_cents"))
+    return evaluation.pareto_frontier(s, "l_partkey", ["quantity", "discount_rank", "top_cents"])
+
+
 @query("e13_signal_cooccurrence", sql("""SELECT candidate, month, count(*) FILTER (WHERE flag) AS flagged, count(*) FILTER (WHERE y) AS signals, count(*) FILTER (WHERE flag AND y) AS both, grouping_id(month, candidate) AS grouping
 FROM flg WHERE role='validation' GROUP BY GROUPING SETS ((candidate),(candidate,month))"""))
 def cooccurrence(shop):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ordertide.functions import clock
 from ordertide.operators import ordered, peers
@@ -304,3 +305,36 @@ def context_rows(shop):
 @query("t14_tumbling_event_counts", "SELECT date_trunc('day',ts) AS window_start, event_type, count(*) AS events FROM events GROUP BY 1,2")
 def tumbling(shop):
     return milestones.tumbling_counts(shop.table("events"), "ts", "1 day", "event_type")
+
+
+_COUNT_BOUNDS, COUNT_DELAY = ["2024-01-10", "2024-01-20"], "2 days"
+
+
+def run_counts(shop):
+    """Stream the events in four runs, every fiftieth one run late; closed windows are appended to the sink. Returns all rows and the sink."""
+    base = F.lit(0)
+    for bound in _COUNT_BOUNDS:
+        base = base + (F.col("ts") >= F.lit(bound).cast("timestamp_ntz")).cast("int")
+    rows = materialize(shop.table("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), (base + (F.col("event_id") % 50 == 0).cast("int")).alias("slice")), "count-arrivals")
+
+    def build(folder):
+        def start():
+            source = scoring.read_events_stream(shop.spark, f"{folder}/in", T.StructType([T.StructField("event_type", T.StringType()), T.StructField("ts", T.TimestampType())]))
+            counts = milestones.tumbling_counts(source.withWatermark("ts", COUNT_DELAY), "ts", "1 day", "event_type")
+            return counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
+        scoring.replay([rows.where(F.col("slice") == k).drop("slice") for k in range(4)], folder, start)
+        return f"{folder}/out"
+    return rows, _once(shop, "tumbling-counts", build)
+
+
+@query("t14_tumbling_stream", """WITH a AS (SELECT event_type, ts, date_trunc('day',ts) AS d, CAST(ts>='2024-01-10' AS INT)+CAST(ts>='2024-01-20' AS INT)+CAST(event_id%50=0 AS INT) AS slice FROM events),
+w AS (SELECT slice, (SELECT max(ts) - INTERVAL 2 DAY FROM a b WHERE b.slice<a.slice) AS w FROM (SELECT DISTINCT slice FROM a) a)
+SELECT d AS window_start, event_type, count(*) FILTER (WHERE w IS NULL OR d + INTERVAL 1 DAY > w) AS events, count(*) FILTER (WHERE d + INTERVAL 1 DAY <= w) AS late_rows
+FROM a JOIN w USING (slice) WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM a) GROUP BY 1,2 HAVING count(*) FILTER (WHERE w IS NULL OR d + INTERVAL 1 DAY > w)>0""")
+def tumbling_stream(shop):
+    """Windows the stream has closed, and the rows that came for them after that: all that arrived less those counted."""
+    rows, out = run_counts(shop)
+    final = shop.spark.read.parquet(out)
+    arrived = milestones.tumbling_counts(rows, "ts", "1 day", "event_type").withColumnRenamed("events", "arrived")
+    both = final.join(arrived, ["window_start", "event_type"])
+    return both.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", (F.col("arrived") - F.col("events")).alias("late_rows"))

@@ -8,6 +8,7 @@ activity and order).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from functools import reduce
 
 import pandas as pd
@@ -115,21 +116,20 @@ class MilestoneProcessor(StatefulProcessor):
         pass
 
 
-STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
-def milestone_revisions_stream(checked: DataFrame, close: str, delay: str) -> DataFrame:
-    """Streaming outcomes keyed by order of events with ``reject_reason`` (see ``validate_events``).
+def milestone_revisions_stream(checked: DataFrame, close: str = "9999-12-31 00:00:00", delay: str = "36500 days") -> DataFrame:
+    """Streaming outcomes keyed by order of events, with or without ``reject_reason`` (see ``validate_events``).
 
     The watermark follows every readable event time, ``delay`` behind. The operator itself gets plain milliseconds, so Spark drops no
     row before the processor has said what becomes of it. State holds at most one entry per activity and order, and none
-    after the close. Needs the RocksDB state store (``STATE_STORE``) when the query starts.
+    after the close.
     """
+    if "reject_reason" not in checked.columns:
+        checked = checked.withColumn("reject_reason", F.lit(None).cast("string"))
     at = F.try_to_timestamp("occurred_at", F.lit(TIME_FORMAT))
     timed = checked.withColumn("at", at).withWatermark("at", delay)
     rows = timed.select(F.coalesce("order_id", F.lit("")).alias("order_id"), "event_id", "activity", "occurred_at", "reject_reason",
                         F.unix_millis("at").alias("at_ms"))
-    close_ms = int(pd.Timestamp(close, tz="UTC").timestamp() * 1000)
+    close_ms = int(datetime.fromisoformat(close).replace(tzinfo=UTC).timestamp() * 1000)
     return rows.groupBy("order_id").transformWithStateInPandas(
         statefulProcessor=MilestoneProcessor(close_ms), outputStructType=REVISION_SCHEMA, outputMode="Append", timeMode="EventTime")
 
