@@ -9,8 +9,8 @@ about as many points as it has shingles plus m ln m, instead of m for each shing
 probability equal to their weighted Jaccard similarity.
 
 Signatures are cut into bands. Texts that share a band are candidates: in a band of up to eight texts each with each, in a
-larger one each with those that agree with it in most signature components and are not yet in its component: one in the
-first round, twice as many in each further one. Candidates are verified by exact multiset overlap, components are formed,
+larger one each text, over all its bands, with the three that agree with it in most signature components and are not yet in
+its component, twice as many in each further round. Candidates are verified by exact multiset overlap, components are formed,
 and members of larger bands look on, past the partners already compared, until none is left outside their component. A
 group of copies gives a number of candidates in proportion to its size; where many texts of a band lie just below the
 threshold, all of their pairs are compared. Bands of more than 4096 texts are dealt into chunks, and each chunk meets each
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordertide.llm.components import connected_components
-from ordertide.llm.text import CODES, Rolling, Words, blocks, mix, table, unit
-from ordertide.session import materialize
+from ordertide.llm.text import CODES, Rolling, Words, blocks, mix, settle, table, unit
 
 WORDS_PER_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 misses every band once in 14 000
 SMALL, CHUNK = 8, 4096
+NEAREST = 3  # partners of a text in the first round; twice as many in each further one
 LEAST_AGREEMENT = 0.6  # of a signature's components: five standard deviations below the threshold
 
 
@@ -114,7 +114,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array([row.tobytes() for row in ident], pa.binary()), pa.array(np.diff(cut), pa.int32()), keys,
                  pa.array([short[cut[k]:cut[k + 1]].tobytes() for k in range(n)], pa.binary()),
-                 pa.array([row.tobytes() for row in sig.astype(np.uint16)], pa.binary())],
+                 pa.array([row.tobytes() for row in sig.astype(np.uint8)], pa.binary())],
                 names=["doc_id", "key", "t", "n", "bands", "shingles", "sig"])
 
 
@@ -158,21 +158,22 @@ def _partners(nearest: int, similarity: float, batches: Iterator[pa.RecordBatch]
 
 
 def _pairs(rows: list[tuple], nearest: int, similarity: float) -> pa.RecordBatch:
-    out, start = set(), 0
+    """Pairs of small bands (agree null, each once), and proposals of large ones: a looks at b and agrees in so many components."""
+    small, out, start = set(), [], 0
     for k in range(1, len(rows) + 1):
         if k == len(rows) or rows[k][:2] != rows[start][:2]:
             group = rows[start:k]
             if group[0][6] is None:
-                out.update((min(a[3], b[3]), max(a[3], b[3])) for i, a in enumerate(group) for b in group[:i]
-                           if a[4] != b[4] and min(a[5], b[5]) >= similarity * max(a[5], b[5]))
+                small.update((min(a[3], b[3]), max(a[3], b[3]), None) for i, a in enumerate(group) for b in group[:i]
+                             if a[4] != b[4] and min(a[5], b[5]) >= similarity * max(a[5], b[5]))
             else:
-                out.update(_nearest(group, nearest, similarity))
+                out.extend(_nearest(group, nearest, similarity))
             start = k
-    pairs = sorted(out)
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+    out.extend(sorted(small))
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "agree"])
 
 
-def _nearest(group: list[tuple], nearest: int, similarity: float) -> Iterator[tuple[bytes, bytes]]:
+def _nearest(group: list[tuple], nearest: int, similarity: float) -> Iterator[tuple[bytes, bytes, int]]:
     """For each text the ``nearest`` texts that agree in most components, at least in ``LEAST_AGREEMENT``, of those with another
     label that were not tested with it and are not too short or long. Two chunks of a band (sides 0 and 1) look at each other only."""
     names = [r[3] for r in group]
@@ -180,7 +181,7 @@ def _nearest(group: list[tuple], nearest: int, similarity: float) -> Iterator[tu
     if label.max(initial=0) == 0:
         return
     n, side = np.array([r[5] for r in group], np.float64), np.array([r[2] for r in group])
-    sig = np.stack([np.frombuffer(r[6], np.uint16) for r in group])
+    sig = np.stack([np.frombuffer(r[6], np.uint8) for r in group])
     place = {t: k for k, t in enumerate(names)}
     tested = np.array([(k, place[t]) for k, r in enumerate(group) for t in r[7] or () if t in place], np.int64).reshape(-1, 2)
     tested = np.concatenate([tested, tested[:, ::-1]])
@@ -201,19 +202,24 @@ def _nearest(group: list[tuple], nearest: int, similarity: float) -> Iterator[tu
             agree[np.searchsorted(own, met[:, 0]), column[met[:, 1]]] = 0
             best = np.argpartition(agree, -nearest, axis=1)[:, -nearest:] if nearest < len(others) else np.broadcast_to(np.arange(len(others)), agree.shape)
             k, at = np.nonzero(np.take_along_axis(agree, best, axis=1) >= LEAST_AGREEMENT * BANDS * ROWS)
-            for x, y in zip(own[k].tolist(), others[best[k, at]].tolist(), strict=True):
-                a, b = names[x], names[y]
-                yield (a, b) if a < b else (b, a)
+            for x, y, agreed in zip(own[k].tolist(), others[best[k, at]].tolist(), agree[k, best[k, at]].tolist(), strict=True):
+                yield names[x], names[y], agreed
 
 
 def candidates(members: DataFrame, nearest: int, similarity: float) -> DataFrame:
-    """Distinct candidate pairs (a, b) of members (band, size, t, label, n, sig, tested) with different labels."""
+    """Distinct candidate pairs (a, b) of members (band, size, t, label, n, sig, tested) with different labels.
+
+    A text's proposals from all blocks of all its large bands are put together, and the ``nearest`` that agree most are tested.
+    """
     chunks = F.ceil(F.col("size") / CHUNK).cast("long")
     met = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("band", "t"), "chunks"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     met = met.withColumn("block", F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")).withColumn("side", (F.col("chunk") > F.col("other")).cast("int"))
     dealt = met.select("band", "block", "side", "t", "label", "n", "sig", "tested").repartition("band", "block").sortWithinPartitions("band", "block")
-    return dealt.mapInArrow(functools.partial(_partners, nearest, similarity), "a binary, b binary").distinct()
+    found = dealt.mapInArrow(functools.partial(_partners, nearest, similarity), "a binary, b binary, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    turn = F.row_number().over(Window.partitionBy("a").orderBy(F.desc_nulls_last("agree"), "b"))
+    chosen = found.withColumn("turn", turn).where((F.col("turn") <= nearest) | F.col("agree").isNull())
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -223,20 +229,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     without a link. Null ids never name a class unless all of its ids are null. Repeated rows are kept. An empty table
     gives no rows; further columns are ignored.
     """
-    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(
+    signed = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(
         _sign, "doc_id long, key long, t binary, n int, bands array<long>, shingles binary, sig binary"), "signed")
     bands = signed.where("n > 0").select("t", "n", F.explode("bands").alias("band")).distinct()
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(bands.join(shared, "band").withColumn("label", F.col("t")), "members")
-    texts = materialize(signed.join(members.select("t").distinct(), "t", "left_semi").select("t", "n", "shingles", "sig").dropDuplicates(["t"]), "texts")
-    large = materialize(members.where(F.col("size") > SMALL).join(texts.select("t", "sig"), "t"), "large")
-    none, nearest = F.lit(None), 1
+    members = settle(bands.join(shared, "band").withColumn("label", F.col("t")), "members")
+    texts = settle(signed.join(members.select("t").distinct(), "t", "left_semi").select("t", "n", "shingles", "sig").dropDuplicates(["t"]), "texts")
+    large = settle(members.where(F.col("size") > SMALL).join(texts.select("t", "sig"), "t"), "large")
+    none, nearest = F.lit(None), NEAREST
     columns = ["band", "size", "t", "label", "n", "sig", "tested"]
-    pairs = materialize(candidates(members.where(F.col("size") <= SMALL).withColumn("sig", none.cast("binary")).unionByName(large)
+    pairs = settle(candidates(members.where(F.col("size") <= SMALL).withColumn("sig", none.cast("binary")).unionByName(large)
                                    .withColumn("tested", none.cast("array<binary>")).select(*columns), nearest, similarity), "pairs")
     links = tested = labels = None
     while labels is None or pairs.limit(1).count():
-        found = materialize(verified(pairs, texts, similarity).select("a", "b"), "found")
+        found = settle(verified(pairs, texts, similarity).select("a", "b"), "found")
         links, tested = (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
         if labels is None or found.limit(1).count():
             labels = connected_components(links)
@@ -246,9 +252,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         mixed = again.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         rejected = tested.join(links, ["a", "b"], "left_anti").groupBy(F.col("a").alias("t")).agg(F.collect_list("b").alias("tested"))
         again = again.join(mixed, "band", "left_semi").join(rejected, "t", "left")
-        pairs = materialize(candidates(again.select(*columns), nearest, similarity), "pairs")
+        pairs = settle(candidates(again.select(*columns), nearest, similarity), "pairs")
     of_text = signed.select("doc_id", "key", "t", "n").join(labels.withColumnRenamed("node", "t"), "t", "left")
-    of_text = materialize(of_text.select("doc_id", "key", "t", "n", F.coalesce("label", "t").alias("label")), "classes")
+    of_text = settle(of_text.select("doc_id", "key", "t", "n", F.coalesce("label", "t").alias("label")), "classes")
     named = of_text.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return of_text.where("n > 0").join(named, "label").select("doc_id", "key", "label", "class_id").unionByName(
         of_text.where("n = 0").select("doc_id", "key", F.lit(None).cast("binary").alias("label"), F.col("doc_id").alias("class_id")))
@@ -262,7 +268,7 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     last = F.lit((1 << 63) - 1)
     classes = near_duplicates(docs, similarity).withColumn("_rank", F.coalesce("doc_id", last))
     first = classes.where("label is not null").groupBy("label").agg(F.min(F.struct("_rank", "key")).alias("first"))
-    stay = materialize(first.select("first._rank", F.col("first.key").alias("_key")).unionByName(
+    stay = settle(first.select("first._rank", F.col("first.key").alias("_key")).unionByName(
         classes.where("label is null").select("_rank", F.col("key").alias("_key"))).distinct(), "stay")
     kept = docs.withColumns({"_rank": F.coalesce(F.col("doc_id").cast("long"), last), "_key": F.xxhash64("text")}).join(stay, ["_rank", "_key"], "left_semi")
     worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
