@@ -20,6 +20,7 @@ in a block of its own; memory per task stays bounded. Equal texts are one text t
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordertide.llm.components import connected_components
-from ordertide.llm.text import CODES, Rolling, Words, blocks, mix, settle, table, unit
+from ordertide.llm.text import Rolling, Words, blocks, mix, settle, table, unit
 
 WORDS_PER_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 misses every band once in 14 000
 SMALL, CHUNK = 8, 4096
+LONG_WORD = 64
 NEAREST = 3  # partners of a text in the first round; twice as many in each further one
 LEAST_AGREEMENT = 0.6  # of a signature's components: five standard deviations below the threshold
 
@@ -91,9 +93,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in blocks(batch, "text"):
             n = hi - lo
             words = Words(data, offsets)
-            whole = Rolling(CODES[data]).spans(offsets[:-1], offsets[1:])
-            again = Rolling(mix(CODES)[data]).spans(offsets[:-1], offsets[1:])
-            ident = np.stack([whole, again], axis=1)
+            for k in np.flatnonzero(words.end - words.start > LONG_WORD):  # sums of bytes can be made to collide on long words
+                words.hash[k] = int.from_bytes(hashlib.blake2b(data[words.start[k]:words.end[k]].tobytes(), digest_size=8).digest(), "little")
+            ident = [hashlib.blake2b(data[offsets[k]:offsets[k + 1]].tobytes(), digest_size=16).digest() for k in range(n)]
             text, shingle = shingles(words)
             order = np.lexsort((shingle, text))
             text, shingle = text[order], shingle[order]
@@ -112,7 +114,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum(worded) * BANDS]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[worded].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array([row.tobytes() for row in ident], pa.binary()), pa.array(np.diff(cut), pa.int32()), keys,
+                [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(ident, pa.binary()), pa.array(np.diff(cut), pa.int32()), keys,
                  pa.array([short[cut[k]:cut[k + 1]].tobytes() for k in range(n)], pa.binary()),
                  pa.array([row.tobytes() for row in sig.astype(np.uint8)], pa.binary())],
                 names=["doc_id", "key", "t", "n", "bands", "shingles", "sig"])

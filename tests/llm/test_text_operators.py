@@ -363,3 +363,13 @@ def test_texts_as_arrow_slices():
     data, offsets = buffers(column)
     words = Words(data, offsets)
     assert words.counts.tolist() == [0, 2, 1] and offsets.tolist() == [0, 0, 9, 11]
+
+
+def test_texts_that_polynomial_hashes_confuse_stay_apart(spark):
+    """A Thue-Morse word and its complement: equal under any sum of powers of an odd base modulo 2**64."""
+    from ordertide.llm import bag_minhash
+
+    word = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    got = {r["doc_id"]: r["class_id"] for r in bag_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[3] == 1 and got[2] == 2
