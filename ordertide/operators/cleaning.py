@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 from functools import reduce
 
@@ -57,11 +59,48 @@ def nfc(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(_nfc(other), F.col(column)))
 
 
+@functools.cache
+def _folding() -> tuple[str, str, dict[str, str], str]:
+    """Case folding, compatibility decomposition and removal of combining marks as a map of single characters.
+
+    Returns the characters that become one character with what they become, followed by those that
+    vanish, the ones that become several, and a pattern of these. Composed Hangul is left out.
+    """
+    singles, several, gone = {}, {}, []
+    for code in range(sys.maxunicode + 1):
+        char = chr(code)
+        if unicodedata.category(char) in ("Cn", "Co", "Cs") or "\uac00" <= char <= "\ud7a3":
+            continue
+        folded = "".join(c for c in unicodedata.normalize("NFKD", char.casefold()) if not unicodedata.combining(c))
+        if not folded:
+            gone.append(char)
+        elif len(folded) > 1:
+            several[char] = folded
+        elif folded != char:
+            singles[char] = folded
+    runs: list[list[str]] = []
+    for char in several:
+        if runs and ord(char) == ord(runs[-1][1]) + 1:
+            runs[-1][1] = char
+        else:
+            runs.append([char, char])
+    # The look-ahead passes over ASCII without trying the ranges.
+    pattern = r"(?=[^\x00-\x7F])([" + "".join(f"{a}-{b}" for a, b in runs) + "])"
+    return "".join([*singles, *gone]), "".join(singles.values()), several, pattern
+
+
 def fold_accents(column: Column) -> Column:
-    """Lower case without the Latin accents of the supported languages."""
-    accented = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-    plain = "aaaaaaeeeeiiiiooooouuuucnyy"
-    return F.translate(F.replace(F.lower(column), F.lit("ß"), F.lit("ss")), accented, plain)
+    """Case-folded text without accents, for every script of Unicode, by built-in functions.
+
+    Each character is decomposed and its combining marks go; ligatures and the like become several
+    characters. ASCII text only gets lower case. Composed Hangul syllables stay composed.
+    """
+    before, after, several, pattern = _folding()
+    plain = F.translate(column, before, after)
+    expansions = F.str_to_map(F.lit("\x01".join(f"{c}\x02{f}" for c, f in several.items())), F.lit("\x01"), F.lit("\x02"))
+    present = F.array_distinct(F.regexp_extract_all(plain, F.lit(pattern), F.lit(1)))
+    whole = F.aggregate(present, plain, lambda text, c: F.replace(text, c, F.element_at(expansions, c)))
+    return F.when(column.rlike(r"[^\x00-\x7F]"), whole).otherwise(F.lower(column))
 
 
 # --- patterns and numbers ----------------------------------------------------------------------

@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(key).orderBy(v)`` sorts all rows of a key in one ta
 window sorts everything in one. ``running`` first sums rows with equal order value (map-side),
 cuts each key into chunks of the order axis, runs the window inside a chunk and adds the totals
 of the earlier chunks. A chunk of ``width`` integer units holds at most ``width`` rows per key,
-whatever the volume behind it. Quantiles, ranks, ECDFs, as-of counts, ROC curves and
+whatever the volume behind it; on real-valued axes chunks are cut further by counts until each
+holds a bounded number of values. Quantiles, ranks, ECDFs, as-of counts, ROC curves and
 distribution distances are all read off its output.
 """
 
@@ -14,10 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ordertide.session import materialize
+
 # Chunk widths: a week of seconds, and 65 536 units for integers such as cents or seconds.
 WEEK = 7 * 86400
 UNITS = 65536
 SPLITS = 64
+# Most values of one key in a chunk of a real-valued axis, and the parts a heavier chunk is cut into.
+CHUNK_ROWS = 1_000_000
+FAN = 64
+MAX_CUTS = 12
 
 
 def value_splits(df: DataFrame, column: str, parts: int = SPLITS) -> list[float]:
@@ -41,14 +48,43 @@ def _chunk(order: str, width, splits) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("long")
 
 
+def bounded_chunks(base: DataFrame, key: list[str], order: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """``base`` with every ``_chunk`` of more than ``rows`` rows of a key cut into ``FAN`` parts of about equal count.
+
+    Heavy chunks are found by a count, cut at their own quantiles and counted again until none is
+    left, so a dense spot of the axis costs a few rounds and light data one count. A cut chunk is
+    named by its path [chunk, part, part of the part, ...], which sorts like the axis. Values that
+    are equal as doubles cannot be told apart and stay together (``MAX_CUTS`` ends the search).
+    """
+    def heavy(df):
+        return df.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+
+    if heavy(base).isEmpty():
+        return base
+    value = F.col(order).cast("double")
+    base = materialize(base.withColumn("_chunk", F.array(F.col("_chunk").cast("long"))), "chunks")
+    for _ in range(MAX_CUTS):
+        found = heavy(base)
+        if found.isEmpty():
+            break
+        cuts = base.join(found, [*key, "_chunk"], "left_semi").groupBy(*key, "_chunk").agg(
+            F.array_distinct(F.percentile_approx(value, [i / FAN for i in range(1, FAN)], 100 * FAN)).alias("_cuts"))
+        part = F.size(F.filter("_cuts", lambda c: c < value)).cast("long")
+        base = materialize(base.join(cuts, [*key, "_chunk"], "left").withColumn(
+            "_chunk", F.when(F.col("_cuts").isNull(), F.col("_chunk")).otherwise(F.concat("_chunk", F.array(part)))).drop("_cuts"), "chunks")
+    return base
+
+
 def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column] | None = None,
             maxima: dict[str, Column] | None = None, width: float | None = None,
-            splits: list[float] | None = None, descending: bool = False) -> DataFrame:
+            splits: list[float] | None = None, descending: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per (keys, order value) with, for each measure m: m (own), m_before, m_upto, m_total.
 
-    ``width`` gives fixed chunks of the order axis; otherwise ``splits`` (computed when absent).
+    ``width`` gives fixed chunks of the order axis; otherwise ``splits`` (computed when absent). An integer
+    width bounds a chunk by itself; other chunks are cut to at most about ``chunk_rows`` values.
     """
     sums, maxima = sums or {}, maxima or {}
+    real = not isinstance(width, int)
     if width is None and splits is None:
         splits = value_splits(df, order)
     base = df.groupBy(*keys, order).agg(
@@ -59,6 +95,8 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column]
     key = ["_key"] if keys else []
     if keys:
         base = base.withColumn("_key", F.struct(*keys))
+    if real:
+        base = bounded_chunks(base, key, order, chunk_rows)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     earlier = W.partitionBy(*key).orderBy(direction("_chunk")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*key)

@@ -42,6 +42,18 @@ def screen_review_text(df: DataFrame, fields: list[str], patterns: dict[str, str
                             .otherwise("no_listed_phrase_not_a_negative_label")})
 
 
+def literal_matches(df: DataFrame, key: str, fields: list[str], patterns: dict[str, str] = PATTERNS) -> DataFrame:
+    """One row per match: key, field, kind, its number within (field, kind) from 0, and the folded text that matched."""
+    def entries(field: str, kind: str) -> Column:
+        return F.transform(matches(F.col(f"_f_{field}"), patterns[kind]), lambda m, i: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"),
+                                                                                    i.cast("long").alias("match_no"), m.alias("normalized_match")))
+
+    found = F.concat(*[entries(f, k) for f in fields for k in patterns])
+    # A null field has no match and must not hide those of the others.
+    folded = df.select(key, *[fold_accents(F.coalesce(F.col(f), F.lit(""))).alias(f"_f_{f}") for f in fields])
+    return folded.select(key, F.inline(found))
+
+
 def aggregate_reviews(reviews: DataFrame, kinds: list[str]) -> DataFrame:
     """Per order: usable counts, score range, tri-state wording flags over usable text, status.
 

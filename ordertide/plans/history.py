@@ -332,8 +332,7 @@ def geo_order_quality(shop):
 # --- review wording --------------------------------------------------------------------------
 
 KINDS = {"topic": r"\b(?:the|une?|der|que)\w*\b", "delay": r"\b(?:re|er|ei)\w*\b", "early": r"\b(?:on|la|en)\b"}
-_ACC, _PLAIN = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy"
-define("scr", f"""SELECT doc_id, source AS order_id, lang, n_chars%7 AS score, n_chars>=200 AS dates_valid, trim(text)<>'' AS has_text, {', '.join(f"len(regexp_extract_all(translate(replace(lower(text),'ß','ss'),'{_ACC}','{_PLAIN}'),'{p}'))::BIGINT AS {k}" for k, p in KINDS.items())} FROM documents""")
+define("scr", f"""SELECT doc_id, source AS order_id, lang, n_chars%7 AS score, n_chars>=200 AS dates_valid, trim(text)<>'' AS has_text, {', '.join(f"len(regexp_extract_all(strip_accents(lower(replace(text,'ß','ss'))),'{p}'))::BIGINT AS {k}" for k, p in KINDS.items())} FROM documents""")
 
 
 def screened_reviews(shop):
@@ -348,6 +347,23 @@ def screen_review_text(shop):
     return screened_reviews(shop).select("doc_id", *KINDS, "mixed_wording", "wording_status")
 
 
+_FOLDED = "strip_accents(lower(replace({},'ß','ss')))"
+
+
+@query("a40_review_wording", sql("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all({_FOLDED.format('text')},'{p}'))::BIGINT AS {k}" for k, p in reviews.PATTERNS.items())
+    + ", (delay_wording>0 OR nonreceipt_wording>0) AND (on_time_or_early_wording>0 OR negated_delay_wording>0) AS mixed_wording FROM documents WHERE text IS NOT NULL"
+    + " UNION ALL SELECT doc_id, 0, 0, 0, 0, 0, false FROM documents WHERE text IS NULL"))
+def review_wording(shop):
+    """The five fixed patterns over every document."""
+    return reviews.screen_review_text(shop.table("documents"), ["text"]).select("doc_id", *reviews.PATTERNS, "mixed_wording")
+
+
+@query("a40_literal_matches", sql(" UNION ALL ".join(f"""SELECT doc_id, '{f}' AS field, '{k}' AS kind, (u.i-1)::BIGINT AS match_no, l[u.i] AS normalized_match FROM (SELECT doc_id, regexp_extract_all({_FOLDED.format(f)},'{p}') AS l FROM documents WHERE {f} IS NOT NULL), LATERAL (SELECT unnest(range(1,len(l)+1)) AS i) u"""
+    for f in ["text", "lang"] for k, p in KINDS.items())))
+def literal_matches(shop):
+    return reviews.literal_matches(shop.table("documents"), "doc_id", ["text", "lang"], KINDS)
+
+
 define("oreview", f"""SELECT order_id, count(*) AS review_records, count(*) FILTER (WHERE dates_valid AND score BETWEEN 1 AND 5) AS usable_score_records, count(*) FILTER (WHERE dates_valid AND has_text) AS usable_text_records,
   count(*) FILTER (WHERE NOT dates_valid) AS invalid_date_records, min(score) FILTER (WHERE dates_valid AND score BETWEEN 1 AND 5) AS score_min, max(score) FILTER (WHERE dates_valid AND score BETWEEN 1 AND 5) AS score_max,
   min(score) FILTER (WHERE dates_valid AND score BETWEEN 1 AND 5)<=2 AS any_low_score, {', '.join(f"bool_or({k}>0) FILTER (WHERE dates_valid AND has_text) AS any_{k}" for k in KINDS)},
