@@ -24,36 +24,48 @@ UPPER_QUANTILES = [0.90, 0.95, 0.975, 0.99]
 LOG_CHUNK = 0.0001
 
 
-def _long(df: DataFrame, features: list[str], log: bool) -> DataFrame:
+def _long(df: DataFrame, features: list[str], log: bool, keys: tuple[str, ...] | list[str] = ()) -> DataFrame:
     pieces = ", ".join(f"'{f}', {'log1p(' + f + ')' if log else 'cast(' + f + ' as double)'}" for f in features)
-    return df.select(F.expr(f"stack({len(features)}, {pieces}) AS (feature, v)"))
+    return df.select(*keys, F.expr(f"stack({len(features)}, {pieces}) AS (feature, v)"))
 
 
-def fit_statistics(fit: DataFrame, features: list[str], log: bool = False) -> DataFrame:
-    """Per feature: exact quartiles, MAD and upper quantiles. A zero IQR or MAD raises when read."""
+def fit_statistics(fit: DataFrame, features: list[str], log: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Per feature: exact quartiles, MAD and upper quantiles. A zero IQR or MAD raises when read.
+
+    ``keys`` fits several populations (training windows, say) in one plan, one table of statistics each.
+    """
+    keys = [*(keys or []), "feature"]
     chunk = {"width": LOG_CHUNK if log else ordered.UNITS}
-    long = _long(fit, features, log)
+    long = _long(fit, features, log, keys[:-1])
     names = {"q01": .01, "q25": .25, "median": .5, "q75": .75, **{f"u{round(q * 1000)}": q for q in UPPER_QUANTILES}}
-    base = ordered.quantiles(long, ["feature"], "v", names, count="fit_rows", **chunk)
-    deviation = long.join(base.select("feature", "median"), "feature").select("feature", F.abs(F.col("v") - F.col("median")).alias("v"))
-    mad = ordered.quantiles(deviation, ["feature"], "v", {"mad": .5}, **chunk)
-    out = base.join(mad, "feature").withColumn("iqr", F.col("q75") - F.col("q25"))
+    base = ordered.quantiles(long, keys, "v", names, count="fit_rows", **chunk)
+    deviation = long.join(base.select(*keys, "median"), keys).select(*keys, F.abs(F.col("v") - F.col("median")).alias("v"))
+    mad = ordered.quantiles(deviation, keys, "v", {"mad": .5}, **chunk)
+    out = base.join(mad, keys).withColumn("iqr", F.col("q75") - F.col("q25"))
     checked = F.when((F.col("iqr") <= 0) | (F.col("mad") <= 0), F.raise_error(F.lit("zero IQR or MAD: set an explicit feature policy")).cast("double"))
     return out.withColumn("iqr", F.coalesce(checked, F.col("iqr")))
 
 
-def _wide(stats: DataFrame, features: list[str], names: list[str]) -> DataFrame:
-    """One row with a column per (feature, statistic); bounded by the declared features."""
-    return stats.agg(*[F.max(F.when(F.col("feature") == f, F.col(n))).alias(f"{f}__{n}") for f in features for n in names])
+def _wide(stats: DataFrame, features: list[str], names: list[str], keys: tuple[str, ...] | list[str] = (), prefix: str = "") -> DataFrame:
+    """One row per ``keys`` with a column per (feature, statistic); bounded by the declared features."""
+    return stats.groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == f, F.col(n))).alias(f"{prefix}{f}__{n}") for f in features for n in names])
 
 
-def base_scores(df: DataFrame, features: list[str], raw: DataFrame, logged: DataFrame) -> DataFrame:
-    """Long (order_id, role, score_column, score) of the closed-form detectors."""
+def base_scores(df: DataFrame, features: list[str], raw: DataFrame, logged: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Long (order_id, role, score_column, score) of the closed-form detectors.
+
+    With ``keys`` every row is scored by the statistics of every population: one row more per key.
+    """
+    keys = keys or []
     uppers = [f"u{round(q * 1000)}" for q in UPPER_QUANTILES]
     names = ["median", "q75", "iqr", "mad", *uppers]
-    wide = ordered.attach_one_row(df, _wide(raw, features, names))
-    wide = ordered.attach_one_row(wide, _wide(logged, features, names).select(
-        *[F.col(f"{f}__{n}").alias(f"log_{f}__{n}") for f in features for n in names]))
+    plain, log = _wide(raw, features, names, keys), _wide(logged, features, names, keys, "log_")
+    if keys:  # one struct per declared population, so rows meet all of them without a join of large sides
+        fitted = plain.join(log, keys)
+        listed = fitted.agg(F.collect_list(F.struct(*fitted.columns)).alias("_fits"))
+        wide = ordered.attach_one_row(df, listed).select(*df.columns, F.inline("_fits"))
+    else:
+        wide = ordered.attach_one_row(ordered.attach_one_row(df, plain), log)
     scores = {}
     for kind, prefix, value in [("raw", "", lambda f: F.col(f).cast("double")), ("log1p", "log_", lambda f: F.log1p(f))]:
         p = lambda f, n: F.col(f"{prefix}{f}__{n}")  # noqa: E731, B023
@@ -63,7 +75,7 @@ def base_scores(df: DataFrame, features: list[str], raw: DataFrame, logged: Data
         scores[f"upper_{u}"] = F.greatest(*[F.col(f).cast("double") - F.col(f"{f}__{u}") for f in features])
     wide = wide.withColumns({f"_s_{k}": v for k, v in scores.items()})
     pieces = ", ".join(f"'{k}', _s_{k}" for k in scores)
-    return wide.select("order_id", "role", F.expr(f"stack({len(scores)}, {pieces}) AS (score_column, score)"))
+    return wide.select(*keys, "order_id", "role", F.expr(f"stack({len(scores)}, {pieces}) AS (score_column, score)"))
 
 
 def rank_ensemble(scores: DataFrame, members: list[str]) -> DataFrame:

@@ -203,12 +203,59 @@ def pareto_frontier(df: DataFrame, key: str, metrics: list[str], **chunking) ->
     return df.join(front, same, "left_semi").select(key, *metrics)
 
 
-def window_stability(flags: DataFrame) -> DataFrame:
-    """Votes per order and candidate over training windows; an order changes when windows disagree."""
-    per = flags.groupBy("order_id", "candidate").agg(F.count(F.lit(1)).alias("windows"), F.count(F.when(F.col("flag"), 1)).alias("votes"))
-    return per.groupBy("candidate", "windows").agg(F.count(F.lit(1)).alias("orders"), F.count(F.when(F.col("votes") == F.col("windows"), 1)).alias("always_flagged"),
-                                                   F.count(F.when(F.col("votes") == 0, 1)).alias("never_flagged"),
-                                                   F.count(F.when((F.col("votes") > 0) & (F.col("votes") < F.col("windows")), 1)).alias("changed_decisions"))
+def window_votes(flags: DataFrame, windows: list[str]) -> DataFrame:
+    """Decisions of all windows as a bit vector: one row per distinct (candidate, family, vector) with its orders.
+
+    ``flags`` holds (window, order_id, candidate, family, flag); bit i stands for ``windows[i]``. Every order must be
+    scored once by every window, otherwise the job stops. At most 2 ** len(windows) rows per candidate come out.
+    """
+    bit = reduce(lambda a, b: a.when(F.col("window") == b[1], F.lit(1 << b[0])), enumerate(windows), F).cast("long")
+    per = flags.groupBy("candidate", "family", "order_id").agg(
+        F.sum(F.when(F.col("flag"), bit).otherwise(0)).alias("bits"), F.count("flag").alias("_n"), F.sum(bit).alias("_seen"))
+    complete = (F.col("_n") == len(windows)) & (F.col("_seen") == (1 << len(windows)) - 1)
+    return per.select("candidate", "family", "order_id", F.when(complete, F.col("bits")).otherwise(
+        F.raise_error(F.lit("every order needs one decision of every window")).cast("long")).alias("bits"))
+
+
+def window_stability(votes: DataFrame, windows: list[str]) -> DataFrame:
+    """Per candidate: flag counts over training windows, and the orders on whose decision the windows disagree."""
+    patterns = votes.groupBy("candidate", "family", "bits").agg(F.count(F.lit(1)).alias("orders"))
+    full = (1 << len(windows)) - 1
+    total = lambda c: F.sum(F.when(c, F.col("orders")).otherwise(0))
+    flagged = [total(F.col("bits").bitwiseAND(1 << i) > 0) for i in range(len(windows))]
+    out = patterns.groupBy("candidate", "family").agg(
+        F.sum("orders").alias("scored_cases_per_window"), F.least(*flagged).alias("min_flagged_cases"), F.greatest(*flagged).alias("max_flagged_cases"),
+        total(F.col("bits") == full).alias("cases_flagged_in_every_window"), total(F.col("bits") > 0).alias("cases_flagged_in_any_window"),
+        total((F.col("bits") > 0) & (F.col("bits") < full)).alias("cases_with_changed_decision"))
+    n = F.col("scored_cases_per_window")
+    return out.withColumns({"windows_evaluated": F.lit(len(windows)).cast("long"),
+                            "flag_rate_range_pp": 100.0 * (F.col("max_flagged_cases") - F.col("min_flagged_cases")) / n,
+                            "changed_decision_fraction": F.col("cases_with_changed_decision") / n})
+
+
+def window_changes(votes: DataFrame, windows: list[str]) -> DataFrame:
+    """The orders whose decision changes, with the windows that flag them in their order."""
+    named = F.filter(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) > 0, F.lit(w)) for i, w in enumerate(windows)]), lambda w: w.isNotNull())
+    return votes.where((F.col("bits") > 0) & (F.col("bits") < (1 << len(windows)) - 1)).select(
+        "order_id", "candidate", "family", F.lit(len(windows)).cast("long").alias("windows_evaluated"),
+        F.size(named).cast("long").alias("windows_flagged"), named.alias("flagged_windows"))
+
+
+def window_agreement(votes: DataFrame, windows: list[str]) -> DataFrame:
+    """Both / left / right / neither / Jaccard for every pair of windows, from the distinct bit vectors."""
+    patterns = votes.groupBy("candidate", "family", "bits").agg(F.count(F.lit(1)).alias("orders"))
+    pairs = [(a, b) for a in range(len(windows)) for b in range(a + 1, len(windows))]
+    each = patterns.select("candidate", "family", "orders", "bits", F.inline(F.array(*[F.struct(
+        F.lit(windows[a]).alias("left_window"), F.lit(windows[b]).alias("right_window"),
+        (F.col("bits").bitwiseAND(1 << a) > 0).alias("l"), (F.col("bits").bitwiseAND(1 << b) > 0).alias("r")) for a, b in pairs])))
+    total = lambda c: F.sum(F.when(c, F.col("orders")).otherwise(0))
+    out = each.groupBy("candidate", "family", "left_window", "right_window").agg(
+        F.sum("orders").alias("scored_cases"), total(F.col("l") & F.col("r")).alias("both_flag"), total(F.col("l") & ~F.col("r")).alias("left_only"),
+        total(~F.col("l") & F.col("r")).alias("right_only"), total(~F.col("l") & ~F.col("r")).alias("neither_flag"))
+    different = F.col("left_only") + F.col("right_only")
+    return out.withColumns({"union_flags": F.col("both_flag") + different, "changed_decisions": different,
+                            "jaccard_overlap": tristate.ratio(F.col("both_flag"), F.col("both_flag") + different),
+                            "changed_decision_fraction": different / F.col("scored_cases")})
 
 
 def temporal_selection(monthly: DataFrame, pooled: DataFrame, keys: list[str] | None = None, tolerance: float = 1e-12) -> DataFrame:

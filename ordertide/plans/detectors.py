@@ -362,11 +362,68 @@ def cooccurrence(shop):
         n(F.col("flag")).alias("flagged"), n(F.col("y")).alias("signals"), n(F.col("flag") & F.col("y")).alias("both"), F.grouping_id().alias("grouping"))
 
 
-@query("e15_window_stability", sql("""WITH w AS (SELECT order_id, candidate, count(*) AS windows, count(*) FILTER (WHERE f) AS votes FROM (SELECT order_id, candidate, score>threshold*k AS f FROM flg, (VALUES (0.5),(1.0),(1.5)) v(k) WHERE role='validation') GROUP BY 1,2)
-SELECT candidate, windows, count(*) AS orders, count(*) FILTER (WHERE votes=windows) AS always_flagged, count(*) FILTER (WHERE votes=0) AS never_flagged, count(*) FILTER (WHERE votes>0 AND votes<windows) AS changed_decisions FROM w GROUP BY 1,2"""))
+# Training windows: nested histories that end where calibration begins, each fitted anew.
+WINDOWS = {"full_history": "1900-01-01", "last_24_months": "1996-01-01", "last_12_months": "1997-01-01", "last_6_months": "1997-07-01"}
+
+
+def _window_sql():
+    values = ",".join(f"('{w}',TIMESTAMP '{start}',{1 << i})" for i, (w, start) in enumerate(WINDOWS.items()))
+    define("twin", f"SELECT * FROM (VALUES {values}) v(win,starts,bit)")
+    for name, v in [("wraw", lambda f: f"{f}::DOUBLE"), ("wlog", lambda f: f"ln(1+{f})")]:
+        rows = " UNION ALL ".join(f"SELECT win, '{f}' AS feature, {v(f)} AS v FROM meas, twin w WHERE role='fit' AND purchased_at>=starts" for f in FEATURES)
+        define(f"{name}m", rows)
+        define(f"{name}q", f"SELECT win, feature, quantile_cont(v,0.25) AS q25, quantile_cont(v,0.5) AS median, quantile_cont(v,0.75) AS q75, {', '.join(f'quantile_cont(v,{u / 1000}) AS u{u}' for u in _U)} FROM {name}m GROUP BY 1,2")
+        define(name, f"SELECT q.*, q75-q25 AS iqr, mad FROM {name}q q JOIN (SELECT win, feature, quantile_cont(abs(v-median),0.5) AS mad FROM {name}m JOIN {name}q USING (win, feature) GROUP BY 1,2) USING (win, feature)")
+    # Scores per feature and window first, then the greatest over features.
+    parts = []
+    for f in FEATURES:
+        for k, t, v in [("raw", "wraw", f), ("log1p", "wlog", f"ln(1+{f})")]:
+            parts.append(f"SELECT order_id, win, 'iqr_{k}' AS score_column, ({v}-q75)/iqr AS s FROM meas JOIN {t} ON feature='{f}' WHERE role='validation'")
+            parts.append(f"SELECT order_id, win, 'mad_{k}', 0.6744897501960817*({v}-median)/mad FROM meas JOIN {t} ON feature='{f}' WHERE role='validation'")
+        parts += [f"SELECT order_id, win, 'upper_u{u}', {f}-u{u} FROM meas JOIN wraw ON feature='{f}' WHERE role='validation'" for u in _U]
+    define("wscore", "SELECT order_id, win, score_column, max(s) AS score FROM (" + " UNION ALL ".join(parts) + ") GROUP BY 1,2,3")
+    define("wvote", """SELECT order_id, candidate, family, sum(CASE WHEN score>threshold THEN bit ELSE 0 END)::BIGINT AS bits FROM wscore JOIN reg USING (score_column) JOIN twin USING (win) GROUP BY 1,2,3""")
+
+
+_window_sql()
+
+
+def window_votes(shop):
+    """All windows are fitted, scored and compared in one plan; the window is a key of the fit."""
+    if "window_votes" not in shop.__dict__:
+        m = matrix(shop)
+        starts = F.inline(F.array(*[F.struct(F.lit(w).alias("window"), F.lit(s).cast("timestamp_ntz").alias("starts")) for w, s in WINDOWS.items()]))
+        fit = m.where("role = 'fit'").select(*m.columns, starts).where("purchased_at >= starts")
+        raw, logged = (detectors.fit_statistics(fit, FEATURES, log, ["window"]) for log in [False, True])
+        scored = detectors.base_scores(m.where("role = 'validation'"), FEATURES, raw, logged, ["window"])
+        found = detectors.apply_thresholds(scored, detectors.calibrated_thresholds(scored, []))
+        shop.__dict__["window_votes"] = materialize(evaluation.window_votes(found, list(WINDOWS)), "window-votes")
+    return shop.__dict__["window_votes"]
+
+
+_BITS = [f"sum((bits>>{i})&1)" for i in range(len(WINDOWS))]
+_ALL = (1 << len(WINDOWS)) - 1
+
+
+@query("e15_window_stability", sql(f"""SELECT candidate, family, {len(WINDOWS)}::BIGINT AS windows_evaluated, count(*) AS scored_cases_per_window, least({','.join(_BITS)})::BIGINT AS min_flagged_cases, greatest({','.join(_BITS)})::BIGINT AS max_flagged_cases,
+ round(100.0*(greatest({','.join(_BITS)})-least({','.join(_BITS)}))/count(*),6)::DOUBLE AS flag_rate_range_pp, count(*) FILTER (WHERE bits={_ALL}) AS cases_flagged_in_every_window, count(*) FILTER (WHERE bits>0) AS cases_flagged_in_any_window,
+ count(*) FILTER (WHERE bits>0 AND bits<{_ALL}) AS cases_with_changed_decision, round(count(*) FILTER (WHERE bits>0 AND bits<{_ALL})/count(*),6) AS changed_decision_fraction FROM wvote GROUP BY 1,2"""))
 def window_stability(shop):
-    f = flags(shop).where("role = 'validation'").withColumn("k", F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(1.5))))
-    return evaluation.window_stability(f.withColumn("flag", F.col("score") > F.col("threshold") * F.col("k")))
+    return rounded(evaluation.window_stability(window_votes(shop), list(WINDOWS)))
+
+
+@query("e15_window_changes", sql(f"""SELECT order_id, candidate, family, {len(WINDOWS)}::BIGINT AS windows_evaluated, bit_count(bits)::BIGINT AS windows_flagged,
+ concat_ws(',',{','.join(f"CASE WHEN (bits>>{i})&1=1 THEN '{w}' END" for i, w in enumerate(WINDOWS))}) AS flagged_windows FROM wvote WHERE bits>0 AND bits<{_ALL}"""))
+def window_changes(shop):
+    return evaluation.window_changes(window_votes(shop), list(WINDOWS)).withColumn("flagged_windows", F.array_join("flagged_windows", ","))
+
+
+@query("e15_window_agreement", sql("""SELECT candidate, family, a.win AS left_window, b.win AS right_window, count(*) AS scored_cases, count(*) FILTER (WHERE bits&a.bit>0 AND bits&b.bit>0) AS both_flag, count(*) FILTER (WHERE bits&a.bit>0 AND bits&b.bit=0) AS left_only,
+ count(*) FILTER (WHERE bits&a.bit=0 AND bits&b.bit>0) AS right_only, count(*) FILTER (WHERE bits&(a.bit|b.bit)=0) AS neither_flag, count(*) FILTER (WHERE bits&(a.bit|b.bit)>0) AS union_flags,
+ count(*) FILTER (WHERE (bits&a.bit>0)<>(bits&b.bit>0)) AS changed_decisions, round(count(*) FILTER (WHERE bits&a.bit>0 AND bits&b.bit>0)/nullif(count(*) FILTER (WHERE bits&(a.bit|b.bit)>0),0),6) AS jaccard_overlap,
+ round(count(*) FILTER (WHERE (bits&a.bit>0)<>(bits&b.bit>0))/count(*),6) AS changed_decision_fraction FROM wvote, twin a, twin b WHERE a.bit<b.bit GROUP BY 1,2,3,4"""))
+def window_agreement(shop):
+    return rounded(evaluation.window_agreement(window_votes(shop), list(WINDOWS)))
 
 
 def monthly_confusion(shop):
