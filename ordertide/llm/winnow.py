@@ -5,9 +5,9 @@ each run of six 5-word hashes the smallest is a fingerprint (so any ten shared w
 documents are joined with those of the benchmark, and each hit is extended to the windows around it. An item of fewer
 than ten words is one window of its own length and is fingerprinted by its whole.
 
-The benchmark is read in groups of bounded size: one group's fingerprints and windows are broadcast at a time (at most
-``group_words`` words), and the documents pass through all groups in one job without a shuffle. So memory stays bounded
-however large the benchmark is, and no document row ever moves.
+The benchmark is read in groups of bounded size (at most ``group_words`` words): one group's fingerprints and windows are
+broadcast, the documents pass by them without a shuffle, and where a further group follows the marked documents are
+written and the broadcast is released. So executors hold one group however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ordertide.session import materialize
 from ordertide.llm.text import ALNUM, Rolling, Words, blocks, buffers, covered, sliding_min
 
 WINDOW, GRAM = 10, 5
@@ -30,7 +31,7 @@ GROUP_WORDS = 4_000_000
 class Fingerprints:
     """Fingerprints and windows of one group of benchmark items, as sorted arrays."""
 
-    def __init__(self, ids: list[str], texts: list[str]):
+    def __init__(self, ids: list[str | None], texts: list[str]):
         data, offsets = buffers(pa.array(texts, pa.string()))
         words = Words(data, offsets, ALNUM, lower=True)
         rolling = Rolling(words.hash)
@@ -114,7 +115,7 @@ def _scan(prints, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if old:
                     flags = flags | np.unpackbits(np.frombuffer(old, np.uint8), count=len(flags)).astype(bool)
                 marks.append(np.packbits(flags).tobytes() if flags.any() else b"")
-                own = [held.ids[k] for k in item[cut[i]:cut[i + 1]]]
+                own = [held.ids[k] for k in item[cut[i]:cut[i + 1]] if held.ids[k] is not None]
                 items.append((before_items[i] or []) + own)
             out = {name: rows.column(k) for k, name in enumerate(rows.schema.names)}
             out |= {"_words": pa.array(words.counts, pa.int64()), "_hit": pa.array(marks, pa.binary()),
@@ -126,7 +127,7 @@ def benchmark_groups(benchmark: DataFrame, group_words: int = GROUP_WORDS) -> It
     """Items one partition at a time, cut into groups of at most ``group_words`` words (about their bytes / 2)."""
     ids, texts, size = [], [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        if row[0] is None or not row[1]:
+        if not row[1]:
             continue
         ids.append(row[0])
         texts.append(row[1])
@@ -134,26 +135,32 @@ def benchmark_groups(benchmark: DataFrame, group_words: int = GROUP_WORDS) -> It
         if size >= group_words:
             yield Fingerprints(ids, texts)
             ids, texts, size = [], [], 0
-    if ids:
+    if texts:
         yield Fingerprints(ids, texts)
 
 
+def _pass(docs: DataFrame, held) -> DataFrame:
+    return docs.mapInArrow(lambda batches: _scan(held, batches), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+
+
 def mark_benchmark_words(docs: DataFrame, benchmark: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
     """``docs`` plus _words (number of words), _hit (bit per word, packed; empty if none) and _items (ids found).
 
     Null and empty texts have no words and no hits; repeated rows and ids are marked each; columns of ``docs`` are kept
-    (its own columns named _words, _hit or _items are replaced). Items without an id or a word are left out. An item id
-    that occurs twice counts as one item.
+    (its own columns named _words, _hit or _items are replaced). Items without a word are left out. The words of an item
+    without an id are hit like others, but it has no place in _items. An item id that occurs twice counts as one item.
     """
     out = (docs.withColumn("_words", F.lit(0).cast("long")).withColumn("_hit", F.lit(b"").cast("binary"))
            .withColumn("_items", F.lit(None).cast("array<string>")))
-    spark, found = docs.sparkSession, False
+    spark, held = docs.sparkSession, None
     for prints in benchmark_groups(benchmark, group_words):
-        held, schema, found = spark.sparkContext.broadcast(prints), out.schema, True
-        out = out.mapInArrow(lambda batches, held=held: _scan(held, batches), T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
-    if not found:  # no item: count the words all the same
-        held = spark.sparkContext.broadcast(Fingerprints([], []))
-        out = out.mapInArrow(lambda batches: _scan(held, batches), T.StructType([T.StructField(f.name, f.dataType) for f in out.schema]))
+        if held is not None:
+            out = materialize(out, "marked-documents")
+            held.unpersist()
+        held = spark.sparkContext.broadcast(prints)
+        out = _pass(out, held)
+    if held is None:  # no item: count the words all the same
+        out = _pass(out, spark.sparkContext.broadcast(Fingerprints([], [])))
     return out.withColumn("_items", F.array_sort(F.array_distinct(F.coalesce("_items", F.array().cast("array<string>")))))
 
 

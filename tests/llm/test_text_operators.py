@@ -139,6 +139,15 @@ def test_winnowing(spark, edge, empty, documents_df, documents, group_words):
         assert got == sorted(wanted(t) for t in texts)
 
 
+def test_items_without_an_id_hit_but_are_not_listed(spark):
+    words = [f"w{k}" for k in range(40)]
+    benchmark = spark.createDataFrame([(None, " ".join(words[:12])), (7, " ".join(words[20:31])), (None, None), (None, "solo")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words[:13])), (2, " ".join(words)), (3, "a solo b"), (4, "clean")], "doc_id long, text string")
+    for group_words in [1, 4_000_000]:
+        got = {r.doc_id: (sum(x.bit_count() for x in r._hit), r._items) for r in winnow.mark_benchmark_words(docs, benchmark, group_words).collect()}
+        assert got == {1: (12, []), 2: (23, ["7"]), 3: (1, []), 4: (0, [])}
+
+
 def test_near_duplicates(spark, edge, empty, documents_df, documents):
     assert bag_minhash.near_duplicates(empty).count() == 0
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.class_id if r.class_id is not None else -1) for r in bag_minhash.near_duplicates(edge).collect())
