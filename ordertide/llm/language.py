@@ -231,16 +231,20 @@ def _count(languages: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> CharacterModels | None:
-    """Models from rows (doc_id, text, lang). Uses about ``rows`` rows per label, drawn by a hash of the id."""
-    usable = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null and length(text) > 0")
-    sizes = {r[0]: r[1] for r in labelled.where("lang is not null").groupBy("lang").count().collect()}
+    """Models from rows (doc_id, text, lang). Uses about ``rows`` rows per label, drawn by a hash of id and text.
+
+    Only rows with a letter teach, and only they make a label a candidate: nothing is learned of a label without them.
+    Equal rows come or stay away together.
+    """
+    usable = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
     scale = 1 << 20
     limits = F.create_map(*[F.lit(x) for name in languages for x in (name, int(min(scale, scale * rows / sizes[name])))])
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(scale))
-    sample = (usable.where(draw < limits[F.col("lang")]).withColumn("_hold", F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(CALIBRATION_SHARE)) == 0))
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(scale))
+    sample = (usable.where(draw < limits[F.col("lang")]).withColumn("_hold", F.pmod(F.xxhash64(F.lit("calibration"), "doc_id", "text"), F.lit(CALIBRATION_SHARE)) == 0))
     counted = (sample.where(~F.col("_hold")).select("text", "lang").mapInArrow(functools.partial(_count, languages), GRAM_SCHEMA)
                .groupBy("n", "gram", "context", "suffix", "language").agg(F.sum("c").alias("c")))
     got = counted.toArrow()  # bounded by the sample

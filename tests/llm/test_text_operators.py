@@ -225,6 +225,15 @@ def test_language(spark, edge, empty, documents_df):
     assert language.fit(empty) is None and {r._lang for r in language.identify(edge, None).collect()} == {"und"}
 
 
+def test_labels_without_a_letter_are_no_candidates(spark):
+    rows = [(k, f"the quick brown fox number {k} jumps over the lazy dog", "en") for k in range(40)] + [(None, None, "zz")] * 40 + [(99, "", "yy"), (98, "12 34 !!", "xx")]
+    models = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert models.languages == ["en"]
+    texts = spark.createDataFrame([(1, "Привет мир"), (2, "the lazy fox"), (3, "12")], "doc_id long, text string")
+    assert {r._lang for r in language.identify(texts, models).collect()} <= {"en", "und"}
+    assert language.fit(spark.createDataFrame(rows[40:], "doc_id long, text string, lang string")) is None
+
+
 def test_kneser_ney_is_a_distribution(documents_df):
     import numpy as np
 
