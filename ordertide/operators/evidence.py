@@ -129,6 +129,39 @@ def integrated_evidence(base: DataFrame, parts: list[DataFrame], codes: list[tup
     return wide.withColumn("evidence_codes", tristate.reasons([(n, tristate.known_true(c)) for n, c in codes]))
 
 
+def signal_counts(warnings: DataFrame, evaluated: Column, signals: dict[str, str]) -> DataFrame:
+    """Per order: models that scored it, models whose outcome is known, and per signal the warnings among the latter (null if none is)."""
+    known = F.count(F.when(evaluated, 1))
+    return warnings.groupBy("order_id").agg(F.count(F.lit(1)).alias("models_forecast"), known.alias("models_evaluated"), *[
+        F.when(known > 0, F.count(F.when(evaluated & F.col(c), 1))).alias(name) for name, c in signals.items()])
+
+
+def case_codes() -> list[tuple[str, Column]]:
+    """The thirteen evidence codes over one wide row per order; an unknown condition gives no code."""
+    # Names and order of the codes.
+    return [
+        ("visible_milestone_inversion", F.col("visible_inversions") > 0),
+        ("incomplete_visible_trace", F.col("visible_events") < 4),
+        ("equal_time_order_unresolved", F.col("has_equal_times")),
+        ("geographic_context_withheld", ~F.col("all_pairs_quality_eligible")),
+        ("multi_seller_no_individual_outcome_attribution", F.col("seller_count") > 1),
+        ("limited_seller_history", F.col("history_route") != "single_seller_with_prior_outcomes"),
+        ("no_prior_scoped_customer_purchase", F.col("prior_orders") == 0),
+        ("observed_accounting_difference_not_fraud", F.col("payment_difference_cents") != 0),
+        ("business_anchor_warning", F.col("profiles_with_warning") > 0),
+        ("delivery_long_interval_warning", F.col("long_warnings") > 0),
+        ("delivery_short_interval_warning", F.col("short_warnings") > 0),
+        ("delivery_zero_duration_warning", F.col("zero_warnings") > 0),
+        ("no_validation_model_result_here", F.col("profiles_scored").isNull() & F.col("models_forecast").isNull()),
+    ]
+
+
+def trace_shape(orders: DataFrame, times: list[str]) -> DataFrame:
+    """Adds the number of visible milestones and whether two of them carry the same time."""
+    seen = F.array_compact(F.array(*times))
+    return orders.withColumns({"visible_events": F.size(seen).cast("long"), "has_equal_times": F.size(F.array_distinct(seen)) < F.size(seen)})
+
+
 def source_rule_checks(orders: DataFrame, payments: DataFrame, items: DataFrame) -> DataFrame:
     """Recompute order aggregates from child rows and state one outcome per (order, scope)."""
     joined = orders.join(payments.groupBy("order_id").agg(F.count(F.lit(1)).alias("_pay"), tristate.complete_sum(F.col("payment_cents")).alias("_paid")), "order_id", "left").join(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ordertide.functions import clock
 from ordertide.operators import detectors, evaluation, evidence, features, forecasts, peers, performance, quality, relations
 from ordertide.plans import detectors as det
+from ordertide.plans import history as hist
 from ordertide.plans import peers as peer_plans
 from ordertide.plans.cleaning import scoped
 from ordertide.plans.ctes import define, sql
@@ -98,18 +99,6 @@ def stage_comparison(shop):
     return evidence.early_explanation(compared).drop("performance_state", "performance_eligible")
 
 
-@query("a48_integrated_case_evidence", sql("""SELECT order_id, split, concat_ws(',', CASE WHEN visible_inversions>0 THEN 'recorded_inversion' END, CASE WHEN post_cutoff_milestones>0 THEN 'hidden_events' END, CASE WHEN performance_eligible AND days_late>0 THEN 'calendar_late' END,
- CASE WHEN payment_sum_cents<>items_plus_freight_cents THEN 'payment_difference' END, CASE WHEN seller_count>1 THEN 'multi_seller' END) AS evidence_codes FROM perf LEFT JOIN ipay USING (order_id) LEFT JOIN (SELECT order_id, items_plus_freight_cents FROM iitem) USING (order_id)"""))
-def integrated(shop):
-    paid = features.payment_reconciliation(features.rollup_payments(shop.payments).join(
-        features.rollup_items(shop.items).drop("item_count", "product_count", "seller_count"), "order_id")).select("order_id", "payment_difference_cents")
-    out = evidence.integrated_evidence(shop.performance, [paid], [
-        ("recorded_inversion", F.col("visible_inversions") > 0), ("hidden_events", F.col("post_cutoff_milestones") > 0),
-        ("calendar_late", F.col("performance_eligible") & (F.col("days_late") > 0)), ("payment_difference", F.col("payment_difference_cents") != 0),
-        ("multi_seller", F.col("seller_count") > 1)])
-    return out.select("order_id", "split", F.array_join("evidence_codes", ",").alias("evidence_codes"))
-
-
 @query("a43_followup_audit", sql("""SELECT purchase_month, h::INTEGER AS horizon_days, CASE WHEN carrier_at IS NULL THEN 'carrier_not_recorded_before_cutoff' WHEN coalesce(carrier_at<purchased_at,false) OR coalesce(delivered_at<carrier_at,false) THEN 'invalid_visible_stage_chronology'
  WHEN NOT carrier_at + to_days(h) < cutoff THEN 'insufficient_followup' WHEN delivered_at IS NULL THEN 'no_delivery_recorded_before_cutoff' WHEN delivered_at<=carrier_at+to_days(h) THEN 'delivery_recorded_within_horizon' ELSE 'delivery_recorded_after_horizon_before_cutoff' END AS followup_state, count(*) AS orders
 FROM perf, (VALUES (14),(30),(45)) v(h) WHERE split='validation' GROUP BY 1,2,3"""))
@@ -186,6 +175,57 @@ def two_models(shop):
     return peer.select(*cols).unionByName(glob.select(*cols))
 
 
+define("hroute", """SELECT DISTINCT order_id, CASE WHEN seller_count>1 THEN 'multi_seller_use_pair_context' WHEN done>0 THEN 'single_seller_with_prior_outcomes' WHEN prior>0 THEN 'single_seller_purchase_history_only' ELSE 'single_seller_no_prior_history' END AS history_route
+ FROM (SELECT a.order_id, a.seller_count, (SELECT count(*) FROM pairs b WHERE b.seller_id=a.seller_id AND b.as_of_s<a.as_of_s) AS prior, (SELECT count(*) FROM outcome c WHERE c.seller_id=a.seller_id AND c.delivered_s<a.as_of_s) AS done FROM pairs a)""")
+define("okzip", "SELECT zip FROM zscreen WHERE reasons NOT LIKE '%insufficient%'")
+define("goq", "SELECT order_id, bool_and(distance_km IS NOT NULL AND customer_zip IN (SELECT zip FROM okzip) AND seller_zip IN (SELECT zip FROM okzip)) AS quality FROM dist GROUP BY 1")
+define("anchor", "SELECT order_id, count(*) AS profiles_scored, count(*) FILTER (WHERE flag) AS profiles_with_warning FROM flg WHERE role='validation' AND candidate IN ('mad_raw_k25','mad_log1p_k25') GROUP BY 1")
+define("dm", """SELECT order_id, count(*) AS models_forecast, count(*) FILTER (WHERE raw_status='F') AS models_evaluated, CASE WHEN bool_or(raw_status='F') THEN count(*) FILTER (WHERE raw_status='F' AND lw) END AS lw,
+ CASE WHEN bool_or(raw_status='F') THEN count(*) FILTER (WHERE raw_status='F' AND sw) END AS sw, CASE WHEN bool_or(raw_status='F') THEN count(*) FILTER (WHERE raw_status='F' AND zw) END AS zw FROM two GROUP BY 1""")
+define("cprior", "SELECT a.order_id, count(b.order_id) AS prior_orders FROM ord a LEFT JOIN ord b ON a.customer_id=b.customer_id AND b.purchased_at<a.purchased_at GROUP BY 1")
+define("cev", """SELECT p.order_id, split, visible_events, list_distinct_n<visible_events AS has_equal_times, quality AS all_pairs_quality_eligible, history_route, prior_orders, payment_sum_cents-items_plus_freight_cents AS payment_difference_cents,
+ profiles_scored, profiles_with_warning, models_forecast, models_evaluated, lw AS long_warnings, sw AS short_warnings, zw AS zero_warnings, visible_inversions, p.seller_count
+ FROM (SELECT *, ((purchased_at IS NOT NULL)::INT+(approved_at IS NOT NULL)::INT+(carrier_at IS NOT NULL)::INT+(delivered_at IS NOT NULL)::INT)::BIGINT AS visible_events, len(list_distinct([purchased_at,approved_at,carrier_at,delivered_at])) AS list_distinct_n FROM perf) p
+ LEFT JOIN ipay USING (order_id) LEFT JOIN (SELECT order_id, items_plus_freight_cents FROM iitem) USING (order_id) LEFT JOIN goq USING (order_id) LEFT JOIN hroute USING (order_id) LEFT JOIN cprior USING (order_id) LEFT JOIN anchor USING (order_id) LEFT JOIN dm USING (order_id)""")
+_CODES = {"visible_milestone_inversion": "visible_inversions>0", "incomplete_visible_trace": "visible_events<4", "equal_time_order_unresolved": "has_equal_times", "geographic_context_withheld": "NOT all_pairs_quality_eligible",
+          "multi_seller_no_individual_outcome_attribution": "seller_count>1", "limited_seller_history": "history_route<>'single_seller_with_prior_outcomes'", "no_prior_scoped_customer_purchase": "prior_orders=0",
+          "observed_accounting_difference_not_fraud": "payment_difference_cents<>0", "business_anchor_warning": "profiles_with_warning>0", "delivery_long_interval_warning": "long_warnings>0",
+          "delivery_short_interval_warning": "short_warnings>0", "delivery_zero_duration_warning": "zero_warnings>0", "no_validation_model_result_here": "profiles_scored IS NULL AND models_forecast IS NULL"}
+_CASE_COLS = ["order_id", "split", "visible_events", "has_equal_times", "all_pairs_quality_eligible", "history_route", "prior_orders", "payment_difference_cents", "profiles_scored", "profiles_with_warning",
+              "models_forecast", "models_evaluated", "long_warnings", "short_warnings", "zero_warnings"]
+_CODED = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _CODES.items()) + ")"
+
+
+def case_evidence(shop):
+    """Every order with process, payment, customer, geography, seller, business and delivery evidence; both queries read one written table."""
+    if "case_evidence" not in shop.__dict__:
+        paid = features.payment_reconciliation(features.rollup_payments(shop.payments).join(
+            features.rollup_items(shop.items).drop("item_count", "product_count", "seller_count"), "order_id")).select("order_id", "payment_difference_cents")
+        places = hist.geo_order_quality(shop).select("order_id", "all_pairs_quality_eligible")
+        routes_ = hist.history_route(shop).select("order_id", "history_route").distinct()
+        prior = hist.customer_prior(shop).select("order_id", "prior_orders")
+        anchors = det.flags(shop).where("role = 'validation' AND candidate IN ('mad_raw_k25', 'mad_log1p_k25')").groupBy("order_id").agg(
+            F.count(F.lit(1)).alias("profiles_scored"), F.count(F.when(F.col("flag"), 1)).alias("profiles_with_warning"))
+        models = evidence.signal_counts(two_models(shop), F.col("raw_status") == "F",
+                                        {"long_warnings": "long_warning", "short_warnings": "short_warning", "zero_warnings": "zero_warning"})
+        base = evidence.trace_shape(shop.performance, TIMES)
+        wide = evidence.integrated_evidence(base, [paid, places, routes_, prior, anchors, models], evidence.case_codes())
+        shop.__dict__["case_evidence"] = materialize(wide.select(*_CASE_COLS, "evidence_codes"), "case-evidence")
+    return shop.__dict__["case_evidence"]
+
+
+@query("a48_integrated_case_evidence", sql(f"SELECT {', '.join(_CASE_COLS)}, {_CODED} AS evidence_codes FROM cev"))
+def integrated(shop):
+    return case_evidence(shop).withColumn("evidence_codes", F.array_join("evidence_codes", ","))
+
+
+@query("a48_evidence_coverage", sql(" UNION ALL ".join(f"SELECT split, '{n}' AS evidence_code, count(*) AS orders, count(*) FILTER (WHERE {c}) AS orders_with_code FROM cev GROUP BY 1" for n, c in _CODES.items())))
+def evidence_coverage(shop):
+    names = F.array(*[F.lit(n) for n, _ in evidence.case_codes()])
+    return case_evidence(shop).select("split", "evidence_codes", F.explode(names).alias("evidence_code")).groupBy("split", "evidence_code").agg(
+        F.count(F.lit(1)).alias("orders"), F.count(F.when(F.array_contains("evidence_codes", F.col("evidence_code")), 1)).alias("orders_with_code"))
+
+
 @query("e35_model_outcome_overlap", sql("SELECT model, count(*) AS orders, count(*) FILTER (WHERE lw AND raw_status='F') AS warned_and_late, count(*) FILTER (WHERE lw AND raw_status<>'F') AS warned_not_late, count(*) FILTER (WHERE NOT lw AND raw_status='F') AS late_not_warned FROM two GROUP BY 1"))
 def outcome_overlap(shop):
     return forecasts.model_outcome_overlap(two_models(shop), F.col("raw_status") == "F")
