@@ -14,7 +14,9 @@ its component, twice as many in each further round. Candidates are verified by e
 and members of larger bands look on, past the partners already compared, until none is left outside their component. A
 group of copies gives a number of candidates in proportion to its size; where many texts of a band lie just below the
 threshold, all of their pairs are compared. Bands of more than 4096 texts are dealt into chunks, and each chunk meets each
-in a block of its own; memory per task stays bounded. Equal texts are one text throughout.
+in a block of its own; memory per task stays bounded. Equal texts are one text throughout; they are written once, in buckets
+of their id, so that no round moves the texts themselves but those of its pairs. Each round keeps the bands that still hold
+more than one component, and later links are contracted to components before these are joined.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordertide.llm.components import connected_components
-from ordertide.llm.text import Rolling, Words, blocks, mix, settle, table, unit
+from ordertide.llm.text import Rolling, Words, blocks, mix, release, settle, table, unit
+from ordertide.session import new_run_folder
 
 WORDS_PER_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 misses every band once in 14 000
@@ -137,14 +140,37 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["a", "b", "similarity"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text ids whose exact multiset similarity reaches the threshold."""
-    n, s = F.col("n").alias, F.col("shingles").alias
-    left = texts.select(F.col("t").alias("a"), n("na"), s("sa"))
-    right = texts.select(F.col("t").alias("b"), n("nb"), s("sb"))
-    met = (pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-           .select("a", "b", "sa", "sb"))
-    return met.mapInArrow(_verify, "a binary, b binary, similarity double").where(F.col("similarity") >= similarity)
+def judged(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text ids, and whether their exact multiset similarity reaches the threshold (linked)."""
+    left = texts.select(F.col("t").alias("a"), F.col("shingles").alias("sa"))
+    right = texts.select(F.col("t").alias("b"), F.col("shingles").alias("sb"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    return met.mapInArrow(_verify, "a binary, b binary, similarity double").select("a", "b", (F.col("similarity") >= similarity).alias("linked"))
+
+
+def filed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` as a written table in buckets of ``column``: a join on it moves only the rows of its other side."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_run_folder(spark, name)
+    known_as = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(known_as)
+    del df
+    release()
+    return spark.table(known_as)
+
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after further ``links`` (a, b) between different components, which are contracted to their labels first."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left").withColumn(
+            f"{end}_label", F.coalesce(f"{end}_label", end))
+    contracted = settle(ends.select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct(), "contracted")
+    merged = connected_components(contracted).select(F.col("node").alias("label"), F.col("label").alias("into"))
+    fresh = merged.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("into").alias("label"))
+    moved = labels.join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label"))
+    return settle(moved.unionByName(fresh), "labels")
 
 
 def _partners(nearest: int, similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,27 +259,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     signed = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(
         _sign, "doc_id long, key long, t binary, n int, bands array<long>, shingles binary, sig binary"), "signed")
-    bands = signed.where("n > 0").select("t", "n", F.explode("bands").alias("band")).distinct()
+    texts = filed(signed.where("n > 0").select("t", "n", "bands", "shingles", "sig").dropDuplicates(["t"]), "t", "texts")
+    bands = texts.select("t", "n", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = settle(bands.join(shared, "band").withColumn("label", F.col("t")), "members")
-    texts = settle(signed.join(members.select("t").distinct(), "t", "left_semi").select("t", "n", "shingles", "sig").dropDuplicates(["t"]), "texts")
-    large = settle(members.where(F.col("size") > SMALL).join(texts.select("t", "sig"), "t"), "large")
     none, nearest = F.lit(None), NEAREST
     columns = ["band", "size", "t", "label", "n", "sig", "tested"]
-    pairs = settle(candidates(members.where(F.col("size") <= SMALL).withColumn("sig", none.cast("binary")).unionByName(large)
-                                   .withColumn("tested", none.cast("array<binary>")).select(*columns), nearest, similarity), "pairs")
-    links = tested = labels = None
+    large = members.where(F.col("size") > SMALL)
+    first = members.where(F.col("size") <= SMALL).withColumn("sig", none.cast("binary")).unionByName(large.join(texts.select("t", "sig"), "t"))
+    pairs = settle(candidates(first.withColumn("tested", none.cast("array<binary>")).select(*columns), nearest, similarity), "pairs")
+    rejected = labels = None
     while labels is None or pairs.limit(1).count():
-        found = settle(verified(pairs, texts, similarity).select("a", "b"), "found")
-        links, tested = (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
-        if labels is None or found.limit(1).count():
+        result = settle(judged(pairs, texts, similarity), "judged")
+        links, apart = result.where("linked").select("a", "b"), result.where(~F.col("linked")).select(F.col("a").alias("t"), "b")
+        rejected = apart if rejected is None else rejected.unionByName(apart)
+        if labels is None:
             labels = connected_components(links)
+        elif links.limit(1).count():
+            labels = joined_labels(labels, links)
         # Members of large bands look again, for partners outside their component that they were not compared with.
         nearest *= 2
-        again = large.drop("label").join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
-        mixed = again.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        rejected = tested.join(links, ["a", "b"], "left_anti").groupBy(F.col("a").alias("t")).agg(F.collect_list("b").alias("tested"))
-        again = again.join(mixed, "band", "left_semi").join(rejected, "t", "left")
+        marked = large.drop("label").join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
+        mixed = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        large = settle(marked.join(mixed.select("band"), "band", "left_semi"), "mixed")  # a band of one component stays one
+        met = rejected.groupBy("t").agg(F.collect_list("b").alias("tested"))
+        again = large.join(texts.select("t", "sig"), "t").join(met, "t", "left")
         pairs = settle(candidates(again.select(*columns), nearest, similarity), "pairs")
     of_text = signed.select("doc_id", "key", "t", "n").join(labels.withColumnRenamed("node", "t"), "t", "left")
     of_text = settle(of_text.select("doc_id", "key", "t", "n", F.coalesce("label", "t").alias("label")), "classes")

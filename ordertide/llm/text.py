@@ -33,11 +33,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """A written table, after which the shuffle files behind it are released (pass the plan in, keep no other reference)."""
     out = materialize(df, name)
     del df
-    gc.collect()
-    out.sparkSession._jvm.System.gc()
+    release()
     return out
 
 
+def release() -> None:
+    """Let Spark clean up the shuffle files of plans that nothing refers to."""
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
+
+
 def split_remainder(doc_id, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
