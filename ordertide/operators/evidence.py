@@ -103,6 +103,41 @@ def percentile_sensitivity(stages: DataFrame, uppers: list[float]) -> DataFrame:
     return rows.groupBy("stage", "upper").agg(F.count(F.lit(1)).alias("assessed"), F.count(F.when(warn, 1)).alias("warnings"))
 
 
+def global_and_context(stages: DataFrame, reference: DataFrame, uppers: list[float], stage_count: int = 3) -> DataFrame:
+    """Per order and upper percentile: does any stage exceed it among all reference rows of the stage, and among its context peers?
+
+    Orders with all stages assessable and a known delivery outcome count, so both methods judge the same orders.
+    """
+    own = stages.where("assessable").select("order_id", "stage", peers.DURATION, "performance_eligible", "performance_state",
+                                            F.col("ref_upto").alias("context_upto"), F.col("ref_n").alias("context_n"))
+    both = ordered.ecdf(own, reference, ["stage"], peers.DURATION, width=ordered.WEEK)
+    rows = both.withColumn("upper", F.explode(F.array(*[F.lit(float(u)) for u in uppers])))
+
+    def warned(upto, n):
+        return F.max((F.col(peers.DURATION) > 0) & (F.col(upto) > F.col("upper") * F.col(n)))
+    return rows.groupBy("order_id", "upper", "performance_state", "performance_eligible").agg(
+        F.count(F.lit(1)).alias("stages"), warned("ref_upto", "ref_n").alias("global_warning"), warned("context_upto", "context_n").alias("context_warning")).where(
+        (F.col("stages") == stage_count) & F.col("performance_eligible")).drop("stages", "performance_eligible")
+
+
+def method_sensitivity(flags: DataFrame) -> DataFrame:
+    """Per method and percentile: warnings among common orders, their overlap with late deliveries, and warnings of one method only."""
+    methods = F.array(F.struct(F.lit("global_ecdf").alias("method"), F.col("global_warning").alias("flag")),
+                      F.struct(F.lit("context_ecdf").alias("method"), F.col("context_warning").alias("flag")))
+    rows = flags.withColumn("m", F.explode(methods)).select("*", "m.*")
+    late, flag = F.col("performance_state") == "late", F.col("flag")
+    n = tristate.count_true
+    return rows.groupBy("method", "upper").agg(
+        F.count(F.lit(1)).alias("common_orders"), n(flag).alias("warning_orders"), (n(flag) / F.count(F.lit(1))).alias("warning_fraction"),
+        n(late).alias("late_promise_orders"), n(late & flag).alias("late_promise_with_warning"), n(late & ~flag).alias("late_promise_without_warning"),
+        n(~late & flag).alias("meets_promise_with_warning"), n(F.col("context_warning") & ~F.col("global_warning")).alias("context_only_warnings"),
+        n(F.col("global_warning") & ~F.col("context_warning")).alias("global_only_warnings"))
+
+
+def method_disagreements(flags: DataFrame) -> DataFrame:
+    return flags.where("global_warning <> context_warning").withColumn("correct_detector", F.lit("unresolved"))
+
+
 def stage_comparison(stages: DataFrame, groups: DataFrame) -> DataFrame:
     """Direction against the reference median; groups: (group, median_days)."""
     joined = stages.join(groups.select("group", "median_days"), "group", "left")

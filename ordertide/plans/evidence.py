@@ -87,6 +87,30 @@ def sensitivity(shop):
     return evidence.percentile_sensitivity(ranked(shop), [0.8, 0.9, 0.95])
 
 
+UPPERS = [0.8, 0.9, 0.95, 0.99]
+define("gref", "SELECT stage, duration_s, sum(count(*)) OVER (PARTITION BY stage ORDER BY duration_s)::BIGINT AS upto, sum(count(*)) OVER (PARTITION BY stage)::BIGINT AS n FROM srow WHERE split='train' AND duration_eligible GROUP BY 1,2")
+define("gcx", f"""SELECT order_id, performance_state, u::DOUBLE AS upper, bool_or(s.duration_s>0 AND coalesce(g.upto,0)>u::DOUBLE*t.n) AS global_warning, bool_or(s.duration_s>0 AND s.ref_upto>u::DOUBLE*s.ref_n) AS context_warning
+FROM sig s JOIN (SELECT stage, max(n) AS n FROM gref GROUP BY 1) t USING (stage) ASOF LEFT JOIN gref g ON g.stage=s.stage AND g.duration_s<=s.duration_s, (VALUES {', '.join(f'({u})' for u in UPPERS)}) v(u)
+WHERE assessment_status='assessable' AND performance_eligible GROUP BY 1,2,3 HAVING count(*)=3""")
+_METHOD = """SELECT '{0}_ecdf' AS method, upper, count(*) AS common_orders, count(*) FILTER (WHERE {0}_warning) AS warning_orders, round(count(*) FILTER (WHERE {0}_warning)/count(*),6) AS warning_fraction, count(*) FILTER (WHERE performance_state='late') AS late_promise_orders,
+ count(*) FILTER (WHERE performance_state='late' AND {0}_warning) AS late_promise_with_warning, count(*) FILTER (WHERE performance_state='late' AND NOT {0}_warning) AS late_promise_without_warning, count(*) FILTER (WHERE performance_state<>'late' AND {0}_warning) AS meets_promise_with_warning,
+ count(*) FILTER (WHERE context_warning AND NOT global_warning) AS context_only_warnings, count(*) FILTER (WHERE global_warning AND NOT context_warning) AS global_only_warnings FROM gcx GROUP BY 2"""
+
+
+def both_methods(shop):
+    return evidence.global_and_context(ranked(shop), peer_plans.reference(shop), UPPERS)
+
+
+@query("d18_global_and_context", sql(" UNION ALL ".join(_METHOD.format(m) for m in ("global", "context"))))
+def method_sensitivity(shop):
+    return rounded(evidence.method_sensitivity(both_methods(shop)))
+
+
+@query("d18_method_disagreements", sql("SELECT order_id, performance_state, upper, global_warning, context_warning, 'unresolved' AS correct_detector FROM gcx WHERE global_warning<>context_warning"))
+def method_disagreements(shop):
+    return evidence.method_disagreements(both_methods(shop))
+
+
 define("med", "SELECT grp, quantile_cont(duration_s::DOUBLE,0.5)/86400 AS md FROM bank JOIN gstat USING (grp) GROUP BY 1")
 define("cmp", "SELECT s.*, CASE WHEN assessment_status<>'assessable' THEN 'unavailable' WHEN duration_s=0 THEN 'zero_recorded_duration' WHEN duration_s/86400<md THEN 'faster' WHEN duration_s/86400>md THEN 'slower' ELSE 'equal' END AS dir FROM sig s LEFT JOIN med USING (grp) WHERE assessment_status IN ('assessable','context_reference_unavailable')")
 

@@ -153,6 +153,25 @@ def prefix(shop):
     return scoring.prefix_summary(journal(shop))
 
 
+@query("t10_observation_summary", sql(f"""WITH l AS (SELECT *, (t0 IS NOT NULL)::INT+(t1 IS NOT NULL)::INT+(t2 IS NOT NULL)::INT+(t3 IS NOT NULL)::INT AS v, {_INV} AS i, {_TIE} AS e FROM (SELECT * FROM revn QUALIFY revision=max(revision) OVER (PARTITION BY order_id)))
+SELECT 'events_by_activity' AS section, activity AS key, count(*) AS value FROM acc GROUP BY 2 UNION ALL SELECT 'orders_by_visible_events', v::VARCHAR, count(*) FROM l GROUP BY 2
+UNION ALL SELECT 'orders', key, count(*) FROM (SELECT unnest([CASE WHEN true THEN 'observed' END, CASE WHEN t3 IS NOT NULL THEN 'delivery_observed' ELSE 'delivery_not_observed' END, CASE WHEN v=4 THEN 'all_milestones_observed' END,
+ CASE WHEN i<>'' THEN 'observed_inversions' END, CASE WHEN e<>'' THEN 'equal_time_pairs' END]) AS key FROM l) WHERE key IS NOT NULL GROUP BY 2"""))
+def observation_summary(shop):
+    e = accepted(shop)
+    return scoring.observation_summary(e, milestones.latest_states(milestones.milestone_revisions(e)))
+
+
+@query("t10_scenario_summary", sql("""WITH o AS (SELECT mode, order_id, count(*) AS r, count(delay_score) AS s, count(*) FILTER (WHERE delay_score>0) AS w FROM (SELECT * FROM asm QUALIFY revision=max(revision) OVER (PARTITION BY order_id)) GROUP BY 1,2),
+c AS (SELECT mode, count(*) AS orders, sum(r)::BIGINT AS stage_rows, sum(s)::BIGINT AS scored_stage_rows, count(*) FILTER (WHERE s>0) AS orders_with_any_score, count(*) FILTER (WHERE s=3) AS complete_orders, sum(w)::BIGINT AS current_warning_stages, count(*) FILTER (WHERE w>0) AS current_warning_orders FROM o GROUP BY 1),
+d AS (SELECT mode, count(*) FILTER (WHERE action='warning_emitted') AS warning_emissions, count(*) FILTER (WHERE action='warning_emitted' AND t3 IS NULL) AS emissions_before_delivery, count(DISTINCT CASE WHEN action='warning_emitted' AND t3 IS NULL THEN order_id END) AS orders_warned_before_delivery,
+ count(*) FILTER (WHERE action='assessment_withdrawn_after_new_evidence') AS assessment_withdrawals FROM jrn JOIN (SELECT order_id, revision, t3 FROM revn) USING (order_id, revision) GROUP BY 1) SELECT * FROM c JOIN d USING (mode)"""))
+def scenario_summary(shop):
+    revisions = materialize(milestones.milestone_revisions(accepted(shop)), "revisions")
+    reference = peers.FrozenReference.of(peer_plans.reference(shop))
+    return scoring.scenario_summary(materialize(scoring.decision_journal(revisions, reference, context(shop)), "journal"), revisions)
+
+
 _runs: dict[tuple, str] = {}
 
 

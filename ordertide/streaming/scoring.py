@@ -91,6 +91,37 @@ def prefix_summary(journal: DataFrame) -> DataFrame:
     return journal.groupBy("mode", "stage", "action", "assessment_status").agg(F.count(F.lit(1)).alias("decisions"), F.count_distinct("order_id").alias("orders"))
 
 
+def observation_summary(events: DataFrame, states: DataFrame) -> DataFrame:
+    """(section, key, value): accepted events by activity; orders by visible events, delivery, completeness, inversions and ties."""
+    slots = [F.col(slot).isNotNull() for slot in m.SLOTS]
+    visible = sum(slot.cast("int") for slot in slots)
+    facts = [(F.lit(True), "orders_by_visible_events", visible.cast("string")), (F.lit(True), "orders", F.lit("observed")),
+             (slots[-1], "orders", F.lit("delivery_observed")), (~slots[-1], "orders", F.lit("delivery_not_observed")),
+             (visible == len(slots), "orders", F.lit("all_milestones_observed")), (F.size("inversions") > 0, "orders", F.lit("observed_inversions")),
+             (F.size("ties") > 0, "orders", F.lit("equal_time_pairs"))]
+    rows = F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(section).alias("section"), key.alias("key"))) for holds, section, key in facts]))
+    of_orders = states.select(F.inline(rows)).groupBy("section", "key").agg(F.count(F.lit(1)).alias("value"))
+    return of_orders.unionByName(events.groupBy(F.lit("events_by_activity").alias("section"), F.col("activity").alias("key")).agg(F.count(F.lit(1)).alias("value")))
+
+
+def scenario_summary(journal: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Per scenario: current coverage and warnings, warnings emitted, those emitted before delivery was observed, withdrawals."""
+    warned = F.col("delay_score") > 0
+    n = tristate.count_true
+    current = latest_stage_scores(journal).groupBy("mode", "order_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("delay_score").alias("scored"), n(warned).alias("warned"))
+    now = current.groupBy("mode").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("rows").alias("stage_rows"), F.sum("scored").alias("scored_stage_rows"), n(F.col("scored") > 0).alias("orders_with_any_score"),
+        n(F.col("scored") == 3).alias("complete_orders"), F.sum("warned").alias("current_warning_stages"), n(F.col("warned") > 0).alias("current_warning_orders"))
+    delivered = revisions.where("outcome = 'accepted'").select("order_id", "revision", F.col(m.SLOTS[-1]).isNotNull().alias("delivered"))
+    emitted, early = F.col("action") == "warning_emitted", ~F.col("delivered")
+    per_order = journal.join(delivered, ["order_id", "revision"]).groupBy("mode", "order_id").agg(
+        n(emitted).alias("e"), n(emitted & early).alias("b"), n(F.col("action") == "assessment_withdrawn_after_new_evidence").alias("w"))
+    past = per_order.groupBy("mode").agg(F.sum("e").alias("warning_emissions"), F.sum("b").alias("emissions_before_delivery"),
+                                         n(F.col("b") > 0).alias("orders_warned_before_delivery"), F.sum("w").alias("assessment_withdrawals"))
+    return now.join(past, "mode")
+
+
 def read_events_stream(spark: SparkSession, path: str, schema: T.StructType = m.EVENT_SCHEMA, fmt: str = "json",
                        files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)
