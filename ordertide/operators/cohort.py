@@ -87,6 +87,24 @@ def category_overview(ledger: DataFrame) -> DataFrame:
         "period_excluded_fraction", tristate.ratio(F.col("period_orders") - F.col("period_eligible"), F.col("period_orders")))
 
 
+def usage_group_exclusions(ledger: DataFrame) -> DataFrame:
+    """Orders of the common window per category and usage group, and whether the category passed the coverage gate."""
+    rows = ledger.where("category_scope = 'single_category' AND in_window")
+    return rows.groupBy(F.col("single_category_name").alias("category"), "usage_group").agg(
+        F.count(F.lit(1)).alias("orders"), F.max(F.coalesce("candidate", F.lit(False))).alias("category_candidate"))
+
+
+def single_seller_states(included: DataFrame, items: DataFrame, customers: DataFrame, sellers: DataFrame) -> DataFrame:
+    """Per category over orders of one seller: share sold inside the customer's state (unknown states count as different), median total time."""
+    single = included.where("seller_count = 1")
+    seller = items.select("order_id", "seller_id").distinct().join(sellers.select("seller_id", "seller_state"), "seller_id", "left").drop("seller_id")
+    rows = single.select("order_id", "category", "customer_id").join(seller, "order_id").join(customers.select("customer_id", "customer_state"), "customer_id", "left")
+    same = tristate.known_true(F.col("seller_state") == F.col("customer_state"))
+    counted = rows.groupBy("category").agg(F.count(F.lit(1)).alias("single_seller_orders"), _n(same).alias("same_state_orders"))
+    counted = counted.withColumn("same_state_fraction", tristate.ratio(F.col("same_state_orders"), F.col("single_seller_orders")))
+    return counted.join(ordered.quantiles(single, ["category"], "total_s", {"median_total_days": .5}, scale=86400, width=ordered.WEEK), "category")
+
+
 def seller_composition(included: DataFrame, items: DataFrame) -> DataFrame:
     """Seller structure per category; the largest seller comes from a two-level count."""
     base = included.groupBy("category").agg(F.count(F.lit(1)).alias("comparison_orders"), _n(F.col("seller_count") == 1).alias("single_seller_orders"),

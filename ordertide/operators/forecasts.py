@@ -113,6 +113,14 @@ def error_concentration(errors: DataFrame, keys: list[str], error: str, signed:
                                "under_prediction_share": F.col("under_predicted") / F.col("orders")})
 
 
+def error_quantiles(errors: DataFrame, keys: list[str], actual: str, signed: str, width: float = ordered.UNITS) -> DataFrame:
+    """Per group: mean, median and 90 % quantile of the outcome, mean signed error, 90 % quantile of the absolute error."""
+    rows = errors.withColumn("_abs", F.abs(F.col(signed)))
+    means = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("orders"), F.avg(actual).alias("actual_mean"), F.avg(signed).alias("mean_signed_error"))
+    of_actual = ordered.quantiles(rows, keys, actual, {"actual_median": .5, "actual_p90": .9}, width=width)
+    return means.join(of_actual, keys).join(ordered.quantiles(rows, keys, "_abs", {"absolute_error_p90": .9}, width=width), keys)
+
+
 def followup_audit(orders: DataFrame, horizons: list[int]) -> DataFrame:
     """(order, horizon) follow-up state; maturity is strictly before the cutoff.
 
@@ -141,6 +149,24 @@ def feature_shift(df: DataFrame, features: list[str], fit: Column, period: str,
         "outside_fraction", F.col("outside_rows") / F.col("rows"))
 
 
+def fit_quantiles(df: DataFrame, features: list[str], fit: Column, width: float = ordered.UNITS) -> DataFrame:
+    """Per feature over the fit rows: count, range, 1 %, 50 % and 99 % quantiles."""
+    pieces = ", ".join(f"'{f}', cast({f} as bigint)" for f in features)
+    long = df.where(fit).select(F.expr(f"stack({len(features)}, {pieces}) AS (feature, v)")).where("v IS NOT NULL")
+    spread = long.groupBy("feature").agg(F.count(F.lit(1)).alias("fit_rows"), F.min("v").alias("fit_min"), F.max("v").alias("fit_max"))
+    return spread.join(ordered.quantiles(long, ["feature"], "v", {"fit_q01": .01, "fit_median": .5, "fit_q99": .99}, width=width), "feature")
+
+
+def group_support(df: DataFrame, group: list[str], fit: Column, period: str) -> DataFrame:
+    """Per later period: rows, and rows and distinct groups that the fit rows never showed. Counts per group meet, not rows."""
+    seen = df.where(fit).groupBy(*group).agg(F.count(F.lit(1)).alias("fit_rows"))
+    later = ordered.join_groups(df.where(~fit).groupBy(period, *group).agg(F.count(F.lit(1)).alias("n")), seen, group)
+    unseen = F.col("fit_rows").isNull()
+    return later.groupBy(period).agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(unseen, F.col("n"))), F.lit(0)).alias("unseen_rows"), F.count(F.when(unseen, 1)).alias("unseen_groups"),
+        F.min(F.coalesce("fit_rows", F.lit(0))).alias("least_fit_rows"))
+
+
 def gbt_median_forecast(rows: DataFrame, fit: DataFrame, target: str, numeric: list[str], categorical: list[str], iterations: int = 20,
                         seed: int = 7) -> DataFrame:
     """Boosted trees with absolute loss (median); unseen categories get their own level."""

@@ -91,6 +91,17 @@ def seller_composition(shop):
     return rounded(cohort.seller_composition(timed(shop), shop.items))
 
 
+@query("a16_usage_group_exclusions", sql("SELECT single_category_name AS category, usage_group, count(*) AS orders, bool_or(coalesce(candidate,false)) AS category_candidate FROM led WHERE category_scope='single_category' AND in_window GROUP BY 1,2"))
+def usage_exclusions(shop):
+    return cohort.usage_group_exclusions(ledger(shop))
+
+
+@query("a17_single_seller_states", sql("""SELECT category, count(*) AS single_seller_orders, count(*) FILTER (WHERE seller_state=customer_state) AS same_state_orders, round(count(*) FILTER (WHERE seller_state=customer_state)/count(*),6) AS same_state_fraction, round(quantile_cont(total_s::DOUBLE,0.5)/86400,6) AS median_total_days
+FROM (SELECT order_id, category, customer_id, total_s FROM inc WHERE seller_count=1) JOIN (SELECT DISTINCT order_id, seller_id FROM item) USING (order_id) LEFT JOIN (SELECT seller_id, seller_state FROM sell) USING (seller_id) LEFT JOIN (SELECT customer_id, customer_state FROM cust) USING (customer_id) GROUP BY 1"""))
+def seller_states(shop):
+    return rounded(cohort.single_seller_states(timed(shop), shop.items, shop.customers, shop.sellers))
+
+
 @query("a18_direct_standardization", sql("""WITH c AS (SELECT category, year(purchased_at)::BIGINT AS y, count(*) AS n, sum(total_s)::BIGINT AS s FROM inc GROUP BY 1,2), k AS (SELECT y FROM c WHERE n>=3 GROUP BY 1 HAVING count(*)=(SELECT count(DISTINCT category) FROM c))
 SELECT category, sum(n)::BIGINT AS orders, coalesce(sum(n) FILTER (WHERE y IN (SELECT y FROM k)),0)::BIGINT AS supported_orders, (SELECT count(*) FROM k) AS common_strata, round(sum(s)/sum(n)/86400,6) AS raw_mean_days,
  round(sum(s) FILTER (WHERE y IN (SELECT y FROM k))/sum(n) FILTER (WHERE y IN (SELECT y FROM k))/86400,6) AS supported_mean_days, round(sum(s/n) FILTER (WHERE y IN (SELECT y FROM k))/(SELECT count(*) FROM k)/86400,6) AS standardized_mean_days FROM c GROUP BY 1"""))

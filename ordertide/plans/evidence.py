@@ -274,6 +274,25 @@ def concentration(shop):
     return rounded(forecasts.error_concentration(e, ["role"], "e", "s"))
 
 
+@query("a45_error_quantiles", sql("""SELECT role, count(*) AS orders, round(avg(quantity),6) AS actual_mean, round(avg(quantity-100),6) AS mean_signed_error, round(quantile_cont(quantity::DOUBLE,0.5),6) AS actual_median, round(quantile_cont(quantity::DOUBLE,0.9),6) AS actual_p90,
+ round(quantile_cont(abs(quantity-100)::DOUBLE,0.9),6) AS absolute_error_p90 FROM meas GROUP BY 1"""))
+def error_quantiles(shop):
+    return rounded(forecasts.error_quantiles(shop.measures.withColumn("s", F.col("quantity") - 100), ["role"], "quantity", "s"))
+
+
+@query("a46_fit_quantiles", sql(" UNION ALL ".join(f"""SELECT '{f}' AS feature, count(*) AS fit_rows, min({f}) AS fit_min, max({f}) AS fit_max, round(quantile_cont({f}::DOUBLE,0.01),6) AS fit_q01, round(quantile_cont({f}::DOUBLE,0.5),6) AS fit_median, round(quantile_cont({f}::DOUBLE,0.99),6) AS fit_q99
+ FROM meas WHERE role='fit'""" for f in det.FEATURES)))
+def fit_quantiles(shop):
+    return rounded(forecasts.fit_quantiles(shop.measures, det.FEATURES, F.col("role") == "fit"))
+
+
+@query("a46_group_support", sql("""WITH f AS (SELECT raw_status, quantity//50 AS b, count(*) AS k FROM meas WHERE role='fit' GROUP BY 1,2), l AS (SELECT role, raw_status, quantity//50 AS b, count(*) AS n FROM meas WHERE role<>'fit' GROUP BY 1,2,3)
+SELECT role, sum(n)::BIGINT AS rows, coalesce(sum(n) FILTER (WHERE k IS NULL),0)::BIGINT AS unseen_rows, count(*) FILTER (WHERE k IS NULL) AS unseen_groups, min(coalesce(k,0))::BIGINT AS least_fit_rows FROM l LEFT JOIN f USING (raw_status, b) GROUP BY 1"""))
+def group_support(shop):
+    banded = shop.measures.withColumn("b", F.floor(F.col("quantity") / 50))
+    return forecasts.group_support(banded, ["raw_status", "b"], F.col("role") == "fit", "role")
+
+
 @query("a46_feature_shift", sql(" UNION ALL ".join(f"""SELECT '{f}' AS feature, role, (SELECT min({f}) FROM meas WHERE role='fit') AS fit_min, (SELECT max({f}) FROM meas WHERE role='fit') AS fit_max, count(*) AS rows, count(*) FILTER (WHERE {f}<(SELECT min({f}) FROM meas WHERE role='fit') OR {f}>(SELECT max({f}) FROM meas WHERE role='fit')) AS outside_rows,
  round(quantile_cont({f}::DOUBLE,0.5),6) AS median, round(count(*) FILTER (WHERE {f}<(SELECT min({f}) FROM meas WHERE role='fit') OR {f}>(SELECT max({f}) FROM meas WHERE role='fit'))/count(*),6) AS outside_fraction FROM meas WHERE role<>'fit' GROUP BY 2""" for f in det.FEATURES)))
 def feature_shift(shop):
