@@ -87,6 +87,15 @@ def category_overview(ledger: DataFrame) -> DataFrame:
         "period_excluded_fraction", tristate.ratio(F.col("period_orders") - F.col("period_eligible"), F.col("period_orders")))
 
 
+def vote_levels(cases: DataFrame, flags: list[str]) -> DataFrame:
+    """Cases and share per number of flags, unknown flags counted as not raised, with the level of agreement."""
+    votes = sum(F.coalesce(F.col(f), F.lit(False)).cast("int") for f in flags)
+    per = cases.groupBy(votes.alias("votes")).agg(F.count(F.lit(1)).alias("cases"))
+    level = F.when(F.col("votes") == 0, "none").when(F.col("votes") == 1, "single").when(F.col("votes") < len(flags), "majority").otherwise("all")
+    total = per.agg(F.sum("cases").alias("_all"))
+    return ordered.attach_one_row(per, total).select("votes", level.alias("level"), "cases", (100 * F.col("cases") / F.col("_all")).alias("percent"))
+
+
 def usage_group_exclusions(ledger: DataFrame) -> DataFrame:
     """Orders of the common window per category and usage group, and whether the category passed the coverage gate."""
     rows = ledger.where("category_scope = 'single_category' AND in_window")

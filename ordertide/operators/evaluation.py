@@ -138,6 +138,16 @@ def candidate_stability(monthly: DataFrame) -> DataFrame:
                        (100 * F.sqrt(F.greatest(F.lit(0.0), F.col("_m2") - F.col("rate") * F.col("rate")))).alias("rate_weighted_sd_pp"))
 
 
+def calibration_gap(flags: DataFrame) -> DataFrame:
+    """Per candidate: rate where its threshold was set, rate afterwards, and their difference in percentage points."""
+    def side(role):
+        return F.count(F.when(F.col("role") == role, 1)), F.count(F.when((F.col("role") == role) & F.col("flag"), 1))
+    (n0, k0), (n1, k1) = side("calibration"), side("validation")
+    per = flags.groupBy("candidate").agg(n0.alias("calibration_cases"), n1.alias("validation_cases"),
+                                         tristate.ratio(k0, n0).alias("calibration_rate"), tristate.ratio(k1, n1).alias("validation_rate"))
+    return per.withColumn("gap_pp", 100 * (F.col("validation_rate") - F.col("calibration_rate")))
+
+
 def threshold_sensitivity(flags: DataFrame) -> DataFrame:
     """Each cutoff against the next stricter one of the same score; works on one row per candidate."""
     per = flags.groupBy("score_column", "candidate", "threshold").agg(F.count(F.lit(1)).alias("scored_cases"), F.count(F.when(F.col("flag"), 1)).alias("flags"))

@@ -147,6 +147,22 @@ def stage_comparison(stages: DataFrame, groups: DataFrame) -> DataFrame:
         ("unavailable", ~ok), ("zero_recorded_duration", d == 0), ("faster", d < F.col("median_days")), ("slower", d > F.col("median_days"))], "equal"))
 
 
+def excess_by_dimension(stages: DataFrame, groups: DataFrame, dimensions: list[str]) -> DataFrame:
+    """Per stage and value of each dimension (and overall), over assessable rows: median duration and its excess over the peers' median, in days.
+
+    Rows are listed once per dimension; medians come from chunks, so a value with most rows is not one task.
+    """
+    compared = stages.where("assessable").join(groups.select("group", "median_days"), "group", "left")
+    sides = F.array(F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("group_value")),
+                    *[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("group_value")) for d in dimensions])
+    rows = compared.select("stage", peers.DURATION, "median_days", F.inline(sides))
+    keys = ["stage", "dimension", "group_value"]
+    excess = F.greatest(F.lit(0.0), F.col(peers.DURATION) / 86400 - F.col("median_days"))
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("assessed_orders"), F.count(F.when(excess > 0, 1)).alias("orders_above_peers"), F.sum(excess).alias("excess_days"))
+    medians = ordered.quantiles(rows, keys, peers.DURATION, {"own_median_days": .5}, scale=86400, width=ordered.WEEK)
+    return ordered.join_groups(sums, medians, keys)
+
+
 def early_explanation(compared: DataFrame) -> DataFrame:
     """Order class: is an early delivery accompanied by a stage faster than its reference median?"""
     n = lambda *names: F.count(F.when(F.col("comparison_direction").isin(*names), 1))

@@ -153,6 +153,12 @@ def detector_overlap(shop):
     return rounded(cohort.overlap_groups(funnel_flags(shop), ["low_fit", "reversed", "missing"]))
 
 
+@query("a28_vote_levels", sql("""SELECT votes, CASE votes WHEN 0 THEN 'none' WHEN 1 THEN 'single' WHEN 2 THEN 'majority' ELSE 'all' END AS level, count(*) AS cases, round(100.0*count(*)/(SELECT count(*) FROM ff),6) AS percent
+FROM (SELECT coalesce(low_fit,false)::INT+coalesce(reversed,false)::INT+coalesce(missing,false)::INT AS votes FROM ff) GROUP BY 1"""))
+def vote_levels(shop):
+    return rounded(cohort.vote_levels(funnel_flags(shop), ["low_fit", "reversed", "missing"]))
+
+
 @query("a29_variant_profiles", sql("SELECT fitness_band, variant, count(*) AS cases, count(*) FILTER (WHERE reversed) AS anomalies, round(count(*) FILTER (WHERE reversed)/count(*),6) AS anomaly_rate FROM ff GROUP BY 1,2"))
 def variant_profiles(shop):
     return rounded(funnel_flags(shop).groupBy("fitness_band", "variant").agg(F.count(F.lit(1)).alias("cases"), F.count(F.when(F.col("reversed"), 1)).alias("anomalies")).withColumn(

@@ -304,6 +304,12 @@ def stability(shop):
     return rounded(out).withColumn("rate_weighted_sd_pp", F.round("rate_weighted_sd_pp", 5))
 
 
+@query("e10_calibration_gap", sql("""SELECT candidate, count(*) FILTER (WHERE role='calibration') AS calibration_cases, count(*) FILTER (WHERE role='validation') AS validation_cases, round(count(*) FILTER (WHERE role='calibration' AND flag)/count(*) FILTER (WHERE role='calibration'),6) AS calibration_rate,
+ round(count(*) FILTER (WHERE role='validation' AND flag)/count(*) FILTER (WHERE role='validation'),6) AS validation_rate, round(100*(count(*) FILTER (WHERE role='validation' AND flag)/count(*) FILTER (WHERE role='validation')-count(*) FILTER (WHERE role='calibration' AND flag)/count(*) FILTER (WHERE role='calibration')),6) AS gap_pp FROM flg GROUP BY 1"""))
+def calibration_gap(shop):
+    return rounded(evaluation.calibration_gap(flags(shop)))
+
+
 @query("e11_threshold_sensitivity", sql("""WITH p AS (SELECT score_column, candidate, threshold, count(*) FILTER (WHERE flag) AS f FROM flg WHERE role='validation' GROUP BY 1,2,3), n AS (SELECT *, lead(candidate) OVER w AS sc, lead(threshold) OVER w AS st, lead(f) OVER w AS sf FROM p WINDOW w AS (PARTITION BY score_column ORDER BY threshold, candidate))
 SELECT score_column, candidate AS looser_candidate, sc AS stricter_candidate, threshold AS looser_threshold, st AS stricter_threshold, f AS looser_flags, sf AS stricter_flags, f-sf AS removed_flags, f=sf AS observed_plateau FROM n WHERE sc IS NOT NULL"""))
 def sensitivity(shop):
@@ -529,6 +535,15 @@ def group_compare(shop):
     return rounded(base.join(ordered.quantiles(j, ["flag"], "price_cents", {"median": .5}, width=ordered.UNITS), "flag"), 4)
 
 
+_SPREAD = {"p05": .05, "q25": .25, "q75": .75, "p95": .95, "largest": 1.0}
+
+
+@query("e33_flagged_quantiles", sql("SELECT candidate, flag, count(*) AS rows, " + ", ".join(f"round(quantile_cont(price_cents::DOUBLE,{p}),4) AS {n}" for n, p in _SPREAD.items()) + " FROM flg JOIN (SELECT order_id, price_cents FROM meas) USING (order_id) GROUP BY 1,2"))
+def flagged_quantiles(shop):
+    j = flags(shop).select("order_id", "candidate", "flag").join(matrix(shop).select("order_id", "price_cents"), "order_id")
+    return rounded(ordered.quantiles(j, ["candidate", "flag"], "price_cents", _SPREAD, count="rows", width=ordered.UNITS), 4)
+
+
 @query("e34_latency_summary", """SELECT event_type, count(*) AS events, round(quantile_cont(value,0.5),6) AS p50, round(quantile_cont(value,0.95),6) AS p95, round(max(value),6) AS worst FROM events GROUP BY 1""")
 def latency(shop):
     e = shop.table("events").withColumn("micro", F.round(F.col("value") * 100).cast("long"))

@@ -115,6 +115,12 @@ define("med", "SELECT grp, quantile_cont(duration_s::DOUBLE,0.5)/86400 AS md FRO
 define("cmp", "SELECT s.*, CASE WHEN assessment_status<>'assessable' THEN 'unavailable' WHEN duration_s=0 THEN 'zero_recorded_duration' WHEN duration_s/86400<md THEN 'faster' WHEN duration_s/86400>md THEN 'slower' ELSE 'equal' END AS dir FROM sig s LEFT JOIN med USING (grp) WHERE assessment_status IN ('assessable','context_reference_unavailable')")
 
 
+@query("a33_excess_by_dimension", sql(" UNION ALL ".join(f"""SELECT stage, '{d}' AS dimension, {v} AS group_value, count(*) AS assessed_orders, count(*) FILTER (WHERE duration_s/86400>md) AS orders_above_peers, round(sum(greatest(0.0, duration_s/86400-md)),3) AS excess_days,
+ round(quantile_cont(duration_s::DOUBLE,0.5)/86400,3) AS own_median_days FROM sig LEFT JOIN med USING (grp) WHERE assessment_status='assessable' GROUP BY 1,3""" for d, v in [("overall", "'all'"), ("customer_state", "customer_state"), ("purchase_month", "purchase_month"), ("distance_band", "distance_band")])))
+def excess_by_dimension(shop):
+    return rounded(evidence.excess_by_dimension(ranked(shop), peers.reference_groups(peer_plans.reference(shop)), ["customer_state", "purchase_month", "distance_band"]), 3)
+
+
 @query("f10_stage_comparison", sql("""WITH o AS (SELECT order_id, performance_state, performance_eligible, count(*) FILTER (WHERE dir='faster') AS faster_stages, count(*) FILTER (WHERE dir='slower') AS slower_stages, count(*) FILTER (WHERE dir IN ('faster','slower','equal')) AS compared_stages FROM cmp GROUP BY 1,2,3)
 SELECT order_id, faster_stages, slower_stages, compared_stages, CASE WHEN NOT performance_eligible THEN 'delivery_outcome_unavailable' WHEN performance_state<>'early' THEN 'not_early_delivery' WHEN faster_stages>0 AND compared_stages=3 THEN 'early_with_faster_stage' WHEN faster_stages>0 THEN 'early_with_faster_stage_partial_comparison'
  WHEN compared_stages=3 THEN 'early_without_faster_stage' ELSE 'early_insufficient_stage_evidence' END AS early_delivery_explanation FROM o"""))
