@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,6 +184,8 @@ def _once(shop, name, build):
 
 SLICES = ["1999-07-01 00:00:00", "2000-01-01 00:00:00"]
 DELAY_DAYS = 30
+#: The last slice of ``arrivals``: events after the close are in slice 4, and an approval comes up to two slices late.
+LAST_SLICE = 6
 
 
 def slices_by_time(rows, bounds):
@@ -222,22 +223,27 @@ def arrivals(shop):
 
 
 def run_arrivals(shop):
-    """Replay ``arrivals`` in five runs; returns the sink folder. The last row of state must be gone at the end."""
+    """Replay ``arrivals`` in a run per slice; returns the sink folder. The last row of state must be gone at the end.
+
+    ``state`` holds per run the rows of state it left, ``epochs`` the run of each micro-batch; a run without rows may have neither.
+    """
     def build(folder):
         rows = materialize(arrivals(shop), "arrivals")
-        runs = scoring.replay([rows.where(F.col("slice") == k).drop("slice") for k in range(1, 6)], folder, _start(shop, folder))
-        states = [(k, p["stateOperators"][0]["numRowsTotal"]) for k, p in enumerate(runs, 1)]
+        runs = scoring.replay_progress([rows.where(F.col("slice") == k).drop("slice") for k in range(1, LAST_SLICE + 1)], folder, _start(shop, folder))
+        states = [(k, progress[-1]["stateOperators"][0]["numRowsTotal"]) for k, progress in enumerate(runs, 1) if progress and progress[-1]["stateOperators"]]
         shop.spark.createDataFrame(states, "run long, state_rows long").coalesce(1).write.parquet(f"{folder}/out/state")
+        epochs = [(p["batchId"], k) for k, progress in enumerate(runs, 1) for p in progress if p["numInputRows"]]
+        shop.spark.createDataFrame(epochs, "epoch int, batch long").coalesce(1).write.parquet(f"{folder}/out/epochs")
         return f"{folder}/out"
     return _once(shop, "arrival-stream", build)
 
 
 def outcomes(shop):
-    """Every row of the arrival replay with its outcome and its data-bearing micro-batch, counted from 1."""
+    """Every row of the arrival replay with its outcome and the slice its micro-batch delivered."""
     out = run_arrivals(shop)
     rows = [shop.spark.read.schema("order_id string, activity string, occurred_at string, outcome string, epoch int").parquet(f"{out}/{part}") for part in ("revisions", "late", "rejects")]
     rows = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    epochs = rows.select("epoch").distinct().withColumn("batch", F.dense_rank().over(W.orderBy("epoch")).cast("long"))  # one row per micro-batch
+    epochs = shop.spark.read.schema("epoch int, batch long").parquet(f"{out}/epochs")  # one row per micro-batch
     return rows.join(F.broadcast(epochs), "epoch")
 
 

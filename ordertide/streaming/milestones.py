@@ -2,7 +2,7 @@
 
 The state of an order is a pure function of its observed milestone set, so it is derived with
 columns; only "which milestones were already seen" lives in the keyed state (at most one entry per
-activity and order).
+activity and order, filed under a bucket of orders).
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ EVENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in
                              ["schema_version", "event_id", "order_id", "activity", "occurred_at"]])
 SLOTS = ["t0", "t1", "t2", "t3"]
 STAGES = [("approval", 0, 1), ("handling", 1, 2), ("transport", 2, 3)]
+#: Groups of orders in the keyed state; fixed for the life of a checkpoint.
+BUCKETS = 1024
 REVISION_SCHEMA = T.StructType(
     [T.StructField("order_id", T.StringType()), T.StructField("revision", T.LongType()), T.StructField("event_id", T.StringType()),
      T.StructField("activity", T.StringType()), T.StructField("occurred_at", T.StringType()), T.StructField("outcome", T.StringType())]
@@ -60,11 +62,12 @@ def validate_events(events: DataFrame, id_pattern: str, start: str, cutoff: str)
 
 
 class MilestoneProcessor(StatefulProcessor):
-    """Per order: which milestones were seen, until the window closes. Emits one row per event with its outcome.
+    """Per bucket of orders: which milestones were seen, until the window closes. Emits one row per event with its outcome.
 
     A known event is a replay; else, once the watermark has passed the close, it is refused; one behind the watermark is late; another
     event for a milestone already seen is a conflict. Only accepted events change the state. The close is an event-time
-    timer: it emits nothing and ends the state. Rows with a reject reason pass through.
+    timer: it emits nothing and ends the state. Rows with a reject reason pass through. Orders do not touch each other; a bucket
+    only shares the calls to the state store, which cost more than the events of one order. Accepted events are appended.
     """
 
     def __init__(self, close_ms: int) -> None:
@@ -72,21 +75,25 @@ class MilestoneProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._seen = handle.getMapState("seen", "activity string", "event_id string, occurred_at string")
+        self._seen = handle.getListState("seen", "order_id string, activity string, event_id string, occurred_at string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
         watermark = timerValues.getCurrentWatermarkInMs()
         incoming, out, none = {}, [], [None] * 8
         for pdf in rows:  # distinct events only; copies collapse here
-            for e, a, t, reason, ms in zip(pdf["event_id"], pdf["activity"], pdf["occurred_at"], pdf["reject_reason"], pdf["at_ms"], strict=True):
+            for order, e, a, t, reason, ms in zip(*(pdf[c].tolist() for c in ["order_id", "event_id", "activity", "occurred_at", "reject_reason", "at_ms"]), strict=True):
                 if reason is not None:
-                    out.append((key[0], None, e, a, t, reason, *none))
+                    out.append((order, None, e, a, t, reason, *none))
                 else:
-                    incoming[(t, ACTIVITIES.index(a), e, ms)] = incoming.get((t, ACTIVITIES.index(a), e, ms), 0) + 1
-        seen = {k[0]: v for k, v in self._seen.iterator()}
-        had = bool(seen)
-        for (t, rank, e, ms), copies in sorted(incoming.items()):
-            activity = ACTIVITIES[rank]
+                    event = (order, t, ACTIVITIES.index(a), e, ms)
+                    incoming[event] = incoming.get(event, 0) + 1
+        known, new = {}, []
+        if incoming:
+            for order, activity, e, t in self._seen.get():
+                known.setdefault(order, {})[activity] = (e, t)
+        had = bool(known)
+        for (order, t, rank, e, ms), copies in sorted(incoming.items()):
+            activity, seen = ACTIVITIES[rank], known.setdefault(order, {})
             before = [seen[a][1] if a in seen else None for a in ACTIVITIES]
             if activity in seen and seen[activity][0] == e:
                 outcome = "replayed"
@@ -99,13 +106,15 @@ class MilestoneProcessor(StatefulProcessor):
             else:
                 outcome = "accepted"
                 seen[activity] = (e, t)
-                self._seen.updateValue((activity,), (e, t))
+                new.append((order, activity, e, t))
             after = [seen[a][1] if a in seen else None for a in ACTIVITIES]
-            out.append((key[0], len(seen), e, activity, t, outcome, *before, *after))
+            out.append((order, len(seen), e, activity, t, outcome, *before, *after))
             again = "replayed" if outcome == "accepted" else outcome
-            out += [(key[0], len(seen), e, activity, t, again, *after, *after)] * (copies - 1)
-        if seen and not had:
-            self._handle.registerTimer(self._close_ms)
+            out += [(order, len(seen), e, activity, t, again, *after, *after)] * (copies - 1)
+        if new:
+            self._seen.appendList(new)
+            if not had:
+                self._handle.registerTimer(self._close_ms)
         yield pd.DataFrame(out, columns=REVISION_SCHEMA.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
@@ -116,8 +125,8 @@ class MilestoneProcessor(StatefulProcessor):
         pass
 
 
-def milestone_revisions_stream(checked: DataFrame, close: str = "9999-12-31 00:00:00", delay: str = "36500 days") -> DataFrame:
-    """Streaming outcomes keyed by order of events, with or without ``reject_reason`` (see ``validate_events``).
+def milestone_revisions_stream(checked: DataFrame, close: str = "9999-12-31 00:00:00", delay: str = "36500 days", buckets: int = BUCKETS) -> DataFrame:
+    """Streaming outcomes of events, kept per order in buckets of orders, with or without ``reject_reason`` (see ``validate_events``).
 
     The watermark follows every readable event time, ``delay`` behind. The operator itself gets plain milliseconds, so Spark drops no
     row before the processor has said what becomes of it. State holds at most one entry per activity and order, and none
@@ -128,9 +137,9 @@ def milestone_revisions_stream(checked: DataFrame, close: str = "9999-12-31 00:0
     at = F.try_to_timestamp("occurred_at", F.lit(TIME_FORMAT))
     timed = checked.withColumn("at", at).withWatermark("at", delay)
     rows = timed.select(F.coalesce("order_id", F.lit("")).alias("order_id"), "event_id", "activity", "occurred_at", "reject_reason",
-                        F.unix_millis("at").alias("at_ms"))
+                        F.unix_millis("at").alias("at_ms")).withColumn("bucket", F.pmod(F.xxhash64("order_id"), F.lit(buckets)))
     close_ms = int(datetime.fromisoformat(close).replace(tzinfo=UTC).timestamp() * 1000)
-    return rows.groupBy("order_id").transformWithStateInPandas(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=MilestoneProcessor(close_ms), outputStructType=REVISION_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 

@@ -216,11 +216,11 @@ def write_decision_stream(revisions: DataFrame, path: str, checkpoint: str, refe
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replay(slices: list[DataFrame], folder: str, start) -> list[dict]:
+def replay_progress(slices: list[DataFrame], folder: str, start) -> list[list[dict]]:
     """Deliver slices one after another, each to a run of its own that resumes from the checkpoint of the one before.
 
     ``start`` gives a started query over ``folder``/in. Order comes from the runs, not from file names or times, of which a file source
-    only knows the latter. Returns the last progress of each run.
+    only knows the latter. Returns the progress of each run by micro-batch; a run without rows may have none.
     """
     seen = []
     for rows in slices:
@@ -229,5 +229,10 @@ def replay(slices: list[DataFrame], folder: str, start) -> list[dict]:
         running.awaitTermination()
         if running.exception():
             raise running.exception()
-        seen.append(running.lastProgress)
+        seen.append(running.recentProgress)
     return seen
+
+
+def replay(slices: list[DataFrame], folder: str, start) -> list[dict]:
+    """The last progress of each run of ``replay_progress``."""
+    return [progress[-1] if progress else None for progress in replay_progress(slices, folder, start)]

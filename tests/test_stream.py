@@ -86,3 +86,25 @@ def test_frozen_reference_ranks_like_counting(spark):
         got = {r["duration_s"]: (r["ref_upto"], r["ref_n"], r["ref_sum_s"]) for r in peers.select_peers(rows, frozen).collect()}
         assert got == {d: (sum(x <= d for x in durations), 90, sum(durations)) for d in probes}
     assert list(itertools.chain(peers.FrozenReference.of(halves, levels, [], 41).statistics.collect())) == []
+
+
+def test_the_arrival_replay_delivers_every_slice(spark, tmp_path):
+    """An approval after the close that comes two slices late, and no rows in the second and fifth slice."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tests.harness import compare
+
+    orders = [(11, "2000-05-30", "5-LOW"), (22, "1999-03-01", "5-LOW"), (7, "1999-03-02", "2-HIGH")]
+    lines = [(11, "2000-07-15", "N"), (22, "1999-03-08", "N"), (7, "1999-03-09", "N")]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate string, o_orderpriority string").selectExpr(
+        "o_orderkey", "1L AS o_custkey", "'F' AS o_orderstatus", "10.0D AS o_totalprice", "CAST(o_orderdate AS timestamp_ntz) AS o_orderdate", "o_orderpriority").coalesce(
+        1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_shipdate string, l_returnflag string").selectExpr(
+        "l_orderkey", "CAST(l_shipdate AS timestamp_ntz) AS l_shipdate", "l_returnflag").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("t02_dedupe_stream", "t05_late_arrival_stream", "t06_close_window_stream"):
+        ok, rows, note = compare(con, spark, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
+        assert ok and rows, f"{name}: {note}"
