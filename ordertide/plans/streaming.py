@@ -28,8 +28,20 @@ def accepted(shop):
     return milestones.validate_events(events(shop), ID, START, CUTOFF).where("reject_reason IS NULL").drop("reject_reason")
 
 
+def written_orders(shop):
+    """The orders in context, written once: both the reference and the projection of a scoring query read them."""
+    if "_written_orders" not in shop.__dict__:
+        shop.__dict__["_written_orders"] = shop.__dict__["contextual_orders"] = materialize(shop.contextual_orders, "orders-in-context")
+    return shop.__dict__["_written_orders"]
+
+
+def frozen_reference(shop):
+    written_orders(shop)
+    return peers.FrozenReference.of(peer_plans.reference(shop))
+
+
 def context(shop):
-    rows = shop.contextual_orders.select(
+    rows = written_orders(shop).select(
         "order_id", "customer_state", "distance_band", F.when(F.col("seller_count") == 1, "single_seller_order").otherwise("multi_seller_order").alias("seller_attribution_scope"),
         F.when(F.col("product_count") == 1, F.col("first_product")).alias("product_id"), F.when(F.col("seller_count") == 1, F.col("first_seller")).alias("single_seller_id"),
         "item_count", ((F.col("product_count") == 1) & (F.col("seller_count") == 1)).alias("product_attributable"),
@@ -102,7 +114,7 @@ def close_window(shop):
 
 
 def journal(shop):
-    reference = peers.FrozenReference.of(peer_plans.reference(shop))
+    reference = frozen_reference(shop)
     return materialize(scoring.decision_journal(materialize(milestones.milestone_revisions(accepted(shop)), "revisions"), reference, context(shop)), "journal")
 
 
@@ -124,7 +136,7 @@ define("jrn", """SELECT *, CASE WHEN delay_score>0 THEN 'warning_emitted' WHEN d
 @query("t07_score_stages", sql("SELECT order_id, revision, stage, mode, assessment_status, duration_s, round(delay_score,6) AS delay_score FROM asm"))
 def score_stages(shop):
     revisions = materialize(milestones.milestone_revisions(accepted(shop)), "revisions")
-    a = scoring.assess(revisions, ["order_id", "revision"], "", peers.FrozenReference.of(peer_plans.reference(shop)), context(shop), 30)
+    a = scoring.assess(revisions, ["order_id", "revision"], "", frozen_reference(shop), context(shop), 30)
     return rounded(a.select("order_id", "revision", "stage", "mode", "assessment_status", "duration_s", "delay_score"))
 
 
@@ -167,7 +179,7 @@ d AS (SELECT mode, count(*) FILTER (WHERE action='warning_emitted') AS warning_e
  count(*) FILTER (WHERE action='assessment_withdrawn_after_new_evidence') AS assessment_withdrawals FROM jrn JOIN (SELECT order_id, revision, t3 FROM revn) USING (order_id, revision) GROUP BY 1) SELECT * FROM c JOIN d USING (mode)"""))
 def scenario_summary(shop):
     revisions = materialize(milestones.milestone_revisions(accepted(shop)), "revisions")
-    reference = peers.FrozenReference.of(peer_plans.reference(shop))
+    reference = frozen_reference(shop)
     return scoring.scenario_summary(materialize(scoring.decision_journal(revisions, reference, context(shop)), "journal"), revisions)
 
 
@@ -205,7 +217,7 @@ def run_stream(shop):
     """Replay the accepted events in three slices of event time, each a run resumed from the checkpoint; returns the sink folder."""
     def build(folder):
         events_ = materialize(accepted(shop), "events")
-        sink = {"reference": peers.FrozenReference.of(peer_plans.reference(shop)), "context": materialize(context(shop), "context")}
+        sink = {"reference": frozen_reference(shop), "context": materialize(context(shop), "context")}
         scoring.replay(list(slices_by_time(events_, SLICES)), folder, _start(shop, folder, **sink))
         return f"{folder}/out"
     return _once(shop, "milestone-stream", build)

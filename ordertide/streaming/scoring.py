@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from ordertide.functions import tristate
 from ordertide.operators import peers
-from ordertide.session import materialize
 from ordertide.streaming import milestones as m
 
 # The two context availability scenarios.
@@ -31,11 +30,14 @@ def assess(states: DataFrame, key: list[str], prefix: str, reference: DataFrame,
         ("observed_timeline_conflict", F.size("inversions") > 0), ("equal_timestamp_order_unresolved", F.size("ties") > 0),
         ("stage_endpoint_not_observed", F.col("duration_s").isNull()), ("nonpositive_or_unresolved_stage", F.col("duration_s") <= 0),
         ("purchase_not_observed", F.col("_purchase").isNull())])
-    gated = rows.withColumn("gate", gate).withColumn("_key", F.concat_ws("#", *key))
-    open_rows = gated.where("gate IS NULL AND all_pairs_quality_eligible AND distance_band IS NOT NULL")
-    scored = peers.stage_delay_score(open_rows.drop("order_id").withColumnRenamed("_key", "order_id"), reference, minimum).select(
-        F.col("order_id").alias("_key"), "stage", "reference_scope", "ref_n", "delay_score", "severity", "delay_warning")
-    joined = gated.join(scored, ["_key", "stage"], "left").withColumn("mode", F.explode(F.array(*[F.lit(x) for x in MODES])))
+    gated = rows.withColumn("gate", gate)
+    # A score depends on the order's context and the duration: each duration of an order's stage is scored once, in however many states it stands.
+    cell = ["order_id", "stage", "duration_s"]
+    open_rows = gated.where("gate IS NULL AND all_pairs_quality_eligible AND distance_band IS NOT NULL").select(*cell, *CONTEXT).dropDuplicates(cell)
+    named = open_rows.withColumn("_order", F.col("order_id")).withColumn("order_id", F.concat_ws("#", "order_id", F.col("duration_s").cast("string")))
+    scored = peers.stage_delay_score(named, reference, minimum).select(
+        F.col("_order").alias("order_id"), "stage", "duration_s", "ref_n", "delay_score", "severity", "delay_warning")
+    joined = gated.select(*key, *[c for c in cell if c not in key], "observation_status", "gate", "all_pairs_quality_eligible", "distance_band").join(scored, cell, "left").withColumn("mode", F.explode(F.array(*[F.lit(x) for x in MODES])))
     status = F.coalesce(F.col("gate"), F.when(F.col("mode") == MODES[0], "context_availability_unverified"),
                         F.when(~tristate.known_true(F.col("all_pairs_quality_eligible")) | F.col("distance_band").isNull(), "geographic_quality_not_eligible"),
                         F.when(F.col("delay_score").isNull(), "insufficient_matched_reference"), F.lit("assessed_under_context_assumption"))
@@ -56,15 +58,19 @@ def decision_journal(revisions: DataFrame, reference: DataFrame, context: DataFr
     distinct milestone sets: no journal lookup, and a retried batch gives the same rows.
     """
     key = ["order_id", "revision", "event_id", "occurred_at"]
-    state = lambda prefix: F.concat_ws("#", "order_id", *[F.coalesce(f"{prefix}{slot}", F.lit("")) for slot in m.SLOTS])
+    # Names a milestone set among the few of its own order.
+    state = lambda prefix: F.xxhash64(F.concat_ws("#", *[F.coalesce(f"{prefix}{slot}", F.lit("")) for slot in m.SLOTS]))
     accepted = revisions.where("outcome = 'accepted'").withColumn("_now", state("")).withColumn("_before", F.when(F.col("revision") > 1, state("prev_")))
     # A state is both the result of one revision and the start of the next: each is assessed once.
     states = accepted.select("order_id", *m.SLOTS, F.col("_now").alias("_state")).unionByName(
-        accepted.where("_before IS NOT NULL").select("order_id", *[F.col(f"prev_{slot}").alias(slot) for slot in m.SLOTS], F.col("_before").alias("_state"))).dropDuplicates(["_state"])
-    assessed = materialize(assess(states, ["order_id", "_state"], "", reference, context, minimum).select("_state", "stage", "mode", *RESULT), "assessed-states")
-    now = accepted.join(assessed, F.col("_now") == F.col("_state")).drop("_state").withColumn("result", F.struct(*RESULT))
-    prior = assessed.select(F.col("_state").alias("_before"), "stage", "mode", F.struct(*RESULT).alias("prior"))
-    both = now.join(prior, ["_before", "stage", "mode"], "left")
+        accepted.where("_before IS NOT NULL").select("order_id", *[F.col(f"prev_{slot}").alias(slot) for slot in m.SLOTS], F.col("_before").alias("_state"))).dropDuplicates(["order_id", "_state"])
+    # An order has at most one state per milestone, so its results fit a row and meet its revisions in one join.
+    results = assess(states, ["order_id", "_state"], "", reference, context, minimum).groupBy("order_id").agg(
+        F.collect_list(F.struct("_state", "stage", "mode", F.struct(*RESULT).alias("result"))).alias("_all"))
+    now = accepted.select(*key, "_now", "_before").join(results, "order_id").select(
+        *key, "_before", "_all", F.inline(F.filter("_all", lambda e: e["_state"] == F.col("_now")))).drop("_state")
+    same = lambda e: (e["_state"] == F.col("_before")) & (e["stage"] == F.col("stage")) & (e["mode"] == F.col("mode"))
+    both = now.withColumn("prior", F.get(F.filter("_all", same), F.lit(0))["result"]).select(*key, "stage", "mode", "result", "prior", "result.*")
     changed = both.where(~F.col("result").eqNullSafe(F.col("prior")))
     action = tristate.first_match([
         ("warning_emitted", tristate.known_true(F.col("delay_warning"))), ("completed_stage_scored", F.col("delay_score").isNotNull()),

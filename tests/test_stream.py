@@ -108,3 +108,11 @@ def test_the_arrival_replay_delivers_every_slice(spark, tmp_path):
     for name in ("t02_dedupe_stream", "t05_late_arrival_stream", "t06_close_window_stream"):
         ok, rows, note = compare(con, spark, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
         assert ok and rows, f"{name}: {note}"
+
+
+def test_lines_are_not_copied_for_distinct_counts(spark):
+    """Two distinct counts in one aggregate copy every line per counted column, and the copies are shuffled."""
+    from ordertide.sources.star_schema import Shop
+
+    plan = Shop(spark, "/root/testdata/sf0.001").contextual_orders._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" in plan and "Expand" not in plan
