@@ -104,10 +104,12 @@ def category_scope(items: DataFrame, products: DataFrame) -> DataFrame:
     """Per order with items: counts, sorted known categories and the exclusive category scope."""
     joined = items.join(products.select("product_id", "category"), "product_id", "left")
     grouped = joined.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("item_count"), F.count_distinct("product_id").alias("product_count"),
-        F.count_distinct("seller_id").alias("seller_count"), F.count_distinct("category").alias("known_category_count"),
-        (F.count(F.lit(1)) - F.count("category")).alias("missing_category_item_count"),
-        F.array_sort(F.collect_set("category")).alias("categories"))
+        F.count(F.lit(1)).alias("item_count"), (F.count(F.lit(1)) - F.count("category")).alias("missing_category_item_count"),
+        F.array_sort(F.collect_set("category")).alias("categories")).withColumn("known_category_count", F.size("categories").cast("long"))
+    # One distinct count per aggregate over lines dealt by order: several in one copy every line per counted column.
+    for column, name in [("product_id", "product_count"), ("seller_id", "seller_count")]:
+        counted = items.select("order_id", column).repartition("order_id").groupBy("order_id").agg(F.count_distinct(column).alias(name))
+        grouped = grouped.join(counted, "order_id")
     return grouped
 
 

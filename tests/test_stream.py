@@ -116,3 +116,11 @@ def test_lines_are_not_copied_for_distinct_counts(spark):
 
     plan = Shop(spark, "/root/testdata/sf0.001").contextual_orders._jdf.queryExecution().executedPlan().toString()
     assert "count(distinct" in plan and "Expand" not in plan
+
+
+def test_category_scope_copies_no_lines(spark):
+    from ordertide.operators import quality
+    from ordertide.sources.star_schema import Shop
+
+    shop = Shop(spark, "/root/testdata/sf0.001")
+    assert "Expand" not in quality.scoped_orders(shop.orders, shop.items, shop.products)._jdf.queryExecution().executedPlan().toString()
