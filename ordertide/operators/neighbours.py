@@ -1,11 +1,11 @@
 """Exact k nearest neighbours and local outlier factors against a fit set of any size.
 
 Fit points with equal coordinates are one point with a multiplicity. Points are dealt by ranges of their Z-order and
-each run of ``RUN`` consecutive points is halved along its widest axis into compact blocks of at most ``BLOCK``, whose boxes are packed, ``FAN`` at a time, into a tree of tables. A query
-descends by equi-joins on the parent: a box that holds more than k points bounds the k-th distance by its farthest corner,
-and boxes beyond the smallest such bound are left. The block with the nearest far corner then gives the true k-th distance
-among its own points, which rules out most other blocks before they are read. Nothing is sampled, no pair of tables is crossed, and a
-block that many queries want is copied to as many tasks as they need.
+each run of ``RUN`` consecutive points is halved along its widest axis into compact blocks of at most ``BLOCK``, whose boxes are packed, ``FAN`` at a time, into a tree of tables. Queries
+are cut into runs in the same way, and a run descends by equi-joins on the parent: a box that holds more than k points bounds the k-th distance by its
+farthest corner, and boxes beyond the smallest such bound are left. The ``FIRST`` blocks with the nearest far corners then give a true bound of the run,
+which rules out most other blocks before they are read. ``TILE`` runs meet their blocks in one task, nearest first, and hold no more than the k nearest of each query.
+Nothing is sampled, no pair of tables is crossed, and a block that many tiles want is copied to as many tasks as they need.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ordertide.session import materialize
 
 BLOCK, RUN, FAN, QUERIES = 128, 1 << 16, 32, 8192
+#: Runs of a tile, blocks tried for its first bound, blocks of a tile in memory and those compared at once.
+TILE, FIRST, HELD, TOGETHER = 8, 4, 512, 8
 BITS = 16
 #: Added to every mean reachability, as is usual, so that copies have a finite density.
 LEAST_REACH = 1e-10
@@ -110,16 +112,18 @@ class Index:
 
 
 def _near_far(axes: list[str]) -> tuple:
-    """Squared distances from a query to the nearest and the farthest point of a box."""
-    gap = [F.greatest(F.col(f"low{k}") - F.col(a), F.col(a) - F.col(f"high{k}"), F.lit(0.0)) for k, a in enumerate(axes)]
-    reach = [F.greatest(F.abs(F.col(a) - F.col(f"low{k}")), F.abs(F.col(a) - F.col(f"high{k}"))) for k, a in enumerate(axes)]
+    """Squared distances between the nearest and the farthest points of a run's box and an index box."""
+    gap = [F.greatest(F.col(f"low{k}") - F.col(f"_high{k}"), F.col(f"_low{k}") - F.col(f"high{k}"), F.lit(0.0)) for k in range(len(axes))]
+    reach = [F.greatest(F.col(f"_high{k}") - F.col(f"low{k}"), F.col(f"high{k}") - F.col(f"_low{k}")) for k in range(len(axes))]
     return sum((g * g for g in gap[1:]), gap[0] * gap[0]), sum((g * g for g in reach[1:]), reach[0] * reach[0])
 
 
-def _descend(queries: DataFrame, index: Index, wanted: int) -> DataFrame:
-    """The blocks in which a query's ``wanted`` nearest points can lie: query, axes, part, seq, n, near, far, bound (squared)."""
+def _descend(runs: DataFrame, index: Index, wanted: int) -> DataFrame:
+    """The blocks in which the ``wanted`` nearest points of a run's queries can lie: run, part, seq, near, far, bound (squared)."""
     axes = index.axes
-    found = queries.select("query", *axes, F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(float("inf")).alias("bound"))
+    sides = [f"_{side}{k}" for k in range(len(axes)) for side in ("low", "high")]
+    box = [F.col(side)[k].alias(f"_{side}{k}") for k in range(len(axes)) for side in ("low", "high")]
+    found = runs.select("run", *box, F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(float("inf")).alias("bound"))
     near, far = _near_far(axes)
     for level in range(index.top, -1, -1):
         boxes = index.boxes.where(F.col("level") == level)
@@ -129,53 +133,107 @@ def _descend(queries: DataFrame, index: Index, wanted: int) -> DataFrame:
             boxes = boxes.drop("level").withColumnsRenamed({"part": "_part", "seq": "_seq"})
             met = found.join(boxes, (F.col("part") == F.col("up_part")) & (F.col("seq") == F.col("up_seq"))).drop("part", "seq", "up_part", "up_seq")
             met = met.withColumnsRenamed({"_part": "part", "_seq": "seq"})
-        enough = F.min(F.when(F.col("n") >= wanted, far)).over(W.partitionBy("query"))
+        enough = F.min(F.when(F.col("n") >= wanted, far)).over(W.partitionBy("run"))
         met = met.withColumn("near", near).withColumn("far", far).withColumn("bound", F.least("bound", F.coalesce(enough, F.lit(float("inf"))) * (1 + 1e-12)))
-        found = met.where("near <= bound").select("query", *axes, "part", "seq", "n", "near", "far", "bound")
+        found = met.where("near <= bound").select("run", *sides, "part", "seq", "near", "far", "bound")
         if level:
-            found = found.drop("n", "near", "far")
-    return found
-
-
-def _measure(wanted: int | None, dims: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distances of queries to the points of their block; a block's row comes before its queries.
-
-    The points inside the bound stay; with ``wanted``, of each query and block no more than the nearest and those as near as the last.
-    """
-    points = copies = x = None
+            found = found.drop("near", "far")
+    return found.drop(*sides)
+
+
+class _Run:
+    """Queries that lie together, with the ``wanted`` nearest points met so far of each by (squared distance, point)."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, wanted: int):
+        self.ids, self.x, self.wanted = ids, x, wanted
+        self.squared = np.full((len(ids), wanted), np.inf)
+        self.points, self.copies = (np.zeros((len(ids), wanted), np.int64) for _ in range(2))
+
+    def meet(self, blocks: list[tuple]) -> None:
+        """Blocks (points, copies, x) by their distance from the run, a few at a time, until the rest is too far."""
+        low, high = (np.stack([f(b[2], axis=1) for b in blocks]) for f in (np.min, np.max))
+        near = sum(np.maximum(np.maximum(low[:, k] - self.x[k].max(), self.x[k].min() - high[:, k]), 0.0) ** 2 for k in range(len(self.x)))
+        order = np.argsort(near, kind="stable")
+        for at in range(0, len(order), TOGETHER):
+            last = self.squared[:, -1]
+            own = order[at:at + TOGETHER]
+            own = own[near[own] <= last.max()]
+            if not len(own):
+                return
+            apart = sum(np.maximum(np.maximum(low[own, k] - self.x[k][:, None], self.x[k][:, None] - high[own, k]), 0.0) ** 2 for k in range(len(self.x)))
+            rows = np.flatnonzero((apart <= last[:, None]).any(axis=1))
+            if len(rows):
+                self._keep(rows, *(np.concatenate([blocks[b][c] for b in own], axis=-1) for c in range(3)))
+
+    def _keep(self, rows: np.ndarray, points: np.ndarray, copies: np.ndarray, x: np.ndarray) -> None:
+        squared = np.zeros((len(rows), len(points)))
+        for own, other in zip(self.x, x, strict=True):
+            squared += (own[rows, None] - other) ** 2
+        both = np.concatenate([self.squared[rows], squared], axis=1)
+        bound = np.partition(both, self.wanted - 1, axis=1)[:, self.wanted - 1]
+        q, at = np.nonzero((both <= bound[:, None]) & np.isfinite(both))
+        old, held, new = at < self.wanted, np.minimum(at, self.wanted - 1), np.maximum(at - self.wanted, 0)
+        found = [np.where(old, self.points[rows][q, held], points[new]), np.where(old, self.copies[rows][q, held], copies[new]), both[q, at]]
+        order = np.lexsort((found[0], found[2], q))
+        q, found = q[order], [f[order] for f in found]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < self.wanted
+        self.squared[rows] = np.inf
+        for target, values in zip((self.points, self.copies, self.squared), found, strict=True):
+            target[rows[q[keep]], rank[keep]] = values[keep]
+
+
+def _searched(wanted: int, dims: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[_Run]]]:
+    """The runs of each tile after they met its blocks. Rows (tile, queries, points, copies, x) come by tile, runs of queries before blocks."""
+    tile, runs, blocks = None, [], []
     for batch in batches:
-        first = batch.column(0).to_pylist()
-        cuts = [k for k, packed in enumerate(first) if packed is not None]
-        for lo, hi in zip([0, *cuts], [*cuts, len(first)], strict=True):
-            if lo < hi and first[lo] is not None:
-                points, copies = np.frombuffer(first[lo], np.int64), np.frombuffer(batch.column(1)[lo].as_py(), np.int64)
-                x = np.frombuffer(batch.column(2)[lo].as_py(), np.float64).reshape(dims, -1)
-                lo += 1
-            for at in range(lo, hi, 2048):
-                rows = batch.slice(at, min(2048, hi - at))
-                own = rows.column(4).values.to_numpy()[rows.column(4).offsets[0].as_py():].reshape(-1, dims)[:len(rows)]
-                squared = np.zeros((len(rows), len(points)))
-                for k in range(dims):
-                    squared += (own[:, k, None] - x[k]) ** 2
-                bound = rows.column(5).to_numpy()
-                if wanted and len(points) > wanted:
-                    bound = np.minimum(bound, np.partition(squared, wanted - 1, axis=1)[:, wanted - 1])
-                q, p = np.nonzero(squared <= bound[:, None])
-                yield pa.RecordBatch.from_arrays([rows.column(3).take(pa.array(q)), pa.array(points[p]), pa.array(copies[p]), pa.array(squared[q, p])],
-                                                 names=["query", "point", "copies", "squared"])
-
-
-def _distances(pairs: DataFrame, index: Index, wanted: int | None) -> DataFrame:
-    """(query, point, copies, squared) of pairs (query, axes, part, seq, bound)."""
+        for row in range(len(batch)):
+            own, queries, points, copies, x = (batch.column(k)[row].as_py() for k in range(5))
+            if blocks and (own != tile or len(blocks) >= HELD):
+                for run in runs:
+                    run.meet(blocks)
+                blocks = []
+            if own != tile:
+                if runs:
+                    yield tile, runs
+                tile, runs = own, []
+            x = np.frombuffer(x, np.float64).reshape(dims, -1)
+            if queries is not None:
+                runs.append(_Run(np.frombuffer(queries, np.int64), x, wanted))
+            else:
+                blocks.append((np.frombuffer(points, np.int64), np.frombuffer(copies, np.int64), x))
+    for run in runs if blocks else []:
+        run.meet(blocks)
+    if runs:
+        yield tile, runs
+
+
+def _reach(wanted: int, dims: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each tile the largest squared distance at which one of its queries has met ``wanted`` points."""
+    for tile, runs in _searched(wanted, dims, batches):
+        yield pa.RecordBatch.from_pydict({"run": [tile], "reach": [max(float(r.squared[:, -1].max()) for r in runs)]})
+
+
+def _neighbours(wanted: int, dims: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, runs in _searched(wanted, dims, batches):
+        for run in runs:
+            before = np.cumsum(run.copies, axis=1) - run.copies
+            q, at = np.nonzero(np.isfinite(run.squared) & (before < wanted))
+            yield pa.RecordBatch.from_arrays([pa.array(run.ids[q]), pa.array(run.points[q, at]), pa.array(run.copies[q, at]), pa.array(np.sqrt(run.squared[q, at])),
+                                              pa.array(before[q, at])], names=["query", "point", "copies", "distance", "before"])
+
+
+def _met(runs: DataFrame, pairs: DataFrame, index: Index) -> DataFrame:
+    """Rows for ``_searched``: the runs of queries (tile, points, x) and the blocks of ``pairs`` (tile, part, seq), dealt by tile."""
     chunks = pairs.groupBy("part", "seq").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("long").alias("chunks"))
-    null = F.lit(None)
-    asked = pairs.join(chunks, ["part", "seq"]).select("part", "seq", F.pmod(F.xxhash64("query"), "chunks").alias("chunk"), null.cast("binary").alias("points"),
-                                                       null.cast("binary").alias("copies"), null.cast("binary").alias("x"), "query", F.array(*index.axes).alias("at"), "bound")
-    held = index.blocks.join(chunks, ["part", "seq"]).select("part", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "points",
-                                                            "copies", "x", null.cast("long").alias("query"), null.cast("array<double>").alias("at"), null.cast("double").alias("bound"))
-    dealt = held.unionByName(asked).repartition("part", "seq", "chunk").sortWithinPartitions("part", "seq", "chunk", F.col("points").isNull())
-    return dealt.select("points", "copies", "x", "query", "at", "bound").mapInArrow(
-        functools.partial(_measure, wanted, len(index.axes)), "query long, point long, copies long, squared double")
+    asked = pairs.join(chunks, ["part", "seq"]).withColumn("chunk", F.pmod(F.xxhash64("tile"), "chunks")).drop("chunks")
+    held = index.blocks.join(chunks, ["part", "seq"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    null = F.lit(None).cast("binary")
+    blocks = asked.join(held, ["part", "seq", "chunk"]).select("tile", null.alias("queries"), "points", "copies", "x")
+    queries = runs.select("tile", F.col("points").alias("queries"), null.alias("points"), null.alias("copies"), "x")
+    # A fixed number of tasks: the rows are few and each is long work.
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return queries.unionByName(blocks).repartition(parts, "tile").sortWithinPartitions("tile", F.col("queries").isNull())
 
 
 def nearest(queries: DataFrame, index: Index, wanted: int) -> DataFrame:
@@ -183,17 +241,20 @@ def nearest(queries: DataFrame, index: Index, wanted: int) -> DataFrame:
 
     ``before`` counts the copies of nearer points; equal distances go by point id. ``queries`` has query (unique) and the axes.
     """
-    pairs = materialize(_descend(queries, index, wanted), "descent")
-    first = pairs.where(F.col("n") >= wanted).groupBy("query").agg(F.min(F.struct("far", "part", "seq")).alias("f")).select("query", "f.part", "f.seq", F.lit(True).alias("first"))
-    pairs = pairs.join(first, ["query", "part", "seq"], "left")
-    opened = materialize(_distances(pairs.where("first"), index, wanted), "nearest-block")
-    inside = opened.groupBy("query").agg(F.max("squared").alias("inside"))  # at least ``wanted`` copies lie so near
-    rest = pairs.where("first IS NULL").join(inside, "query", "left").withColumn("bound", F.least("bound", F.coalesce("inside", F.lit(float("inf"))))).where("near <= bound")
-    rest = materialize(rest, "other-blocks")
-    met = opened.unionByName(_distances(rest.select("query", *index.axes, "part", "seq", "bound"), index, None))
-    order = W.partitionBy("query").orderBy("squared", "point").rowsBetween(W.unboundedPreceding, -1)
-    ranked = met.withColumn("before", F.coalesce(F.sum("copies").over(order), F.lit(0).cast("long")))
-    return ranked.where(F.col("before") < wanted).select("query", "point", "copies", F.sqrt("squared").alias("distance"), "before")
+    axes, order = index.axes, ["z", *index.axes]
+    dealt = _z_order(queries.select(F.col("query").alias("point"), *axes, F.lit(1).cast("long").alias("copies")), axes)
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("point", "copies", *axes)
+    runs = dealt.mapInArrow(functools.partial(_cut, BLOCK, RUN, axes), _BLOCK_COLUMNS)
+    number = lambda seq: F.shiftleft("part", 32) + seq
+    runs = materialize(runs.withColumn("run", number(F.col("seq"))).withColumn("wide", number(F.floor(F.col("seq") / TILE))), "runs")
+    pairs = materialize(_descend(runs, index, wanted), "descent")
+    closest = pairs.withColumn("_at", F.row_number().over(W.partitionBy("run").orderBy("far", "part", "seq"))).where(F.col("_at") <= FIRST)
+    tried = _met(runs.withColumn("tile", F.col("run")), closest.select(F.col("run").alias("tile"), "part", "seq"), index)
+    reach = tried.mapInArrow(functools.partial(_reach, wanted, len(axes)), "run long, reach double")
+    reach = materialize(reach.join(runs.select("run", F.col("wide").alias("tile")), "run"), "reach")
+    wide = pairs.join(reach, "run").where(F.col("near") <= F.least("bound", F.col("reach") * (1 + 1e-12))).select("tile", "part", "seq").distinct()
+    found = _met(runs.withColumn("tile", F.col("wide")), materialize(wide, "tile-blocks"), index)
+    return found.mapInArrow(functools.partial(_neighbours, wanted, len(axes)), "query long, point long, copies long, distance double, before long")
 
 
 def local_outlier_factors(fit: DataFrame, rows: DataFrame, axes: list[str], neighbours: list[int], key: str = "order_id") -> DataFrame:

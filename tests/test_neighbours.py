@@ -72,3 +72,33 @@ def test_neighbours_and_missing_cases(spark):
     assert empty.count() == 0
     gap = b.selectExpr("order_id", "u", "IF(order_id = 10000, NULL, v) AS v")
     assert neighbours.local_outlier_factors(a, gap, ["u", "v"], [5]).count() == 29
+
+
+def test_search_keeps_no_row_per_query_and_block(spark, monkeypatch):
+    """What the search writes on its way grows with runs of queries, not with queries times blocks; ties go by the smallest id."""
+    written = {}
+
+    def count(df, name):
+        out = materialize(df, name)
+        written[name] = out.count()
+        return out
+
+    materialize = neighbours.materialize
+    monkeypatch.setattr(neighbours, "materialize", count)
+    side = np.arange(14.0)
+    grid = np.stack(np.meshgrid(side, side, side), axis=-1).reshape(-1, 3)  # equal distances everywhere
+    a, _ = frames(spark, grid, grid[:1], ["u", "v", "w"])
+    index = neighbours.Index(a.selectExpr("order_id AS point", "u", "v", "w", "1 + order_id % 3 AS copies"), ["u", "v", "w"])
+    got = {}
+    for r in neighbours.nearest(a.withColumnRenamed("order_id", "query"), index, 9).collect():
+        got.setdefault(r["query"], []).append((r["before"], r["point"], r["copies"]))
+    assert max(written[n] for n in written if n not in ("blocks", "boxes")) < len(grid)
+    for i in range(0, len(grid), 97):
+        d = ((grid - grid[i]) ** 2).sum(axis=1)
+        want, before = [], 0
+        for p in np.lexsort((np.arange(len(grid)), d)):
+            if before >= 9:
+                break
+            want.append((before, int(p), 1 + int(p) % 3))
+            before += 1 + int(p) % 3
+        assert sorted(got[i]) == want
