@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ordertide.functions import geo, tristate
 from ordertide.operators import ordered
+from ordertide.session import materialize
 
 DEGREE_CHUNK, KM_CHUNK = 0.001, 0.01
 SPREADS = ["spread_p50_km", "spread_p90_km", "spread_max_km"]
@@ -127,7 +128,8 @@ def order_quality(pairs: DataFrame) -> DataFrame:
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, **chunking) -> DataFrame:
     """Rank correlation with average ranks; null without variation or with fewer than three pairs."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    # Read by both rankings and by the correlation: one narrow written table.
+    pairs = materialize(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y), "ranked-pairs")
     ranked = pairs
     for c in [x, y]:
         r = ordered.ranks(pairs, keys, c, **chunking).select(*keys, c, (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"_r_{c}"))

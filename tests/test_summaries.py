@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ordertide.operators import cohort, evaluation, evidence, forecasts, peers
+from ordertide.operators import cohort, evaluation, evidence, forecasts, geography, peers
 from ordertide.streaming import milestones, scoring
 
 
@@ -74,3 +75,21 @@ def test_observation_summary_of_two_orders(spark):
     assert got == {("events_by_activity", "Purchased"): 2, ("events_by_activity", "Delivered"): 1, ("orders_by_visible_events", "4"): 1, ("orders_by_visible_events", "1"): 1,
                    ("orders", "observed"): 2, ("orders", "delivery_observed"): 1, ("orders", "delivery_not_observed"): 1, ("orders", "all_milestones_observed"): 1,
                    ("orders", "observed_inversions"): 1}
+
+
+def test_rank_correlation_reads_its_rows_once(spark):
+    """The rows come out of several joins; both rankings and the correlation share one pass over them."""
+    rows = [("a" if i % 3 else "b", (i * 7) % 13, (i * 5) % 11) for i in range(60)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    df = spark.createDataFrame(rows, "k string, x long, y long").withColumn("x", F.udf(seen, "long").asNondeterministic()("x"))
+    got = {r.k: (r.paired_orders, r.spearman_rho) for r in geography.spearman(df, ["k"], "x", "y", width=1 << 16).collect()}
+    assert read.value == len(rows)
+    for k in "ab":
+        x, y = (np.array([r[c] for r in rows if r[0] == k]) for c in (1, 2))
+        mean_rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+        assert got[k][0] == len(x) and abs(got[k][1] - np.corrcoef(mean_rank(x), mean_rank(y))[0, 1]) < 1e-12
