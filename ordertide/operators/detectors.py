@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ordertide.functions import tristate
 from ordertide.operators import ordered
+from ordertide.session import materialize
 
 # Robust-z constant, cutoffs and tail fractions of the candidate grid.
 MAD_SCALE = 0.6744897501960817
@@ -29,17 +30,32 @@ def _long(df: DataFrame, features: list[str], log: bool, keys: tuple[str, ...] |
     return df.select(*keys, F.expr(f"stack({len(features)}, {pieces}) AS (feature, v)"))
 
 
+def _counts(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """(keys, feature, v, n): the rows of every value, counted and written once for all that is read off them."""
+    return materialize(_long(df, features, False, keys).groupBy(*keys, "feature", "v").agg(F.count(F.lit(1)).alias("n")), "feature-values")
+
+
 def fit_statistics(fit: DataFrame, features: list[str], log: bool = False, keys: list[str] | None = None) -> DataFrame:
     """Per feature: exact quartiles, MAD and upper quantiles. A zero IQR or MAD raises when read.
 
     ``keys`` fits several populations (training windows, say) in one plan, one table of statistics each.
     """
+    return _statistics(_counts(fit, features, keys or []), log, keys)
+
+
+def both_statistics(fit: DataFrame, features: list[str], keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``fit_statistics`` of the values and of their logarithms, from one count."""
+    counts = _counts(fit, features, keys or [])
+    return _statistics(counts, False, keys), _statistics(counts, True, keys)
+
+
+def _statistics(long: DataFrame, log: bool, keys: list[str] | None = None) -> DataFrame:
     keys = [*(keys or []), "feature"]
-    chunk = {"width": LOG_CHUNK if log else ordered.UNITS}
-    long = _long(fit, features, log, keys[:-1])
+    long = long.withColumn("v", F.log1p("v")) if log else long
+    chunk = {"width": LOG_CHUNK if log else ordered.UNITS, "weight": F.col("n")}
     names = {"q01": .01, "q25": .25, "median": .5, "q75": .75, **{f"u{round(q * 1000)}": q for q in UPPER_QUANTILES}}
     base = ordered.quantiles(long, keys, "v", names, count="fit_rows", **chunk)
-    deviation = long.join(base.select(*keys, "median"), keys).select(*keys, F.abs(F.col("v") - F.col("median")).alias("v"))
+    deviation = long.join(base.select(*keys, "median"), keys).select(*keys, F.abs(F.col("v") - F.col("median")).alias("v"), "n")
     mad = ordered.quantiles(deviation, keys, "v", {"mad": .5}, **chunk)
     out = base.join(mad, keys).withColumn("iqr", F.col("q75") - F.col("q25"))
     checked = F.when((F.col("iqr") <= 0) | (F.col("mad") <= 0), F.raise_error(F.lit("zero IQR or MAD: set an explicit feature policy")).cast("double"))
@@ -84,8 +100,12 @@ def rank_ensemble(scores: DataFrame, members: list[str]) -> DataFrame:
     calibration = used.where("role = 'calibration'")
     ranked = ordered.ecdf(used, calibration, ["score_column"], "score", width=LOG_CHUNK * 100)
     rank = F.col("ref_upto") / F.col("ref_n")
-    per = ranked.groupBy("order_id", "role").agg(F.avg(rank).alias("ensemble_rank_mean"), F.percentile(rank, F.lit(0.5)).alias("ensemble_rank_median"),
+    # An order has one score per member, so the few ranks are columns and their median needs no list.
+    per = ranked.groupBy("order_id", "role").agg(F.avg(rank).alias("ensemble_rank_mean"), *[F.max(F.when(F.col("score_column") == m, rank)).alias(f"_r_{m}") for m in members],
                                                  F.max(F.when(F.col("score_column") == "mad_log1p", rank)).alias("_mad"))
+    known = F.filter(F.array_sort(F.array(*[F.col(f"_r_{m}") for m in members])), lambda r: r.isNotNull())
+    middle = (F.get(known, F.floor((F.size(known) - 1) / 2).cast("int")) + F.get(known, F.floor(F.size(known) / 2).cast("int"))) / 2
+    per = per.withColumn("ensemble_rank_median", middle)
     return per.select("order_id", "role", F.expr(
         "stack(3, 'ensemble_rank_mean', ensemble_rank_mean, 'ensemble_rank_median', ensemble_rank_median, "
         "'hybrid_rank_mean_mad', 0.5 * ensemble_rank_mean + 0.5 * _mad) AS (score_column, score)"))
@@ -133,8 +153,8 @@ def iqr_flags(df: DataFrame, features: list[str], stats: DataFrame, multiplier:
 
 def threshold_grid(df: DataFrame, features: list[str]) -> DataFrame:
     """Outlier counts of every (feature, method) rule: percentile pairs, IQR multipliers, robust z."""
-    stats = fit_statistics(df, features)
-    long = _long(df, features, False).groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
+    long = _counts(df, features, [])
+    stats = _statistics(long, False)
     j = long.join(F.broadcast(stats), "feature")
     z = MAD_SCALE * (F.col("v") - F.col("median")) / F.col("mad")
     rules = {"percentile_01_99": (F.col("v") < F.col("q01")) | (F.col("v") > F.col("u990")),

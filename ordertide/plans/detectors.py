@@ -47,12 +47,15 @@ define("flg", "SELECT bs.*, candidate, family, threshold, score>threshold AS fla
 
 
 def matrix(shop):
-    return shop.measures
+    """Read several times by most queries: one written table."""
+    if "measured" not in shop.__dict__:
+        shop.__dict__["measured"] = materialize(shop.measures, "measures")
+    return shop.__dict__["measured"]
 
 
 def stats(shop):
     fit = matrix(shop).where("role = 'fit'")
-    return detectors.fit_statistics(fit, FEATURES), detectors.fit_statistics(fit, FEATURES, log=True)
+    return detectors.both_statistics(fit, FEATURES)
 
 
 def scores(shop):
@@ -400,7 +403,7 @@ def window_votes(shop):
         m = matrix(shop)
         starts = F.inline(F.array(*[F.struct(F.lit(w).alias("window"), F.lit(s).cast("timestamp_ntz").alias("starts")) for w, s in WINDOWS.items()]))
         fit = m.where("role = 'fit'").select(*m.columns, starts).where("purchased_at >= starts")
-        raw, logged = (detectors.fit_statistics(fit, FEATURES, log, ["window"]) for log in [False, True])
+        raw, logged = detectors.both_statistics(fit, FEATURES, ["window"])
         scored = detectors.base_scores(m.where("role = 'validation'"), FEATURES, raw, logged, ["window"])
         found = detectors.apply_thresholds(scored, detectors.calibrated_thresholds(scored, []))
         shop.__dict__["window_votes"] = materialize(evaluation.window_votes(found, list(WINDOWS)), "window-votes")
