@@ -32,6 +32,19 @@ def seller_prior_purchases(pairs: DataFrame) -> DataFrame:
         ((F.col("as_of_s") - F.col("latest_prior_purchase_s")) / clock.DAY_SECONDS).alias("days_since_last_prior_purchase"))
 
 
+def seller_prior_counts(pairs: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """Pairs with the counts of earlier purchases and, of ``outcomes`` (see seller_prior_outcomes), of earlier completed orders: one running sum."""
+    single = (F.col("seller_count") == 1).cast("long")
+    events = pairs.select("seller_id", "as_of_s", F.lit(1).alias("bought"), single.alias("alone"), F.lit(0).alias("done"))
+    names = {"prior_orders": F.col("bought"), "prior_single_seller_orders": F.col("alone")}
+    if outcomes is not None:
+        names["prior_completed_orders"] = F.col("done")
+        events = events.unionByName(outcomes.select("seller_id", F.col("delivered_s").alias("as_of_s"), F.lit(0).alias("bought"),
+                                                    F.lit(0).cast("long").alias("alone"), F.lit(1).alias("done")))
+    out = ordered.strictly_prior(pairs, events, ["seller_id"], "as_of_s", names)
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in names})
+
+
 def seller_prior_outcomes(queries: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Outcomes (seller_id, delivered_s, comparable, late) visible before each query's as_of_s.
 

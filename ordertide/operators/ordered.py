@@ -11,6 +11,8 @@ distribution distances are all read off its output.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,11 +79,13 @@ def bounded_chunks(base: DataFrame, key: list[str], order: str, rows: int = CHUN
 
 def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column] | None = None,
             maxima: dict[str, Column] | None = None, width: float | None = None,
-            splits: list[float] | None = None, descending: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            splits: list[float] | None = None, descending: bool = False, chunk_rows: int = CHUNK_ROWS,
+            wanted=None) -> DataFrame:
     """One row per (keys, order value) with, for each measure m: m (own), m_before, m_upto, m_total.
 
     ``width`` gives fixed chunks of the order axis; otherwise ``splits`` (computed when absent). An integer
-    width bounds a chunk by itself; other chunks are cut to at most about ``chunk_rows`` values.
+    width bounds a chunk by itself; other chunks are cut to at most about ``chunk_rows`` values. ``wanted`` makes of the
+    (sum before a chunk, sum up to its end, total of the key) of each measure a condition: rows of other chunks are not read on.
     """
     sums, maxima = sums or {}, maxima or {}
     real = not isinstance(width, int)
@@ -95,6 +99,8 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column]
     key = ["_key"] if keys else []
     if keys:
         base = base.withColumn("_key", F.struct(*keys))
+    # Said here, the filter that the join below implies is on both uses of the sums, so that their shuffle is done once.
+    base = base.where(F.col("_chunk").isNotNull())
     if real:
         base = bounded_chunks(base, key, order, chunk_rows)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
@@ -107,14 +113,20 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column]
         *key, "_chunk",
         *[F.sum(n).over(earlier).alias(f"_carry_{n}") for n in sums],
         *[F.max(n).over(earlier).alias(f"_carry_{n}") for n in maxima],
-        *[F.sum(n).over(whole).alias(f"{n}_total") for n in sums],
+        *[F.sum(n).over(whole).alias(f"{n}_total") for n in sums], *[F.col(n).alias(f"_own_{n}") for n in sums],
     )
+    if wanted is not None:
+        start = {n: F.coalesce(F.col(f"_carry_{n}"), F.lit(0)) for n in sums}
+        carry = carry.where(wanted({n: (start[n], start[n] + F.col(f"_own_{n}"), F.col(f"{n}_total")) for n in sums}))
+        base = base.join(carry, [*key, "_chunk"])
     inside = W.partitionBy(*key, "_chunk").orderBy(direction(order)).rowsBetween(W.unboundedPreceding, -1)
     rows = base.select(
         "*",
         *[F.sum(n).over(inside).alias(f"_in_{n}") for n in sums],
         *[F.max(n).over(inside).alias(f"_in_{n}") for n in maxima],
-    ).join(carry, [*key, "_chunk"])
+    )
+    if wanted is None:
+        rows = rows.join(carry, [*key, "_chunk"])
     out = [F.col(k) for k in keys] + [F.col(order)]
     for n in sums:
         before = F.coalesce(F.col(f"_carry_{n}"), F.lit(0)) + F.coalesce(F.col(f"_in_{n}"), F.lit(0))
@@ -126,9 +138,12 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column]
     return rows.select(*out)
 
 
-def ranks(df: DataFrame, keys: list[str], value: str, **chunking) -> DataFrame:
-    """Distinct values with the count before, up to and in total: the exact distribution of a group."""
-    return running(df.where(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)}, **chunking)
+def ranks(df: DataFrame, keys: list[str], value: str, weight: Column | None = None, **chunking) -> DataFrame:
+    """Distinct values with the count before, up to and in total: the exact distribution of a group.
+
+    ``weight`` is the number of rows a row stands for.
+    """
+    return running(df.where(F.col(value).isNotNull()), keys, value, {"n": F.lit(1) if weight is None else weight}, **chunking)
 
 
 def pick_positions(distribution: DataFrame, keys: list[str], value: str,
@@ -145,13 +160,22 @@ def pick_positions(distribution: DataFrame, keys: list[str], value: str,
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float],
               scale: float = 1.0, count: str | None = None, **chunking) -> DataFrame:
-    """Exact linear-interpolated quantiles per group; results divided by ``scale``."""
+    """Exact linear-interpolated quantiles per group; results divided by ``scale``.
+
+    Only the chunks that hold a wanted position are sorted; the others are known by their counts.
+    """
     positions = {}
     for name, p in probabilities.items():
         at = (F.col("n_total") - 1) * F.lit(float(p))
         positions[f"_lo_{name}"] = F.floor(at)
         positions[f"_hi_{name}"] = F.ceil(at)
-    picked = pick_positions(ranks(df, keys, value, **chunking), keys, value, positions)
+
+    def holds(counts):
+        before, upto, total = counts["n"]
+        at = [F.floor((total - 1) * F.lit(float(p))) for p in probabilities.values()] + [F.ceil((total - 1) * F.lit(float(p))) for p in probabilities.values()]
+        return reduce(lambda a, b: a | b, [(before <= p) & (p < upto) for p in at])
+
+    picked = pick_positions(ranks(df, keys, value, wanted=holds, **chunking), keys, value, positions)
     out = [F.col(k) for k in keys]
     if count:
         out.append(F.col("n_total").alias(count))
@@ -181,25 +205,45 @@ def strictly_prior(queries: DataFrame, events: DataFrame, keys: list[str], time:
     """As-of join: each query row gets the totals of events of its key with event time < query time.
 
     Equal times are excluded from each other's history. Hot keys are cut along time. ``windows``
-    adds, per suffix, the sums over [time - length, time): a second read of the same running table.
+    adds, per suffix, the sums over [time - length, time): a chunk is then at least as long as a window and is read with
+    the one before it, where both edges are running sums. ``queries`` may be ``events`` itself: its times are then known.
     """
     sums, maxima, windows = sums or {}, maxima or {}, windows or {}
+    width = max([width, *windows.values()])
     filled = events.select(*keys, time, *[c.alias(n) for n, c in sums.items()],
                            *[c.alias(n) for n, c in maxima.items()])
-    offsets = F.array(F.lit(0), *[F.lit(length) for length in windows.values()])
-    probes = queries.select(*keys, F.explode(F.transform(offsets, lambda o: F.col(time) - o)).alias(time)).distinct()
-    both = filled.unionByName(probes, allowMissingColumns=True)
-    table = running(both, keys, time, {n: F.col(n) for n in sums}, {n: F.col(n) for n in maxima},
-                    width=width)
-    before = table.select(*keys, time, *[F.col(f"{n}_before").alias(n) for n in [*sums, *maxima]])
-    out = queries.join(before, [*keys, time], "left")
-    for suffix, length in windows.items():
-        edge = before.select(*keys, (F.col(time) + length).alias(time),
-                             *[F.col(n).alias(f"_{n}{suffix}") for n in sums])
-        out = out.join(edge, [*keys, time], "left").withColumns(
-            {f"{n}{suffix}": F.col(n) - F.col(f"_{n}{suffix}") for n in sums}).drop(
-            *[f"_{n}{suffix}" for n in sums])
-    return out
+    if queries is not events:
+        filled = filled.unionByName(queries.select(*keys, time), allowMissingColumns=True)
+    if not windows:
+        table = running(filled, keys, time, {n: F.col(n) for n in sums}, {n: F.col(n) for n in maxima},
+                        width=width)
+        before = table.select(*keys, time, *[F.col(f"{n}_before").alias(n) for n in [*sums, *maxima]])
+    else:
+        before = _before_and_within(filled, keys, time, [*sums], [*maxima], width, windows)
+    return queries.join(before, [*keys, time], "left")
+
+
+def _before_and_within(df: DataFrame, keys: list[str], time: str, sums: list[str], maxima: list[str], width: float, windows: dict[str, int]) -> DataFrame:
+    """(keys, time) with every sum and maximum before the time, and every sum within each window before it."""
+    base = df.groupBy(*keys, time).agg(*[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxima]).withColumn(
+        "_chunk", _chunk(time, width, None)).where(F.col("_chunk").isNotNull()).withColumn("_key", F.struct(*keys))
+    earlier = W.partitionBy("_key").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    # Of the chunk itself and the one before, so that the sums over both start after all that is carried.
+    carry = base.groupBy("_key", "_chunk").agg(*[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxima])
+    carry = carry.select("_key", "_chunk", *[F.sum(n).over(earlier).alias(f"_carry_{n}") for n in sums], *[F.max(n).over(earlier).alias(f"_carry_{n}") for n in maxima])
+    twice = base.withColumn("_late", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_chunk", F.col("_chunk") + F.col("_late"))
+    own = F.col("_late") == 0
+    pair = W.partitionBy("_key", "_chunk").orderBy(time)
+    passed = pair.rangeBetween(W.unboundedPreceding, -1)
+    total = lambda value, frame: F.coalesce(F.sum(value).over(frame), F.lit(0))
+    read = twice.select(
+        *keys, time, "_key", "_chunk", "_late", *[total(F.when(own, F.col(n)), passed).alias(f"_in_{n}") for n in sums],
+        *[F.max(F.when(own, F.col(n))).over(passed).alias(f"_in_{n}") for n in maxima],
+        *[(total(F.col(n), passed) - total(F.col(n), pair.rangeBetween(W.unboundedPreceding, -length - 1))).alias(f"{n}{suffix}")
+          for suffix, length in windows.items() for n in sums]).where(own)
+    return read.join(carry, ["_key", "_chunk"]).select(
+        *keys, time, *[(F.coalesce(F.col(f"_carry_{n}"), F.lit(0)) + F.col(f"_in_{n}")).alias(n) for n in sums],
+        *[F.greatest(f"_carry_{n}", f"_in_{n}").alias(n) for n in maxima], *[f"{n}{suffix}" for suffix in windows for n in sums])
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

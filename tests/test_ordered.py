@@ -92,3 +92,36 @@ def test_unknown_group_keeps_its_quantiles(spark):
     df = spark.createDataFrame([(None, 1), (None, 3), ("a", 5)], "k string, duration_s long")
     got = {r.k: (r.rows, r.median_days) for r in process.duration_summary(df, ["k"], "duration_s", scale=1.0, width=2).collect()}
     assert got == {None: (2, 2.0), "a": (1, 5.0)}
+
+
+def test_quantiles_sort_only_the_chunks_they_read(spark):
+    """With weights as with single rows; chunks without a wanted position are left out before they are sorted."""
+    df = spark.createDataFrame([(k, t, 1 + v % 3) for k, t, v in ROWS], "k string, t long, n long")
+    whole = ordered.ranks(df, ["k"], "t", weight=F.col("n"), width=10)
+    middle = ordered.ranks(df, ["k"], "t", weight=F.col("n"), width=10,
+                           wanted=lambda c: (c["n"][0] * 2 <= c["n"][2]) & (c["n"][2] < c["n"][1] * 2))
+    assert {tuple(r) for r in middle.collect()} < {tuple(r) for r in whole.collect()}
+    assert 5 * middle.count() < whole.count()
+    got = {r.k: (r.a, r.b, r.c) for r in ordered.quantiles(df, ["k"], "t", {"a": 0.0, "b": .5, "c": .975}, width=10, weight=F.col("n")).collect()}
+    for k in {r[0] for r in ROWS}:
+        x = np.repeat([t for kk, t, _ in ROWS if kk == k], [1 + v % 3 for kk, _, v in ROWS if kk == k])
+        assert np.allclose(got[k], np.quantile(x, [0, .5, .975]))
+
+
+def test_history_reads_its_events_once_for_all_windows(spark):
+    """One pass for the running sums and one for the rows they are joined to, whatever the number of windows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        read.add(1)
+        return t
+
+    df = frame(spark).withColumn("id", F.monotonically_increasing_id()).withColumn("t", F.udf(seen, "long").asNondeterministic()("t"))
+    got = ordered.strictly_prior(df, df, ["k"], "t", {"n": F.lit(1), "s": F.col("v")}, {"last": F.col("t")}, width=5, windows={"_a": 30, "_b": 7}).collect()
+    assert read.value <= 2 * len(ROWS)
+    for r in got:
+        own = [(t, v) for k, t, v in ROWS if k == r.k and t < r.t]
+        assert (r.n, r.s, r.last) == (len(own), sum(v for _, v in own), max((t for t, _ in own), default=None))
+        for suffix, length in (("a", 30), ("b", 7)):
+            inside = [v for t, v in own if t >= r.t - length]
+            assert (r[f"n_{suffix}"], r[f"s_{suffix}"]) == (len(inside), sum(inside))
