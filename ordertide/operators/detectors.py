@@ -267,25 +267,29 @@ def isolation_forest_score(df: DataFrame, features: list[str], nodes: DataFrame,
     packed = []
     for _, t in table.groupby("tree"):
         size = int(t["node"].max()) + 1
-        feature, split, depth = np.full(size, -1), np.zeros(size), np.zeros(size)
-        feature[t["node"]], split[t["node"]], depth[t["node"]] = t["feature"], t["split"], t["depth"]
-        packed.append((feature, split, depth))
+        levels = size.bit_length() - 1
+        size = (2 << levels) - 1
+        feature, split, depth, held = np.zeros(size, np.int64), np.zeros(size), np.zeros(size), np.zeros(size, bool)
+        feature[t["node"]], split[t["node"]], depth[t["node"]], held[t["node"]] = t["feature"], t["split"], t["depth"], True
+        for level in range(1, levels + 1):  # a leaf's depth is handed down, so that every row walks the same number of steps
+            own = np.arange((1 << level) - 1, (2 << level) - 1)
+            up = (own - 1) // 2
+            below = own[~held[own] & held[up] & (feature[up] < 0)]
+            up = (below - 1) // 2
+            feature[below], depth[below], held[below] = -1, depth[up], True
+        packed.append((levels, np.maximum(feature, 0), split, depth))
     shared = df.sparkSession.sparkContext.broadcast(packed)
     norm = float(_average_path(samples))
 
     def score(batches):
         for pdf in batches:
-            x = pdf[features].to_numpy(float)
-            total = np.zeros(len(x))
-            for feature, split, depth in shared.value:
-                at = np.zeros(len(x), dtype=int)
-                live = feature[at] >= 0
-                while live.any():
-                    rows = np.flatnonzero(live)
-                    f = feature[at[rows]]
-                    at[rows] = 2 * at[rows] + np.where(x[rows, f] <= split[at[rows]], 1, 2)
-                    live[rows] = feature[at[rows]] >= 0
-                total += depth[at]
+            x = np.ascontiguousarray(pdf[features].to_numpy(float))
+            total, first = np.zeros(len(x)), np.arange(len(x)) * len(features)
+            for levels, feature, split, depth in shared.value:
+                at = np.zeros(len(x), dtype=np.int64)
+                for _ in range(levels):
+                    at = 2 * at + 2 - (x.take(first + feature.take(at)) <= split.take(at))
+                total += depth.take(at)
             yield pd.DataFrame({"order_id": pdf["order_id"], "role": pdf["role"], "score": 2.0 ** (-total / len(shared.value) / norm)})
 
     # A row walks every tree: worth dealing narrow rows evenly first.

@@ -57,3 +57,13 @@ def test_scores_equal_walking_the_trees(spark):
             total += at["depth"]
         c = 2 * (np.log(31) + np.euler_gamma) - 2 * 31 / 32
         assert got[k] == pytest.approx(2 ** (-total / 30 / c), rel=1e-9)
+
+
+def test_leaves_of_uneven_depth_give_their_own_depth(spark):
+    """Rows walk equal numbers of steps: a leaf near the root hands its depth down to both sides."""
+    nodes = spark.createDataFrame([(0, 0, 1, 2, 0, 5.0, 0.0), (0, 1, -1, -1, -1, 0.0, 1.25), (0, 2, 5, 6, 1, 2.0, 0.0), (0, 5, -1, -1, -1, 0.0, 2.0),
+                                   (0, 6, 13, 14, 0, 9.0, 0.0), (0, 13, -1, -1, -1, 0.0, 3.5), (0, 14, -1, -1, -1, 0.0, 3.0)], detectors.NODE)
+    rows = spark.createDataFrame([(1, "r", 5.0, 9.0), (2, "r", 6.0, 2.0), (3, "r", 9.0, 3.0), (4, "r", 9.5, 3.0)], "order_id long, role string, x double, y double")
+    norm = float(detectors._average_path(8))
+    got = {r.order_id: r.score for r in detectors.isolation_forest_score(rows, ["x", "y"], nodes, trees=1, samples=8).collect()}
+    assert got == {i: 2.0 ** (-d / norm) for i, d in [(1, 1.25), (2, 2.0), (3, 3.5), (4, 3.0)]}
