@@ -203,6 +203,36 @@ def test_large_bands_around_the_threshold(spark, monkeypatch, chunk):
     assert got == dict(enumerate(label)) and 3 < len(texts) - len(set(label)) < 30
 
 
+@pytest.mark.parametrize("chunk", [4096, 50])
+def test_outliers_of_a_large_group_give_no_row_per_pair(spark, monkeypatch, chunk):
+    """Copies of one text and outliers just below the threshold of all of them: links are exact, the pairs written few."""
+    rows_of_pairs = []
+
+    def settled(df, name, settle=bag_minhash.settle):
+        out = settle(df, name)
+        if name == "pairs":
+            rows_of_pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(bag_minhash, "settle", settled)
+    monkeypatch.setattr(bag_minhash, "CHUNK", chunk)
+    draw = random.Random(11)
+    texts = [(k, " ".join(f"x{k}" if k and j == 3 * k else w for j, w in enumerate(f"w{j}" for j in range(404))), "en") for k in range(120)]
+    for k in range(120, 140):  # 10 to 12 words of their own end 50 to 60 of 400 shingles: 0.74 to 0.78 of the copies
+        own = set(draw.sample(range(4, 400, 5), 10 + k % 3))
+        texts.append((k, " ".join(f"x{k}-{j}" if j in own else f"w{j}" for j in range(404)), "en"))
+    sets = [collections.Counter(zip(*(t.split()[k:] for k in range(5)))) for _, t, _ in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total():
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {r.doc_id: r.class_id for r in bag_minhash.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    assert got == dict(enumerate(label)) and 5 < len(set(label))
+    assert sum(rows_of_pairs) <= 5 * len(texts)  # three of each text in large bands, and those of small bands
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     import numpy as np
 
