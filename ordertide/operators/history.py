@@ -45,6 +45,14 @@ def seller_prior_counts(pairs: DataFrame, outcomes: DataFrame | None = None) ->
     return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in names})
 
 
+def seller_history_seen(pairs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Pairs with prior_orders and prior_completed_orders as 0 or 1: whether the seller's first purchase, and first of ``outcomes``, lie before as_of_s."""
+    first = pairs.groupBy("seller_id").agg(F.min("as_of_s").alias("_bought")).join(
+        outcomes.groupBy("seller_id").agg(F.min("delivered_s").alias("_done")), "seller_id", "left")
+    seen = lambda c: F.coalesce((F.col(c) < F.col("as_of_s")).cast("int"), F.lit(0))
+    return pairs.join(first, "seller_id", "left").withColumns({"prior_orders": seen("_bought"), "prior_completed_orders": seen("_done")}).drop("_bought", "_done")
+
+
 def seller_prior_outcomes(queries: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Outcomes (seller_id, delivered_s, comparable, late) visible before each query's as_of_s.
 

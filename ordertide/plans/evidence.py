@@ -152,7 +152,7 @@ define("fc", "SELECT fp.* REPLACE (greatest(0.0, least(low+ls, mid)) AS low, gre
 
 def predicted(shop):
     if "predicted" not in shop.__dict__:
-        rows = shop.measures.withColumn("band", F.when(F.col("quantity") < 50, "small").when(F.col("quantity") < 400, "middle").otherwise("large"))
+        rows = det.matrix(shop).withColumn("band", F.when(F.col("quantity") < 50, "small").when(F.col("quantity") < 400, "middle").otherwise("large"))
         shop.__dict__["predicted_fit"] = rows.where("role = 'fit'")
         shop.__dict__["predicted"] = materialize(forecasts.peer_quantile_forecast(rows.where("role <> 'fit'"), rows.where("role = 'fit'"), "price_cents", LEVELS), "forecasts")
     return shop.__dict__["predicted"]
@@ -231,6 +231,7 @@ def case_evidence(shop):
     if "case_evidence" not in shop.__dict__:
         paid = features.payment_reconciliation(features.rollup_payments(shop.payments).join(
             features.rollup_items(shop.items).drop("item_count", "product_count", "seller_count"), "order_id")).select("order_id", "payment_difference_cents")
+        hist.written_pairs(shop)  # read by the distances and by the routes
         places = hist.geo_order_quality(shop).select("order_id", "all_pairs_quality_eligible")
         routes_ = hist.history_route(shop).select("order_id", "history_route").distinct()
         prior = hist.customer_prior(shop).select("order_id", "prior_orders")

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ordertide.operators import evidence
+from ordertide.operators import evidence, history
 
 CLEAN = {"order_id": 1, "visible_inversions": 0, "visible_events": 4, "has_equal_times": False, "all_pairs_quality_eligible": True, "seller_count": 1,
          "history_route": "single_seller_with_prior_outcomes", "prior_orders": 2, "payment_difference_cents": 0, "profiles_scored": 2, "profiles_with_warning": 0,
@@ -35,3 +35,23 @@ def test_trace_shape(spark):
     df = spark.createDataFrame([(1, day(1), day(1), None), (2, day(1), day(2), day(3)), (3, None, None, None)], "id long, a timestamp_ntz, b timestamp_ntz, c timestamp_ntz")
     got = {r.id: (r.visible_events, r.has_equal_times) for r in evidence.trace_shape(df, ["a", "b", "c"]).collect()}
     assert got == {1: (2, True), 2: (3, False), 3: (0, False)}
+
+
+def test_history_seen_is_the_sign_of_the_prior_counts(spark):
+    pairs = spark.createDataFrame([(1, 7, 1, 10), (2, 7, 1, 10), (3, 7, 2, 20), (4, 7, 1, 31), (5, 8, 1, 5), (6, None, 1, 9), (7, None, 1, 10), (8, 8, 1, None), (9, 9, 1, 3), (10, 9, 1, 4)],
+                                  "order_id long, seller_id long, seller_count long, as_of_s long")
+    outcomes = spark.createDataFrame([(7, 20), (7, 30), (9, 4), (9, None), (11, 1)], "seller_id long, delivered_s long")
+    sign = lambda df: {r.order_id: (min(r.prior_orders, 1), min(r.prior_completed_orders, 1)) for r in df.collect()}
+    assert sign(history.seller_history_seen(pairs, outcomes)) == sign(history.seller_prior_counts(pairs, outcomes))
+
+
+def test_case_evidence_reads_lines_once_for_pairs_and_once_for_measures(spark):
+    from ordertide.plans import evidence as plans
+    from ordertide.plans import history as hist
+    from ordertide.sources.star_schema import Shop
+
+    shop = Shop(spark, "/root/testdata/sf0.001")
+    plans.predicted(shop)
+    hist.written_pairs(shop)
+    for df in (shop.__dict__["predicted_fit"], hist.pairs(shop)):
+        assert "l_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString()
