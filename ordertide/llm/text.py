@@ -29,9 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """A written table, after which the shuffle files behind it are released (pass the plan in, keep no other reference)."""
-    out = materialize(df, name)
+    out = materialize(df, name, compression)
     del df
     release()
     return out

@@ -285,6 +285,88 @@ def test_scores(spark, edge, empty):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_scores_learn_from_every_training_text(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice("the of and to in is that for it was on are".split()) for _ in range(20))) for k in range(1500)]
+    held_out = F.col("doc_id") == 1499
+    for k in (10, 700, 1400):  # any one text that knows the words of the held-out one makes it likelier
+        scores = []
+        for more in ("", " zygote quartz" * 200):
+            texts = [(i, "zygote quartz zygote quartz" if i == 1499 else t + more * (i == k)) for i, t in rows]
+            scores.append(attention.score_texts(spark.createDataFrame(texts, "doc_id long, text string").coalesce(2), held_out).where(held_out).first().score)
+        assert scores[1] > scores[0] + 3, (k, scores)
+
+
+def fitted_attention(spark, documents_df, monkeypatch, steps):
+    import numpy as np
+
+    monkeypatch.setattr(attention, "STEPS", steps)
+    kept = []
+    own = attention.fit
+    monkeypatch.setattr(attention, "fit", lambda *a: kept.append(own(*a)) or kept[0])
+    scored = attention.score_texts(documents_df.repartition(5, "doc_id"), F.col("doc_id") % 3 == 0)
+    tokenizer = attention.Tokenizer()
+    return kept[0], scored, lambda text: [*(int(i) for w in WORD.findall(text.translate(LOWER).encode()) for i in tokenizer.words([w])[0]), tokenizer.size], np
+
+
+def test_attention_counts_all_training_texts(spark, documents_df, documents, monkeypatch):
+    model, scored, ids_of, np = fitted_attention(spark, documents_df, monkeypatch, 4)  # few steps: several tasks and rounds
+    texts = [ids_of(r["text"] or "") for r in documents if r["doc_id"] % 3]
+    count = collections.Counter(i for t in texts for i in t)
+    assert {i: int(n) for i, n in enumerate(model.count) if n} == count
+    total = np.bincount(model.klass, weights=model.count + 0.1, minlength=attention.CLASSES)
+    assert np.allclose(np.exp(model.inside), (model.count + 0.1) / total[model.klass], rtol=1e-4)
+    # scores of short texts, position by position
+    got = {r.doc_id: r.score for r in scored.collect()}
+    p, w, span, begin = {k: v.astype(float) for k, v in model.p.items()}, attention.WIDTH, attention.SPAN, model.slot[-1]
+    for r in sorted(documents, key=lambda r: len(r["text"] or ""))[:5]:
+        ids = ids_of(r["text"] or "")
+        slots = [begin, *(model.slot[i] for i in ids[:-1])]
+        sum_ = 0.0
+        for at, target in enumerate(ids):
+            block = at // span
+            seen = range(max(0, (block - 1) * span), at + 1)
+            x = np.array([p["E"][slots[j]] + p["P"][j - (block - 1) * span] for j in seen])
+            q, k, v = (x @ p["QKV"][:, c * w:(c + 1) * w] for c in range(3))
+            a = np.exp(k @ q[-1])
+            z = (x[-1] + a @ v / a.sum()) @ p["U"] + p["b"]
+            sum_ += z[model.klass[target]] - np.log(np.exp(z).sum()) + model.inside[target]
+        assert got[r["doc_id"]] == pytest.approx(sum_ / math.log(10), rel=1e-4)
+
+
+def test_attention_gradient(spark, documents_df, monkeypatch):
+    model, _, _, np = fitted_attention(spark, documents_df, monkeypatch, 40)
+    rng = np.random.default_rng(5)
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    slots, has_prev = rng.integers(0, model.n_known, (3, 5, attention.SPAN)), rng.random(12) > 0.3
+    target = np.where(rng.random(12 * attention.SPAN) > 0.2, rng.integers(0, model.end, 12 * attention.SPAN), -1)
+    grad = {k: np.zeros_like(v) for k, v in p.items()}
+    model.gradient(p, grad, slots, has_prev, target)
+
+    def loss():
+        w, out = attention.WIDTH, []
+        for n, (run, block) in enumerate((r, b) for r in range(3) for b in range(1, 5)):
+            x = np.concatenate([p["E"][slots[run, block - 1]], p["E"][slots[run, block]]]) + p["P"]
+            q, k, v = (x @ p["QKV"][:, c * w:(c + 1) * w] for c in range(3))
+            for j in range(attention.SPAN):
+                seen = slice(0 if has_prev[n] else attention.SPAN, attention.SPAN + j + 1)
+                a = np.exp(k[seen] @ q[attention.SPAN + j])
+                z = (x[attention.SPAN + j] + a @ v[seen] / a.sum()) @ p["U"] + p["b"]
+                t = target[n * attention.SPAN + j]
+                if t >= 0:
+                    out.append(np.log(np.exp(z).sum()) - z[model.klass[t]])
+        return np.mean(out)
+
+    for name, v in p.items():
+        for at in ([(slots[0, 0, 3], 1), (slots[1, 2, 5], 7)] if name == "E" else [tuple(rng.integers(0, d) for d in v.shape) for _ in range(4)]):
+            here, step = v[at], 1e-5
+            sides = []
+            for v[at] in (here + step, here - step):
+                sides.append(loss())
+            v[at] = here
+            assert grad[name][at] == pytest.approx((sides[0] - sides[1]) / (2 * step), rel=1e-4, abs=1e-7)
+
+
 def test_fingerprints(spark, edge, empty, documents_df, documents):
     assert gamma_samples.fingerprint_with_next(empty).count() == 0
     assert gamma_samples.fingerprint_with_next(edge, 3).count() == len(EDGE)
