@@ -167,11 +167,11 @@ def threshold_grid(df: DataFrame, features: list[str]) -> DataFrame:
         "outlier_rate", F.col("outliers") / F.col("rows"))
 
 
-def robust_scale(df: DataFrame, features: list[str], stats: DataFrame) -> DataFrame:
-    """(x - median) / IQR with unit scale on a zero IQR."""
+def robust_scale(df: DataFrame, features: list[str], stats: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(x - median) / IQR with unit scale on a zero IQR, and the columns of ``keep`` as they are."""
     wide = ordered.attach_one_row(df, _wide(stats, features, ["median", "iqr"]))
-    return wide.select("order_id", *[((F.col(f) - F.col(f"{f}__median")) / F.when(F.col(f"{f}__iqr") == 0, 1.0).otherwise(F.col(f"{f}__iqr"))).alias(f"{f}_scaled")
-                                     for f in features])
+    return wide.select("order_id", *keep, *[((F.col(f) - F.col(f"{f}__median")) / F.when(F.col(f"{f}__iqr") == 0, 1.0).otherwise(F.col(f"{f}__iqr"))).alias(f"{f}_scaled")
+                                            for f in features])
 
 
 def vote_hybrid(df: DataFrame, flags: list[str]) -> DataFrame:

@@ -150,10 +150,9 @@ define("lofd", """SELECT n.order_id, n.role, k, 1/(avg(greatest(sqrt(d),kd))+1e-
 def local_outlier_factor(shop):
     m, logged = matrix(shop), stats(shop)[1]
     logs = m.select("order_id", "role", *[F.log1p(f).alias(f) for f in FEATURES])
-    scaled = materialize(detectors.robust_scale(logs, FEATURES, logged).join(m.select("order_id", "role"), "order_id"), "scaled")
-    new = scaled.where("role <> 'fit'")
-    found = neighbours.local_outlier_factors(scaled.where("role = 'fit'"), new, _LOF_AXES, LOF_NEIGHBOURS)
-    return rounded(found.join(new, "order_id").select("order_id", "role", F.concat(F.lit("lof_log1p_"), F.col("neighbours").cast("string")).alias("score_column"), "score"), 4)
+    scaled = materialize(detectors.robust_scale(logs, FEATURES, logged, ("role",)), "scaled")
+    found = neighbours.local_outlier_factors(scaled.where("role = 'fit'"), scaled.where("role <> 'fit'"), _LOF_AXES, LOF_NEIGHBOURS, keep=("role",))
+    return rounded(found.select("order_id", "role", F.concat(F.lit("lof_log1p_"), F.col("neighbours").cast("string")).alias("score_column"), "score"), 4)
 
 
 @query("d10_robust_scale", sql(f"SELECT order_id, {', '.join(f'round(({f}-{_g(SRAW, f, MED)})/{_g(SRAW, f, IQR)},6) AS {f}_scaled' for f in FEATURES)} FROM meas"))

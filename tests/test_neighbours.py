@@ -1,6 +1,7 @@
 """Nearest neighbours and local outlier factors against brute force, with copies, far points and several levels of boxes."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ordertide.operators import neighbours
@@ -102,3 +103,39 @@ def test_search_keeps_no_row_per_query_and_block(spark, monkeypatch):
             want.append((before, int(p), 1 + int(p) % 3))
             before += 1 + int(p) % 3
         assert sorted(got[i]) == want
+
+
+def test_factors_write_no_row_per_neighbour(spark, monkeypatch):
+    """What is known of a point travels with its block: no table has more rows than there are fit rows."""
+    written = {}
+
+    def count(df, name):
+        out = materialize(df, name)
+        written[name] = out.count()
+        return out
+
+    materialize = neighbours.materialize
+    monkeypatch.setattr(neighbours, "materialize", count)
+    rng = np.random.default_rng(3)
+    fit, new = rng.normal(size=(400, 3)), rng.normal(size=(150, 3))
+    a, b = frames(spark, fit, new, ["u", "v", "w"])
+    got = {r["order_id"]: r["score"] for r in neighbours.local_outlier_factors(a, b, ["u", "v", "w"], [20]).collect()}
+    assert max(written.values()) <= len(fit)
+    np.testing.assert_allclose([got[10_000 + i] for i in range(len(new))], brute_factors(fit, new, 20), rtol=1e-9)
+
+
+def test_a_tile_with_more_blocks_than_are_held(monkeypatch):
+    """Points that no query holds any more are left between the parts of a tile; the values of the others stay with them."""
+    monkeypatch.setattr(neighbours, "HELD", 2)
+    rng = np.random.default_rng(4)
+    fit, new = rng.normal(size=(90, 2)), rng.normal(size=(12, 2))
+    pack = lambda run, block, ids, x: {"tile": 1, "run": run, "block": block, "points": ids.tobytes(), "copies": np.ones_like(ids).tobytes(),
+                                       "x": x.T.copy().tobytes(), "known": (ids * 10.0).tobytes()}
+    rows = [pack(k, False, np.arange(6) + 1000 + 6 * k, new[6 * k:6 * k + 6]) for k in range(2)]
+    rows += [pack(k, True, np.arange(10 * k, 10 * k + 10), fit[10 * k:10 * k + 10]) for k in range(9)]
+    (tile, runs), = neighbours._searched(4, 2, 1, iter([pa.RecordBatch.from_pylist(rows)]))
+    assert len(tile.ids) < len(fit)
+    for run, own in zip(runs, (new[:6], new[6:]), strict=True):
+        want = np.argsort(((own[:, None] - fit) ** 2).sum(axis=2), axis=1)[:, :4]
+        np.testing.assert_array_equal(tile.ids[run.slot], want)
+        np.testing.assert_array_equal(tile.values[0, run.slot], want * 10.0)
