@@ -24,21 +24,23 @@ define("score", """SELECT *, CASE WHEN ref_n IS NULL THEN NULL WHEN duration_s*r
   CASE WHEN ref_n IS NULL THEN 'unassessed' WHEN duration_s*ref_n<=ref_sum_s OR duration_s<=0 OR 20*ref_upto<=19*ref_n THEN 'none' WHEN 40*ref_upto<=39*ref_n THEN 'low' WHEN 100*ref_upto<=99*ref_n THEN 'medium' ELSE 'high' END AS severity FROM sig""")
 
 
+def stage_rows(shop):
+    """Stage rows with product context."""
+    return performance.stage_rows(shop.performance).withColumns({
+        "product_attributable": (F.col("product_count") == 1) & (F.col("seller_count") == 1),
+        "product_id": F.when(F.col("product_count") == 1, F.col("first_product")),
+        "single_seller_id": F.when(F.col("seller_count") == 1, F.col("first_seller"))})
+
+
 def stage_table(shop):
-    """Stage rows with product context; used as reference and as candidates, so written once."""
-    def build():
-        rows = performance.stage_rows(shop.performance)
-        return materialize(rows.withColumns({
-            "product_attributable": (F.col("product_count") == 1) & (F.col("seller_count") == 1),
-            "product_id": F.when(F.col("product_count") == 1, F.col("first_product")),
-            "single_seller_id": F.when(F.col("seller_count") == 1, F.col("first_seller"))}), "stage-rows")
+    """``stage_rows`` used as reference and as candidates, so written once."""
     if "stage_table" not in shop.__dict__:
-        shop.__dict__["stage_table"] = build()
+        shop.__dict__["stage_table"] = materialize(stage_rows(shop), "stage-rows")
     return shop.__dict__["stage_table"]
 
 
-def reference(shop):
-    return stage_table(shop).where("split = 'train' AND duration_eligible")
+def reference(shop, rows=None):
+    return (stage_table(shop) if rows is None else rows).where("split = 'train' AND duration_eligible")
 
 
 def candidates(shop):

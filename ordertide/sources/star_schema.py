@@ -38,9 +38,16 @@ class Shop:
 
     @cached_property
     def orders(self) -> DataFrame:
-        shipped = self.table("lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        return self._placed.join(self._shipped, "order_id", "left")
+
+    @cached_property
+    def _shipped(self) -> DataFrame:
+        return self.table("lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
             F.min("l_shipdate").alias("carrier_at"),
             F.max(F.when(F.col("l_returnflag") != "R", F.col("l_shipdate"))).alias("delivered_at"))
+
+    @cached_property
+    def _placed(self) -> DataFrame:
         digit = F.substring("o_orderpriority", 1, 1).cast("int")
         status = (F.when(F.col("o_orderstatus") == "F", "delivered")
                   .when(F.col("o_orderstatus") == "O", "shipped")
@@ -51,8 +58,7 @@ class Shop:
             (F.col("o_orderdate") + F.make_dt_interval(digit - 1)).alias("approved_at"),
             (F.col("o_orderdate") + F.make_dt_interval(F.lit(30))).alias("estimated_at"),
             cents(F.col("o_totalprice")).alias("total_cents"),
-            F.col("o_orderpriority").alias("priority"),
-        ).join(shipped, "order_id", "left")
+            F.col("o_orderpriority").alias("priority"))
 
     @cached_property
     def items(self) -> DataFrame:
@@ -106,9 +112,13 @@ class Shop:
     @cached_property
     def activity_log(self) -> DataFrame:
         """Milestone log of the orders: (case_id, activity, ts, rank), observed milestones only."""
+        return self.milestones(self.orders)
+
+    @staticmethod
+    def milestones(orders: DataFrame) -> DataFrame:
         pieces = ", ".join(f"{rank}L, '{name}', {column}" for rank, (name, column)
                            in enumerate(zip(ACTIVITIES, TIMES)))
-        return self.orders.select(
+        return orders.select(
             F.col("order_id").alias("case_id"),
             F.expr(f"stack(4, {pieces}) AS (rank, activity, ts)")).where("ts IS NOT NULL")
 
@@ -147,7 +157,9 @@ class Shop:
         ).join(of("product_id").agg(F.count_distinct("product_id").alias("product_count"), F.min("product_id").alias("first_product")), "order_id")
         band = (F.when(F.col("total_cents") < 10000000, "low").when(F.col("total_cents") < 25000000, "middle")
                 .otherwise("high"))
-        return (self.orders.join(self.customers.select("customer_id", "customer_state"), "customer_id", "left")
+        # The customers first: what follows is joined by order, so that the rows are dealt twice, and not a third time to come back.
+        placed = self._placed.join(self.customers.select("customer_id", "customer_state"), "customer_id", "left")
+        return (placed.join(self._shipped, "order_id", "left").select(*self.orders.columns, "customer_state")
                 .join(sellers, "order_id", "left")
                 .withColumn("seller_count", F.coalesce("seller_count", F.lit(0)))
                 .withColumn("product_count", F.coalesce("product_count", F.lit(0)))

@@ -13,7 +13,6 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -146,18 +145,18 @@ def milestone_revisions_stream(checked: DataFrame, close: str = "9999-12-31 00:0
 def milestone_revisions(accepted: DataFrame) -> DataFrame:
     """Batch twin of the stream over events in event-time order: one row per accepted event.
 
-    Copies and conflicts are reduced to the first event per (order, activity) before any window,
-    so a window partition holds at most one row per activity.
+    Copies and conflicts are reduced to the first event per (order, activity) before the shuffle,
+    and an order is one row with at most one event per activity, which its revisions are read off.
     """
-    rank = F.array_position(F.array(*[F.lit(a) for a in ACTIVITIES]), F.col("activity"))
-    first = accepted.groupBy("order_id", "activity").agg(F.min(F.struct("occurred_at", "event_id")).alias("e")).select(
-        "order_id", "activity", "e.occurred_at", "e.event_id", rank.alias("rank"))
-    w = W.partitionBy("order_id").orderBy("occurred_at", "rank")
-    seen = lambda a, frame: F.max(F.when(F.col("activity") == a, F.col("occurred_at"))).over(frame)
-    return first.select("order_id", F.row_number().over(w).cast("long").alias("revision"), "event_id", "activity", "occurred_at",
-                        F.lit("accepted").alias("outcome"),
-                        *[seen(a, w.rowsBetween(W.unboundedPreceding, -1)).alias(f"prev_{s}") for a, s in zip(ACTIVITIES, SLOTS)],
-                        *[seen(a, w.rowsBetween(W.unboundedPreceding, 0)).alias(s) for a, s in zip(ACTIVITIES, SLOTS)])
+    first = accepted.groupBy("order_id").agg(*[F.min(F.when(F.col("activity") == a, F.struct("occurred_at", F.lit(rank).alias("rank"), "event_id"))).alias(s)
+                                               for rank, (a, s) in enumerate(zip(ACTIVITIES, SLOTS))])
+    events = F.array_sort(F.array_compact(F.array(*SLOTS)))
+    steps = first.select("order_id", *SLOTS, F.posexplode(events).alias("_at", "_e"))
+    place = lambda e: F.struct(F.col(f"{e}.occurred_at"), F.col(f"{e}.rank"))
+    seen = lambda s, relation: F.when(relation(place(s), place("_e")), F.col(f"{s}.occurred_at"))
+    return steps.select("order_id", (F.col("_at") + 1).cast("long").alias("revision"), "_e.event_id",
+                        F.get(F.array(*[F.lit(a) for a in ACTIVITIES]), F.col("_e.rank")).alias("activity"), "_e.occurred_at", F.lit("accepted").alias("outcome"),
+                        *[seen(s, lambda a, b: a < b).alias(f"prev_{s}") for s in SLOTS], *[seen(s, lambda a, b: a <= b).alias(s) for s in SLOTS])
 
 
 def conflicting_milestones(accepted: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,12 @@ def assess(states: DataFrame, key: list[str], prefix: str, reference: DataFrame,
     named = open_rows.withColumn("_order", F.col("order_id")).withColumn("order_id", F.concat_ws("#", "order_id", F.col("duration_s").cast("string")))
     scored = peers.stage_delay_score(named, reference, minimum).select(
         F.col("_order").alias("order_id"), "stage", "duration_s", "ref_n", "delay_score", "severity", "delay_warning")
-    joined = gated.select(*key, *[c for c in cell if c not in key], "observation_status", "gate", "all_pairs_quality_eligible", "distance_band").join(scored, cell, "left").withColumn("mode", F.explode(F.array(*[F.lit(x) for x in MODES])))
+    # An order has few scores, so they fit a row and its states, which lie by order, meet them where they are.
+    found = ["ref_n", "delay_score", "severity", "delay_warning"]
+    scores = scored.groupBy("order_id").agg(F.collect_list(F.struct("stage", "duration_s", *found)).alias("_scores"))
+    own = F.get(F.filter("_scores", lambda s: (s["stage"] == F.col("stage")) & (s["duration_s"] == F.col("duration_s"))), F.lit(0))
+    met = gated.select(*key, *[c for c in cell if c not in key], "observation_status", "gate", "all_pairs_quality_eligible", "distance_band").join(scores, "order_id", "left").withColumn("_own", own)
+    joined = met.select("*", *[F.col(f"_own.{c}").alias(c) for c in found]).drop("_scores", "_own").withColumn("mode", F.explode(F.array(*[F.lit(x) for x in MODES])))
     status = F.coalesce(F.col("gate"), F.when(F.col("mode") == MODES[0], "context_availability_unverified"),
                         F.when(~tristate.known_true(F.col("all_pairs_quality_eligible")) | F.col("distance_band").isNull(), "geographic_quality_not_eligible"),
                         F.when(F.col("delay_score").isNull(), "insufficient_matched_reference"), F.lit("assessed_under_context_assumption"))
@@ -58,18 +63,18 @@ def decision_journal(revisions: DataFrame, reference: DataFrame, context: DataFr
     distinct milestone sets: no journal lookup, and a retried batch gives the same rows.
     """
     key = ["order_id", "revision", "event_id", "occurred_at"]
-    # Names a milestone set among the few of its own order.
-    state = lambda prefix: F.xxhash64(F.concat_ws("#", *[F.coalesce(f"{prefix}{slot}", F.lit("")) for slot in m.SLOTS]))
-    accepted = revisions.where("outcome = 'accepted'").withColumn("_now", state("")).withColumn("_before", F.when(F.col("revision") > 1, state("prev_")))
+    # An order has at most one revision and one state per milestone: its revisions are dealt once, as one row, and all that follows lies by order.
+    state = lambda prefix: F.struct(*[F.col(f"{prefix}{slot}").alias(slot) for slot in m.SLOTS])
+    steps = revisions.where("outcome = 'accepted'").groupBy("order_id").agg(F.collect_list(
+        F.struct(*key[1:], state("").alias("_now"), F.when(F.col("revision") > 1, state("prev_")).alias("_before"))).alias("_steps"))
     # A state is both the result of one revision and the start of the next: each is assessed once.
-    states = accepted.select("order_id", *m.SLOTS, F.col("_now").alias("_state")).unionByName(
-        accepted.where("_before IS NOT NULL").select("order_id", *[F.col(f"prev_{slot}").alias(slot) for slot in m.SLOTS], F.col("_before").alias("_state"))).dropDuplicates(["order_id", "_state"])
-    # An order has at most one state per milestone, so its results fit a row and meet its revisions in one join.
+    either = F.concat(F.transform("_steps", lambda s: s["_now"]), F.transform("_steps", lambda s: s["_before"]))
+    states = steps.select("order_id", F.explode(F.array_distinct(F.array_compact(either))).alias("_state")).select("order_id", "_state", "_state.*")
     results = assess(states, ["order_id", "_state"], "", reference, context, minimum).groupBy("order_id").agg(
         F.collect_list(F.struct("_state", "stage", "mode", F.struct(*RESULT).alias("result"))).alias("_all"))
-    now = accepted.select(*key, "_now", "_before").join(results, "order_id").select(
-        *key, "_before", "_all", F.inline(F.filter("_all", lambda e: e["_state"] == F.col("_now")))).drop("_state")
-    same = lambda e: (e["_state"] == F.col("_before")) & (e["stage"] == F.col("stage")) & (e["mode"] == F.col("mode"))
+    now = steps.select("order_id", F.inline("_steps")).join(results, "order_id").select(
+        *key, "_before", "_all", F.inline(F.filter("_all", lambda e: e["_state"].eqNullSafe(F.col("_now"))))).drop("_state")
+    same = lambda e: e["_state"].eqNullSafe(F.col("_before")) & (e["stage"] == F.col("stage")) & (e["mode"] == F.col("mode"))
     both = now.withColumn("prior", F.get(F.filter("_all", same), F.lit(0))["result"]).select(*key, "stage", "mode", "result", "prior", "result.*")
     changed = both.where(~F.col("result").eqNullSafe(F.col("prior")))
     action = tristate.first_match([
@@ -93,6 +98,25 @@ def order_scores(latest: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("delay_score").isNull(), F.col("assessment_status")))), ",").alias("unassessed_reasons"))
 
 
+def multiset_counts(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """One row: rows on either side, and those of each side beyond their equals on the other (as ``exceptAll`` counts them).
+
+    ``key`` is not null and has few rows on either side: a side is dealt once, a row for each key, and not at all where it lies by the key.
+    """
+    rest = [c for c in rows.columns if c != key]
+    listed = lambda df, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
+    met = listed(rows, "_mine").join(listed(other, "_its"), key, "full").select(*[F.coalesce(c, F.array()).alias(c) for c in ("_mine", "_its")])
+    times = lambda c, x: F.size(F.filter(c, lambda y: y.eqNullSafe(x)))
+
+    def beyond(a: str, b: str) -> Column:
+        each = F.transform(F.array_distinct(a), lambda x: F.greatest(times(a, x) - times(b, x), F.lit(0)))
+        return F.when(F.col(a) == F.col(b), F.lit(0)).otherwise(F.aggregate(each, F.lit(0), lambda x, y: x + y))
+
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    return met.agg(total(F.size("_mine")).alias("rows"), total(F.size("_its")).alias("other_rows"),
+                   total(beyond("_mine", "_its")).alias("only_rows"), total(beyond("_its", "_mine")).alias("only_other"))
+
+
 def prefix_summary(journal: DataFrame) -> DataFrame:
     return journal.groupBy("mode", "stage", "action", "assessment_status").agg(F.count(F.lit(1)).alias("decisions"), F.count_distinct("order_id").alias("orders"))
 
@@ -206,9 +230,9 @@ def write_epoch(batch: DataFrame, epoch: int, path: str, reference=None, context
             return
         late = F.col("outcome") == "late"
         for name, kind in (("revisions", F.col("outcome") == "accepted"), ("late", late), ("rejects", (F.col("outcome") != "accepted") & ~late)):
-            batch.where(kind).write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
+            batch.where(kind).write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}", compression="zstd")
         if reference is not None:
-            decision_journal(batch, reference, context, minimum).write.mode("overwrite").parquet(f"{path}/journal/epoch={epoch}")
+            decision_journal(batch, reference, context, minimum).write.mode("overwrite").parquet(f"{path}/journal/epoch={epoch}", compression="zstd")
             written = spark.read.parquet(f"{path}/journal/epoch={epoch}")
             latest_table(spark, path).apply(latest_stage_scores(written), epoch)
     finally:
@@ -230,7 +254,7 @@ def replay_progress(slices: list[DataFrame], folder: str, start) -> list[list[di
     """
     seen = []
     for rows in slices:
-        rows.write.mode("append").json(f"{folder}/in")
+        rows.write.mode("append").json(f"{folder}/in", compression="gzip")
         running = start()
         running.awaitTermination()
         if running.exception():

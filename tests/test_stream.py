@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -124,3 +125,28 @@ def test_category_scope_copies_no_lines(spark):
 
     shop = Shop(spark, "/root/testdata/sf0.001")
     assert "Expand" not in quality.scoped_orders(shop.orders, shop.items, shop.products)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_revisions_that_lie_by_order_are_not_dealt_again(spark):
+    """A journal of batch revisions is read where their orders lie: no shuffle after theirs carries an event."""
+    rows = [("1", "Purchased", "2000-01-01 00:00:00"), ("1", "Approved", "2000-01-03 00:00:00"), ("2", "Purchased", "2000-01-02 00:00:00")]
+    reference = spark.createDataFrame([("approval", "near", "one", "SP", 86400 * d, "1999-01-01") for d in range(1, 4)],
+                                      "stage string, distance_band string, seller_attribution_scope string, customer_state string, duration_s long, ended_at string")
+    context = spark.createDataFrame([("1", "SP", "near", "one", 5, 6, 1, True, True)], "order_id string, customer_state string, distance_band string, seller_attribution_scope string, "
+                                    "product_id long, single_seller_id long, item_count long, product_attributable boolean, all_pairs_quality_eligible boolean")
+    frozen = peers.FrozenReference.of(reference, product_levels=[], minimum=3)
+    made = scoring.decision_journal(milestones.milestone_revisions(events(spark, rows)), frozen, context)
+    plan = spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "formatted")
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert dealt and not any("event_id" in columns or "_steps" in columns for columns in dealt)
+    scored = {(r["order_id"], r["revision"]): r["ref_n"] for r in made.where("stage = 'approval' AND mode = 'assumed_static_context_at_purchase'").collect()}
+    assert scored == {("1", 1): None, ("1", 2): 3, ("2", 1): None}
+
+
+def test_multiset_counts_are_those_of_except_all(spark):
+    rng = random.Random(5)
+    rows = lambda n: [(str(rng.randint(0, 9)), rng.choice(["a", "b", None]), rng.choice([1.0, None, 2.5])) for _ in range(n)]
+    fields = "order_id string, s string, d double"
+    a, b = spark.createDataFrame(rows(90), fields), spark.createDataFrame([*rows(70), ("99", None, None), ("99", None, None)], fields)
+    for left, right in ((a, b), (a, a), (a.limit(0), b), (a.limit(0), a.limit(0))):
+        assert tuple(scoring.multiset_counts(left, right, "order_id").first()) == (left.count(), right.count(), left.exceptAll(right).count(), right.exceptAll(left).count())
